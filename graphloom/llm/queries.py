@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from graphloom.llm import licenses, packing, quality_rules, sharding
+from graphloom.llm import licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_simhash_neardup": simhash.op3_simhash_neardup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_suffix_array_dedup": suffix_array.op5_suffix_array_dedup,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
