@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
+from graphloom.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_simhash_neardup": simhash.op3_simhash_neardup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_suffix_array_dedup": suffix_array.op5_suffix_array_dedup,

@@ -9,6 +9,8 @@ from graphloom.llm.shared import text_buffer
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that part words where only letters and digits count: all of ASCII but 0-9, A-Z and a-z.
+_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 U = np.uint64
 
 
@@ -59,14 +61,14 @@ FIRST, SECOND = Rolling(11), Rolling(29)
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of each text; a text's words are ``word_off[i]`` to ``word_off[i + 1]``."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of each text (``plain``: runs of letters, digits and what is beyond ASCII); a text's words are ``word_off[i]`` to ``word_off[i + 1]``."""
 
-    def __init__(self, column: pa.Array, rolling: Rolling = FIRST, lower: bool = False):
+    def __init__(self, column: pa.Array, rolling: Rolling = FIRST, lower: bool = False, plain: bool = False):
         self.buf, self.off = text_buffer(column)
         if lower:
             self.buf = np.where((self.buf >= 65) & (self.buf <= 90), self.buf + 32, self.buf).astype(np.uint8)
         self.n = len(self.off) - 1
-        solid = ~_SPACE[self.buf]
+        solid = ~(_PLAIN if plain else _SPACE)[self.buf]
         edge = np.zeros(len(self.buf) + 1, bool)  # a text begins here
         edge[self.off] = True
         before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1] if len(solid) else solid
