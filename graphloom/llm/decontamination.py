@@ -1,7 +1,7 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
 A passage is ``CELLS`` cells of ``CELL`` words. The latent space is that of a randomised singular value decomposition
-of the TF-IDF passages of benchmark and corpus (both of equal weight), over the benchmark's terms.
+of the TF-IDF passages of benchmark and corpus, over the benchmark's terms.
 """
 
 from __future__ import annotations
@@ -19,18 +19,23 @@ from graphloom.llm.words import Words
 
 CELL = 16
 CELLS = 2
-RANK = 96
-#: Cosine from which a passage is a candidate.
-COSINE = 0.35
+#: Dimensions of the latent space: this share of the benchmark's passages, within the bounds.
+RANK_SHARE, LEAST_RANK, MOST_RANK = 0.6, 64, 512
+#: The corpus passages' weight in the space; the benchmark's is 1.
+CORPUS = 0.1
+#: Cosine in the latent space from which a passage is a candidate, and the least share of its length in the space.
+COSINE = 0.6
+INSIDE = 0.4
 #: Shares of a benchmark item in its longest common subsequence with a text: one alone is proof, or a lower one
 #: together with that of the answer.
-PROOF = 0.8
+PROOF = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.75
 #: The answer: an item's last words.
 ANSWER_WORDS = 8
-#: Terms in over this share of the items are no terms of the space.
-COMMON = 0.1
+#: Terms in over this share of the items (but at least in three) are no terms of the space, except an item's rarest.
+COMMON = 0.01
+RAREST = 6
 #: Items that are searched at once; more are searched in blocks.
 BLOCK_ITEMS = 4_096
 
@@ -72,11 +77,17 @@ def passages(w: Words, terms: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray,
 
 
 def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows over sorted groups."""
+    """Sums of rows over sorted groups: the first row of every group, then the second, and so on."""
     out = np.zeros((n, values.shape[1]), np.float32)
     if len(groups):
         edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        out[groups[edge]] = np.add.reduceat(values, edge, axis=0)
+        size = np.diff(np.append(edge, len(groups)))
+        own = groups[edge]
+        for k in range(min(int(size.max()), 32)):
+            some = size > k
+            out[own[some]] += values[edge[some] + k]
+        for g in np.flatnonzero(size > 32).tolist():
+            out[own[g]] += values[edge[g] + 32 : edge[g] + size[g]].sum(axis=0)
     return out
 
 
@@ -85,7 +96,9 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
     w = Words(column, lower=True, plain=True)
     words = [w.hash[a:b].tolist() for a, b in zip(w.word_off, w.word_off[1:])]
     terms, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(np.array(x, np.uint64)) for x in words)]), return_counts=True)
-    terms = terms[seen <= max(2, COMMON * len(rows))]
+    often = dict(zip(terms.tolist(), seen.tolist()))
+    rarest = {h for x in words for h in sorted(set(x), key=lambda h: (often[h], h))[:RAREST]}
+    terms = terms[(seen <= max(2, COMMON * len(rows))) | np.isin(terms, np.array(sorted(rarest), np.uint64))]
     inside, owner, _ = passages(w, terms)
     items = Items([i for i, _ in rows], words, terms, inside, owner)
     for x in words:
@@ -147,7 +160,7 @@ class Space:
     singular: np.ndarray
 
 
-def latent_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
+def latent_space(docs: DataFrame, items: Items, rank: int | None = None) -> Space:
     """Inverse document frequencies from all documents, and the space's basis over the terms.
 
     With counts C and frequencies D, A = CD; for a random W the product A'AX of X = W / D is DC'CW, so that one pass
@@ -155,6 +168,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
     documents) are added in two levels. The eigenvalues come from the same sketch (single-pass, symmetric).
     """
     n_terms = len(items.terms)
+    rank = min(max(n_terms, 1), rank or int(np.clip(RANK_SHARE * len(items.passages[3]), LEAST_RANK, MOST_RANK)))
     schema = "n long, df binary, squares binary, sketch binary"
     terms = items.terms
     parts = docs.select("text").mapInArrow(lambda it: _sketch(it, terms, rank), schema)
@@ -169,15 +183,19 @@ def latent_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
     p, t, c, outside = items.passages
     bench = np.zeros((len(outside), n_terms))
     bench[p, t] = c * idf[t]
+    bench = _unit(bench)  # short items count like long ones
     weight = lambda x: 1 / max(x, 1e-12)
-    own, corpus = weight((bench**2).sum()), weight((squares * idf**2).sum())
+    own, corpus = weight((bench**2).sum()), CORPUS * weight((squares * idf**2).sum())
     product = own * (bench.T @ (bench @ random)) + corpus * (idf[:, None] * sketch)
     q, _ = np.linalg.qr(product) if n_terms else (product, None)
     small = (q.T @ product) @ np.linalg.pinv(q.T @ random)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     basis = (q @ vectors[:, ::-1]).astype(np.float32)
-    norms = np.sqrt((bench**2).sum(axis=1) + outside * 0.0)
-    return Space(idf, basis, (bench @ basis / np.maximum(norms, 1e-9)[:, None]).astype(np.float32), np.sqrt(np.maximum(values[::-1], 0)))
+    return Space(idf, basis, _unit((bench @ basis).astype(np.float32)), np.sqrt(np.maximum(values[::-1], 0)))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[pa.RecordBatch]:
@@ -190,15 +208,14 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosin
         inside = np.bincount(p, weights.astype(float) ** 2, minlength=len(outside))
         # Words outside the space count as one rare word for each four of them: common words are among them.
         norm = np.sqrt(inside + outside / 4 * mean_idf**2)
-        may = inside >= (cosine * norm) ** 2  # no cosine is larger than the share of the space
-        may &= inside > 0
+        may = (inside >= (INSIDE * norm) ** 2) & (inside > 0)
         ok = may[p]
         compact = np.cumsum(may) - 1
-        latent = _sums(space.basis[t[ok]] * weights[ok][:, None], compact[p[ok]], int(may.sum()))
+        latent = _unit(_sums(space.basis[t[ok]] * weights[ok][:, None], compact[p[ok]], int(may.sum())))
         places = np.flatnonzero(may)
         found: dict[tuple[int, int], tuple] = {}
         for at in range(0, len(places), 4096):
-            similar = latent[at : at + 4096] @ space.items.T / norm[places[at : at + 4096]][:, None]
+            similar = latent[at : at + 4096] @ space.items.T
             a, b = np.nonzero(similar >= cosine)
             order = np.argsort(-similar[a, b], kind="stable")
             for a_, b_ in zip(a[order].tolist(), b[order].tolist()):
@@ -209,7 +226,11 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosin
                 start = max(int(first[place]) - n // 2, 0)
                 stop = int(first[place]) + CELL * CELLS + n // 2
                 low = int(w.word_off[text])
-                bits = common_subsequence(items.masks[item], n, w.hash[low + start : min(low + stop, int(w.word_off[text + 1]))].tolist())
+                region = w.hash[low + start : min(low + stop, int(w.word_off[text + 1]))].tolist()
+                masks = items.masks[item]
+                if sum(masks[h].bit_count() for h in masks.keys() & set(region)) < PARAPHRASE * n:
+                    continue  # no subsequence can be as long as is asked
+                bits = common_subsequence(masks, n, region)
                 share = bits.bit_count() / n
                 last = min(ANSWER_WORDS, n)
                 answer = (bits >> (n - last)).bit_count() / last
@@ -220,7 +241,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosin
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word): the benchmark items that texts hold or paraphrase.
 
     The benchmark is the stated query set; it is read in blocks of ``BLOCK_ITEMS``, each with a space of its own, so
