@@ -198,10 +198,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], tuple]]]:
+    """Batches, each with the best match of every (row, item) that is contaminated."""
     mean_idf = float(space.idf.mean()) if len(space.idf) else 1.0
     for batch in steps(batches):
-        ids = batch.column("doc_id")
         w = Words(batch.column("text"), lower=True, plain=True)
         (p, t, c, outside), owner, first = passages(w, items.terms)
         weights = (c * space.idf[t]).astype(np.float32)
@@ -236,11 +236,36 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosin
                 answer = (bits >> (n - last)).bit_count() / last
                 if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > found.get((text, item), (0, 0))[1]:
                     found[text, item] = (float(similar[a_, b_]), share, answer, start)
-        rows = [(ids[text].as_py(), items.ids[item], *v) for (text, item), v in sorted(found.items())]
+        yield batch, found
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[pa.RecordBatch]:
+    for batch, found in _found(batches, items, space, cosine):
+        rows = [(batch.column("doc_id")[text].as_py(), items.ids[item], *v) for (text, item), v in sorted(found.items())]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[pa.RecordBatch]:
+    for batch, found in _found(batches, items, space, cosine):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[text for text, _ in found]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark's items in blocks, by id and text; one empty block if there are none."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").orderBy("item_id", "text")
+    after, more = None, True
+    while more:
+        left = items if after is None else items.where(F.struct("item_id", "text") > F.struct(*map(F.lit, after)))
+        rows = [(r["item_id"], r["text"]) for r in left.limit(BLOCK_ITEMS).collect()]
+        more = len(rows) == BLOCK_ITEMS
+        if rows or after is None:
+            yield read_items(rows)
+        after = rows[-1] if rows else after
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word): the benchmark items that texts hold or paraphrase.
 
@@ -252,20 +277,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None,
     spark = docs.sparkSession
     arrow_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").orderBy("item_id", "text")
-    out, after = None, None
-    while True:
-        left = items if after is None else items.where(F.struct("item_id", F.coalesce("text", F.lit(""))) > F.struct(F.lit(after[0]), F.lit(after[1])))
-        rows = [(r["item_id"], r["text"]) for r in left.limit(BLOCK_ITEMS).collect()]
-        if not rows and out is not None:
-            return out
-        block = read_items(rows)
+    out = None
+    for block in _blocks(benchmark):
         space = latent_space(source, block, rank)
         hits = source.mapInArrow(lambda it, block=block, space=space: _search(it, block, space, cosine), SCHEMA)
         out = hits if out is None else out.unionByName(hits)
-        if len(rows) < BLOCK_ITEMS:
-            return out
-        after = (rows[-1][0], rows[-1][1] or "")
+    return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text holds or paraphrases no benchmark item."""
+    arrow_batches(docs.sparkSession)
+    out = docs
+    for block in _blocks(benchmark):
+        space = latent_space(docs, block, rank)
+        out = out.mapInArrow(lambda it, block=block, space=space: _clean(it, block, space, cosine), docs.schema)
+    return out
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

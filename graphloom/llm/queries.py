@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_license_scan": licenses.op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

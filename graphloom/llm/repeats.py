@@ -73,15 +73,16 @@ def _scan(batches: Iterator[pa.RecordBatch], words: bool, length: int, part: int
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rk, text): ``rk`` hashes the text, so that rows with one id and different texts stay apart."""
+    """(doc_id, rk, text, row): ``rk`` hashes the text, so that rows with one id and different texts stay apart; ``row``
+    holds all columns as they came, whatever their names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"))
 
 
 def scan(source: DataFrame, words: bool, length: int, part: int) -> DataFrame:
     """Each text's spans (texts without a window have no row), written."""
     arrow_batches(source.sparkSession)
-    return stash(source.mapInArrow(lambda it: _scan(it, words, length, part), SCAN_SCHEMA), "spans")
+    return stash(source.select("doc_id", "rk", "text").mapInArrow(lambda it: _scan(it, words, length, part), SCAN_SCHEMA), "spans")
 
 
 def anchor_counts(scans: DataFrame) -> DataFrame:
@@ -109,9 +110,9 @@ def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:
 
 
 def removal(source: DataFrame, found: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): every row of ``source`` with its repeated windows as (s0, ranges of windows from there)."""
+    """(doc_id, text, spans, row): every row of ``source`` with its repeated windows as (s0, ranges of windows from there)."""
     marked = found.join(verdicts, ["a", "x"]).groupBy(F.col("doc_id").alias("id"), F.col("rk").alias("key")).agg(F.collect_list(F.struct("s0", "ranges")).alias("spans"))
-    return source.join(marked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key")), "left").select("doc_id", "text", "spans")
+    return source.join(marked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key")), "left").select("doc_id", "text", "spans", "row")
 
 
 def cover(spans_: list | None, length: int, n: int) -> np.ndarray:

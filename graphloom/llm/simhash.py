@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import arrow_batches, stash, steps, table
-from graphloom.llm.words import Words
+from graphloom.llm.shared import arrow_batches, list_column, stash, steps, table
+from graphloom.llm.words import Words, mix
 from graphloom.operators.components import connected_components
 
 SHINGLE = 3
@@ -175,3 +175,91 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+#: Near duplicates by shared passages: the words of a passage on average, and the passages of a text that stand for it.
+PASSAGE = 16
+PASSAGES = 8
+SIMILARITY = 0.8
+NEAR_SHINGLE = 5
+
+
+def passage_prints(column: pa.Array, most: int = PASSAGES) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of each text's passages (the ``most`` with the smallest mixed values, longer ones first), and how many.
+
+    A passage ends after a word whose hash says so, so that an edit moves no border but its own.
+    """
+    w = Words(column, lower=True)
+    n = len(w.hash)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(w.n, np.int64)
+    stop = w.hash % np.uint64(PASSAGE) == 0
+    begin = np.concatenate([[True], stop[:-1] | (w.doc[1:] != w.doc[:-1])])
+    starts = np.flatnonzero(begin)
+    size = np.diff(np.append(starts, n))
+    last = w.word_off[1:][w.doc] - 1
+    at = np.arange(n)
+    grams = w.rolling.ranges(w.rolling.prefix(w.hash), at, np.minimum(at + SHINGLE - 1, last) + 1)
+    fp, doc = majority_bits(grams, size), w.doc[starts]
+    order = np.lexsort((mix(fp), size < PASSAGE // 2, doc))
+    rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    chosen = order[rank < most]
+    return fp[chosen], np.bincount(doc[chosen], minlength=w.n)
+
+
+def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches):
+        fp, counts = passage_prints(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), list_column(fp.view(np.int64), counts, pa.int64())], names=["doc_id", "key", "prints"])
+
+
+def similarity(a: str, b: str, size: int = NEAR_SHINGLE) -> float:
+    """Jaccard similarity of two texts' word shingles (fewer words: the whole text is one)."""
+    w = Words(pa.array([a, b], pa.string()), lower=True)
+    sets = []
+    for lo, hi in zip(w.word_off, w.word_off[1:]):
+        at = np.arange(lo, max(hi - size + 1, lo + (hi > lo)))
+        sets.append(set(w.rolling.ranges(w.rolling.prefix(w.hash), at, np.minimum(at + size, hi)).tolist()))
+    return len(sets[0] & sets[1]) / max(len(sets[0] | sets[1]), 1)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, "text_a"):
+        ok = [similarity(a, b, size) >= least for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` (all columns) with one of each group of equal or near-equal texts: that of the smallest id.
+
+    SimHashes of passages are linked by the trie join. In each class of linked passages, the text that shares the
+    largest part of its passages (an original shares more than its edited copies) stands for the class, and each other
+    text of it is compared with that one whole: similarity of word shingles of ``least`` or more links them. Equal
+    texts are one node from the start, so that neither classes nor comparisons grow with a text's copies, and each
+    text has at most ``PASSAGES`` comparisons. Repeated rows leave one; null texts are empty ones; rows of a null id
+    give way to others with the same text. An empty table stays empty.
+    """
+    arrow_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(text.cast("binary"))
+    source = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+    prints = stash(source.select("doc_id", "key", "text").mapInArrow(_passage_batches, "doc_id long, key string, prints array<long>"), "passages")
+    nodes = stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints")), "nodes")
+    one = stash(nodes.select("key", F.explode(F.array_distinct("prints")).alias("fp")), "prints")
+    linked = link_fingerprints(one.select("fp").distinct(), budget)
+    classed = one.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("class")).distinct()
+    shared = classed.groupBy("class").count().where("count > 1").select("class")
+    common = stash(classed.join(shared, "class"), "classes")
+    rank = common.groupBy("key").agg(F.count("*").alias("n")).join(nodes.select("key", "least_id", F.size("prints").alias("all")), "key")
+    ranked = common.join(rank.select("key", F.struct((F.col("n") / F.col("all")).alias("share"), (-F.coalesce("least_id", F.lit(0))).alias("first"), "key").alias("rank")), "key")
+    chief = ranked.groupBy("class").agg(F.max("rank").alias("rank")).select("class", F.col("rank.key").alias("b"))
+    pairs = stash(common.join(chief, "class").where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = stash(source.join(nodes.select("key", "least_id"), "key").where("doc_id <=> least_id").join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "texts")
+    compared = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    links = compared.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
+    groups = connected_components(links)
+    grouped = nodes.select("key", "least_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    keep = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")).select("m.key", F.col("m.least_id").alias("id"))
+    kept = source.join(keep, "key").where("doc_id <=> id").select("key", "row").dropDuplicates(["key"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

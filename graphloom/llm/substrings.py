@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, part: int = PART, bat
     index.compact()
     found = repeated_spans(scans, index.repeating())
     decided = verdicts(source, found, lambda texts, compare: _resolve(texts, compare, window))
-    return removal(source, found, decided).mapInArrow(lambda it: _cut(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return removal(source, found, decided).drop("row").mapInArrow(lambda it: _cut(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

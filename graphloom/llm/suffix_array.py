@@ -154,7 +154,7 @@ def _resolve(source: DataFrame, compare: DataFrame, length: int) -> DataFrame:
     return both.join(single, ["a", "x"], "left_semi")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         buf, off = text_buffer(batch.column("text"))
         rows = []
@@ -162,25 +162,37 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterato
             own = buf[off[i] : off[i + 1]]
             gone = cover(marked, length, len(own))
             kept = own[~gone].tobytes()
-            rows.append((len(own), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            rows.append((len(own), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         columns = [pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("row")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, part: int = PART, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): each text without the bytes that a string of
-    ``length`` bytes covers which also starts elsewhere; ``kept`` holds the rest if ``texts`` is set, else null.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, row): each text without the bytes that a string of
+    ``length`` bytes covers which also starts elsewhere; ``kept`` holds the rest, ``row`` the other columns.
 
     Null texts are empty; a text shorter than ``length`` keeps all. Rows may repeat: they are copies of each other. A
-    cut can fall within a character, so ``kept`` is binary. An empty table gives no rows. Extra columns are ignored.
+    cut can fall within a character, so ``kept`` is binary. An empty table gives no rows.
     """
     source = keyed(docs, id_col, text_col)
     scans = scan(source, False, length, part)
     found = repeated_spans(scans, anchor_counts(scans).where("times > 1"))
     decided = verdicts(source, found, lambda t, compare: _resolve(t, compare, length))
-    return removal(source, found, decided).mapInArrow(lambda it: _cut(it, length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = removal(source, found, decided)
+    row = cut.schema["row"].dataType.simpleString()
+    return cut.mapInArrow(lambda it: _cut(it, length), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with ``text`` cut, and ``n_chars`` (if there) counted anew; a broken character's bytes go."""
+    cut = suffix_dedup(docs, length)
+    kept = F.col("kept").cast("string")
+    columns = {"text": F.when(F.is_valid_utf8(kept), kept).otherwise(F.translate(F.make_valid_utf8(kept), "\ufffd", ""))}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*((columns[c] if c in columns else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "row")
