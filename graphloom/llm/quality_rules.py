@@ -34,7 +34,7 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     chars = w.per_text(w.solid & ((w.buf & 0xC0) != 0x80))
     # Lines: from a text's start or a line feed to the next line feed or the text's end.
     feeds = np.flatnonzero(w.buf == 10)
-    starts = np.sort(np.concatenate([w.off[:-1], feeds + 1]))
+    starts = np.unique(np.concatenate([w.off[:-1], feeds + 1]))
     starts = starts[starts < len(w.buf)]  # what starts at the end is an empty line
     line_doc = np.searchsorted(w.off[1:], starts, "right")
     ends = np.minimum(np.append(feeds, len(w.buf))[np.searchsorted(feeds, starts)], w.off[line_doc + 1])

@@ -241,7 +241,7 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     """
     arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(text.cast("binary"))
+    key = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("").cast("binary"))  # texts without words are equal
     source = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
     prints = stash(source.select("doc_id", "key", "text").mapInArrow(_passage_batches, "doc_id long, key string, prints array<long>"), "passages")
     nodes = stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints")), "nodes")
