@@ -26,8 +26,8 @@ CORPUS = 0.1
 #: Cosine in the latent space from which a passage is a candidate, and the least share of its length in the space.
 COSINE = 0.6
 INSIDE = 0.4
-#: Shares of a benchmark item in its longest common subsequence with a text: one alone is proof, or a lower one
-#: together with that of the answer.
+#: Shares of a benchmark item in its longest common subsequence with a text, words weighed by their inverse document
+#: frequency (1 for those that are no terms of the space): one alone is proof, or a lower one with that of the answer.
 PROOF = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.75
@@ -201,6 +201,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], tuple]]]:
     """Batches, each with the best match of every (row, item) that is contaminated."""
     mean_idf = float(space.idf.mean()) if len(space.idf) else 1.0
+    idf = dict(zip(items.terms.tolist(), space.idf.tolist()))
+    weights_of = [np.array([idf.get(h, 1.0) for h in x]) for x in items.words]
+    bags = [{h: float(v[[k for k, o in enumerate(x) if o == h]].sum()) for h in set(x)} for x, v in zip(items.words, weights_of)]
     for batch in steps(batches):
         w = Words(batch.column("text"), lower=True, plain=True)
         (p, t, c, outside), owner, first = passages(w, items.terms)
@@ -221,19 +224,19 @@ def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
             for a_, b_ in zip(a[order].tolist(), b[order].tolist()):
                 place, item = int(places[at + a_]), int(items.owner[b_])
                 text, n = int(owner[place]), len(items.words[item])
-                if found.get((text, item), (0, 0))[1] >= 1.0:
+                if found.get((text, item), (0, 0))[1] >= 0.999999:
                     continue
                 start = max(int(first[place]) - n // 2, 0)
                 stop = int(first[place]) + CELL * CELLS + n // 2
                 low = int(w.word_off[text])
                 region = w.hash[low + start : min(low + stop, int(w.word_off[text + 1]))].tolist()
-                masks = items.masks[item]
-                if sum(masks[h].bit_count() for h in masks.keys() & set(region)) < PARAPHRASE * n:
-                    continue  # no subsequence can be as long as is asked
-                bits = common_subsequence(masks, n, region)
-                share = bits.bit_count() / n
-                last = min(ANSWER_WORDS, n)
-                answer = (bits >> (n - last)).bit_count() / last
+                bag, own = bags[item], weights_of[item]
+                if sum(bag[h] for h in bag.keys() & set(region)) < PARAPHRASE * own.sum():
+                    continue  # no subsequence can hold as much as is asked
+                bits = common_subsequence(items.masks[item], n, region)
+                held = own * np.array([bits >> k & 1 for k in range(n)])
+                share = float(held.sum() / own.sum())
+                answer = float(held[-ANSWER_WORDS:].sum() / own[-ANSWER_WORDS:].sum())
                 if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > found.get((text, item), (0, 0))[1]:
                     found[text, item] = (float(similar[a_, b_]), share, answer, start)
         yield batch, found
