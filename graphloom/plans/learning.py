@@ -49,7 +49,7 @@ def _(spark, sf):
     return kgc.exclude_taxa(view(spark, sf, "kg").where("relation = 'r1'"), _split(spark, sf).where("split = 'test' and head like '%7'"), taxa)
 
 
-@query("prob_cutoff", "SELECT c.cutoff, COUNT(*) AS n FROM ev CROSS JOIN (VALUES (0.6), (0.7), (0.8), (0.9)) AS c(cutoff) WHERE coalesce(prob_mean, 1.0) >= c.cutoff GROUP BY c.cutoff".replace("SELECT c.cutoff,", "SELECT CAST(c.cutoff AS DOUBLE) AS cutoff,").replace(">= c.cutoff GROUP", ">= CAST(c.cutoff AS DOUBLE) GROUP"))
+@query("prob_cutoff", "SELECT c.cutoff, COUNT(*) AS n FROM ev CROSS JOIN (VALUES (0.6e0), (0.7e0), (0.8e0), (0.9e0)) AS c(cutoff) WHERE coalesce(prob_mean, 1.0) >= c.cutoff GROUP BY c.cutoff")
 def _(spark, sf):
     return kgc.prob_cutoffs(view(spark, sf, "ev"), [0.6, 0.7, 0.8, 0.9]).groupBy("cutoff").agg(F.count("*").alias("n"))
 
@@ -82,7 +82,7 @@ def _(spark, sf):
     return marked.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when((F.col("label") == 0) & F.col("k").isNotNull(), 1).otherwise(0)).alias("known"))
 
 
-@query("split_coverage", f"WITH s AS ({_SPLIT}) SELECT 1".replace(f"WITH s AS ({_SPLIT}) SELECT 1", f"SELECT COUNT(*) AS n, COUNT(*) FILTER (h AND t) AS covered, round(AVG(CASE WHEN h AND t THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT head IN (SELECT head FROM ({_SPLIT}) WHERE split = 'train') AS h, tail IN (SELECT tail FROM ({_SPLIT}) WHERE split = 'train') AS t FROM ({_SPLIT}) WHERE split = 'test')"))
+@query("split_coverage", f"SELECT COUNT(*) AS n, COUNT(*) FILTER (h AND t) AS covered, round(AVG(CASE WHEN h AND t THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT head IN (SELECT head FROM ({_SPLIT}) WHERE split = 'train') AS h, tail IN (SELECT tail FROM ({_SPLIT}) WHERE split = 'train') AS t FROM ({_SPLIT}) WHERE split = 'test')")
 def _(spark, sf):
     s = _split(spark, sf)
     return kgc.split_coverage(s.where("split = 'test'"), s.where("split = 'train'")).withColumn("share", F.round("share", 6))

@@ -309,7 +309,7 @@ def _(spark, sf):
     return S.parse_taxdump(lines, "nodes")
 
 
-@query("parse_search_json", "SELECT event_type AS search_term, CAST(event_id AS STRING) AS pmid, 'INTRO' AS section, 0.5 AS score FROM events".replace("0.5", "CAST(0.5 AS DOUBLE)"))
+@query("parse_search_json", "SELECT event_type AS search_term, CAST(event_id AS STRING) AS pmid, 'INTRO' AS section, CAST(0.5 AS DOUBLE) AS score FROM events")
 def _(spark, sf):
     text = F.format_string('%s\n[{"pmid":"%d","section":"INTRO","text":"t","annotations":["0|1|species|9"],"score":0.5}]', "event_type", "event_id")
     return S.parse_search_json(view(spark, sf, "events").select(text.alias("value"))).select("search_term", "pmid", "section", "score")

@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_BEST = "SELECT head, relation, tail, CASE MIN(CASE quality WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS quality FROM ev GROUP BY ALL"
+_BEST = "SELECT head, relation, tail, CASE MIN(CASE quality WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS quality FROM ev GROUP BY head, relation, tail"
 _R6 = lambda c, n=None: F.round(c, 6).alias(n or c)
 
 
@@ -37,7 +37,7 @@ def _(spark, sf):
     return report.best_quality(view(spark, sf, "ev"), ["head", "tail"])
 
 
-@query("relation_quality_counts", f"SELECT relation, quality, COUNT(*) AS n FROM ({_BEST}) GROUP BY ROLLUP (relation, quality)".replace("FROM ev GROUP BY ALL", "FROM ev GROUP BY head, relation, tail"))
+@query("relation_quality_counts", f"SELECT relation, quality, COUNT(*) AS n FROM ({_BEST}) GROUP BY ROLLUP (relation, quality)")
 def _(spark, sf):
     return report.relation_quality_counts(view(spark, sf, "ev"))
 
@@ -66,7 +66,7 @@ def _(spark, sf):
     return report.venn_regions(ev, ["head", "tail"], "s", 3)
 
 
-@query("overlap_counts", "WITH a AS (SELECT DISTINCT tail FROM ev WHERE source = 'annotation'), b AS (SELECT DISTINCT tail FROM ev WHERE source = 'external:db') SELECT (SELECT COUNT(*) FROM a) AS in_a, (SELECT COUNT(*) FROM b) AS in_b, (SELECT COUNT(*) FROM a JOIN b USING (tail)) AS in_both".replace("WITH a AS", "SELECT * FROM (WITH a AS") + ")")
+@query("overlap_counts", "SELECT COUNT(*) FILTER (a) AS in_a, COUNT(*) FILTER (b) AS in_b, COUNT(*) FILTER (a AND b) AS in_both FROM (SELECT tail, bool_or(source = 'annotation') AS a, bool_or(source = 'external:db') AS b FROM ev GROUP BY tail)")
 def _(spark, sf):
     ev = view(spark, sf, "ev")
     return report.overlap_counts(ev.where("source = 'annotation'"), ev.where("source = 'external:db'"), "tail")
@@ -244,7 +244,7 @@ def _(spark, sf):
     return report.validated_hypotheses(ev).select("k1", "k2")
 
 
-@query("export_edges", """SELECT k.head AS "Source", k.tail AS "Target", r.name AS "Label", 1.0 AS "Weight", 'Directed' AS "Type" FROM kg AS k JOIN rel AS r ON k.relation = r.relation_id WHERE k.head IN (SELECT entity_id FROM ent) AND k.tail IN (SELECT entity_id FROM ent)""".replace("1.0 AS", "CAST(1.0 AS DOUBLE) AS"))
+@query("export_edges", """SELECT k.head AS "Source", k.tail AS "Target", r.name AS "Label", CAST(1.0 AS DOUBLE) AS "Weight", 'Directed' AS "Type" FROM kg AS k JOIN rel AS r ON k.relation = r.relation_id WHERE k.head IN (SELECT entity_id FROM ent) AND k.tail IN (SELECT entity_id FROM ent)""")
 def _(spark, sf):
     from graphloom.sources.kg import graph_edges
 

@@ -272,7 +272,7 @@ def _(spark, sf):
     return external.lookup_composition(view(spark, sf, "comp"), foods, chems).select("association_id", "food", "chemical")
 
 
-@query("external_to_candidates", """SELECT k1, k2, 'NCBI_taxonomy=' || head AS head_ids, CASE WHEN section IS NULL THEN 'PubChem=' || tail ELSE 'CAS=' || section || ';PubChem=' || tail END AS tail_ids FROM ev""".replace("k1, k2, ", "tail AS t, "))
+@query("external_to_candidates", """SELECT tail AS t, 'NCBI_taxonomy=' || head AS head_ids, CASE WHEN section IS NULL THEN 'PubChem=' || tail ELSE 'CAS=' || section || ';PubChem=' || tail END AS tail_ids FROM ev""")
 def _(spark, sf):
     ev = view(spark, sf, "ev").select("head", "tail", F.col("head").alias("head_ncbi_taxid"), F.col("tail").alias("tail_pubchem"), F.col("section").alias("tail_cas"), F.col("pmid").alias("reference_pmid"), F.col("premise").alias("reference_title"), "quality")
     text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
@@ -409,8 +409,8 @@ def _(spark, sf):
     return publish.final_names(ents(spark, sf), compounds, desc.select("id", "name"), scientific, _part_names(spark))
 
 
-@query("name_text", """WITH b AS (SELECT e.entity_id, CASE WHEN n.n_name IS NULL THEN replace(e.name, ' - ', ' ') WHEN contains(e.name, ' - ') THEN n.n_name || ' leaf' ELSE n.n_name END AS s, e.mesh_id AS d FROM ent AS e LEFT JOIN nation AS n ON e.tax_id = CAST(n.n_nationkey AS STRING))
-    SELECT entity_id, CASE WHEN COUNT(*) OVER (PARTITION BY s) > 1 THEN concat_ws(' ', s, d) ELSE s END AS short_name, concat_ws(' ', s, d) AS long_name FROM b""".replace("WITH b AS (", "SELECT entity_id, short_name, long_name FROM (WITH b AS (").replace("AS long_name FROM b", "AS long_name FROM b)"))
+@query("name_text", """SELECT entity_id, short_name, long_name FROM (WITH b AS (SELECT e.entity_id, CASE WHEN n.n_name IS NULL THEN replace(e.name, ' - ', ' ') WHEN contains(e.name, ' - ') THEN n.n_name || ' leaf' ELSE n.n_name END AS s, e.mesh_id AS d FROM ent AS e LEFT JOIN nation AS n ON e.tax_id = CAST(n.n_nationkey AS STRING))
+    SELECT entity_id, CASE WHEN COUNT(*) OVER (PARTITION BY s) > 1 THEN concat_ws(' ', s, d) ELSE s END AS short_name, concat_ws(' ', s, d) AS long_name FROM b)""")
 def _(spark, sf):
     e = ents(spark, sf)
     n = view(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("tax_id"), F.array("n_name").alias("names"))
