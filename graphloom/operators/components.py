@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     current = stash(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    for _ in range(0 if current.isEmpty() else max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         mark = tuple(now)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if mark is not None:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     loops = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))

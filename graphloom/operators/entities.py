@@ -21,12 +21,17 @@ def entity_keys(kind: Column, ids: Column, part: Column) -> Column:
 
 
 def duplicate_components(rows: DataFrame, row_id: str = "row_id", keys: str = "keys") -> DataFrame:
-    """(row_id, component): rows that share a key, directly or through others. Only keys of several rows make edges."""
-    one = rows.select(F.col(row_id).alias("row_id"), F.explode(F.array_distinct(keys)).alias("key"))
-    chief = one.groupBy("key").agg(F.min("row_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    edges = one.join(chief, "key").where("row_id <> b").select(F.col("row_id").alias("a"), "b")
-    found = connected_components(edges)
-    return rows.select(F.col(row_id).alias("row_id")).join(found.withColumnRenamed("node", "row_id"), "row_id", "left").select("row_id", F.coalesce("component", "row_id").alias("component"))
+    """(row_id, component): rows that share a key, directly or through others; the component is its smallest row id.
+
+    Keys are the nodes, and only rows with several keys are edges, so that rows with one key need a grouping alone.
+    """
+    listed = rows.select(F.col(row_id).alias("row_id"), F.array_sort(F.array_distinct(keys)).alias("keys"))
+    edges = listed.where("size(keys) > 1").select(F.explode(F.slice("keys", 2, F.size("keys") - 1)).alias("a"), F.get("keys", F.lit(0)).alias("b"))
+    linked = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("chief"))
+    # A row's keys are all in one group: its first stands for them.
+    placed = listed.select("row_id", F.get("keys", F.lit(0)).alias("key")).join(linked, "key", "left").select("row_id", F.coalesce("chief", "key").alias("group"))
+    least = placed.where("group is not null").groupBy("group").agg(F.min("row_id").alias("component"))
+    return placed.join(least, "group", "left").select("row_id", F.coalesce("component", "row_id").alias("component"))
 
 
 def merge_entities(stored: DataFrame, candidates: DataFrame, retired_max: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,7 +102,7 @@ def append_triples(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[
     full = new.withColumn("triple", triple_key(F.col("head"), F.col("relation"), F.col("tail")))
     full = evidence.limit(0).unionByName(full.select(*(c for c in full.columns if c in evidence.columns)), allowMissingColumns=True)
     mark = F.md5(F.to_json(F.struct(*evidence.columns), {"ignoreNullFields": "false"}))
-    fresh = full.withColumn("__m", mark).dropDuplicates(["__m"]).join(evidence.select(mark.alias("__m")), "__m", "left_anti").drop("__m")
+    fresh = full.distinct().withColumn("__m", mark).join(evidence.select(mark.alias("__m")), "__m", "left_anti").drop("__m")
     triples = full.select("head", "relation", "tail").distinct().join(kg, ["head", "relation", "tail"], "left_anti")
     return kg.unionByName(triples), evidence.unionByName(fresh)
 
