@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.sources.written import shared_folder, stash  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
 
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Spark hands to Python by bytes: long texts come a few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

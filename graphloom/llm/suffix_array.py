@@ -18,7 +18,7 @@ LENGTH = 400
 #: Bytes of the anchors: the smallest hash of so many bytes in each window.
 PART = 128
 #: Bytes of contexts that make one transform, about; and contexts of one anchor beyond which they make several.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 512 << 10
 GROUP = 512
 
 
