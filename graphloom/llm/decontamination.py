@@ -165,7 +165,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int | None = None) -> Spac
 
     With counts C and frequencies D, A = CD; for a random W the product A'AX of X = W / D is DC'CW, so that one pass
     over the documents gives both D and the sketch. The partitions' sketches (terms by rank, whatever the number of
-    documents) are added in two levels. The eigenvalues come from the same sketch (single-pass, symmetric).
+    documents) are added level by level. The eigenvalues come from the same sketch (single-pass, symmetric).
     """
     n_terms = len(items.terms)
     rank = min(max(n_terms, 1), rank or int(np.clip(RANK_SHARE * len(items.passages[3]), LEAST_RANK, MOST_RANK)))
@@ -173,7 +173,10 @@ def latent_space(docs: DataFrame, items: Items, rank: int | None = None) -> Spac
     terms = items.terms
     parts = docs.select("text").mapInArrow(lambda it: _sketch(it, terms, rank), schema)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = parts.repartition(width).mapInArrow(lambda it: _add(it, n_terms, rank), schema).repartition(1).mapInArrow(lambda it: _add(it, n_terms, rank), schema)
+    summed = parts
+    while width:  # levels of sixteen to one: no task adds up more than that
+        summed = summed.repartition(width).mapInArrow(lambda it: _add(it, n_terms, rank), schema)
+        width = -(-width // 16) if width > 1 else 0
     got = summed.collect()
     n = got[0]["n"] if got else 0
     df, squares = (np.frombuffer(got[0][k]) if got else np.zeros(n_terms) for k in ("df", "squares"))
@@ -204,6 +207,7 @@ def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
     idf = dict(zip(items.terms.tolist(), space.idf.tolist()))
     weights_of = [np.array([idf.get(h, 1.0) for h in x]) for x in items.words]
     bags = [{h: float(v[[k for k, o in enumerate(x) if o == h]].sum()) for h in set(x)} for x, v in zip(items.words, weights_of)]
+    totals, longest = [float(v.sum()) for v in weights_of], max(map(len, items.words), default=0)
     for batch in steps(batches):
         w = Words(batch.column("text"), lower=True, plain=True)
         (p, t, c, outside), owner, first = passages(w, items.terms)
@@ -220,25 +224,26 @@ def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
         for at in range(0, len(places), 4096):
             similar = latent[at : at + 4096] @ space.items.T
             a, b = np.nonzero(similar >= cosine)
-            order = np.argsort(-similar[a, b], kind="stable")
-            for a_, b_ in zip(a[order].tolist(), b[order].tolist()):
+            seen, around = -1, set()
+            for a_, b_, cos in zip(a.tolist(), b.tolist(), similar[a, b].tolist()):
                 place, item = int(places[at + a_]), int(items.owner[b_])
                 text, n = int(owner[place]), len(items.words[item])
-                if found.get((text, item), (0, 0))[1] >= 0.999999:
+                best = found.get((text, item), (0.0, 0.0))[1]
+                if best >= 0.999999:
                     continue
-                start = max(int(first[place]) - n // 2, 0)
-                stop = int(first[place]) + CELL * CELLS + n // 2
-                low = int(w.word_off[text])
-                region = w.hash[low + start : min(low + stop, int(w.word_off[text + 1]))].tolist()
-                bag, own = bags[item], weights_of[item]
-                if sum(bag[h] for h in bag.keys() & set(region)) < PARAPHRASE * own.sum():
+                low, end = int(w.word_off[text]), int(w.word_off[text + 1])
+                if place != seen:  # all that any item's region can hold
+                    seen, around = place, set(w.hash[low + max(int(first[place]) - longest // 2, 0) : min(low + int(first[place]) + CELL * CELLS + longest // 2, end)].tolist())
+                bag, own, total = bags[item], weights_of[item], totals[item]
+                if sum([bag[h] for h in bag.keys() & around]) < PARAPHRASE * total:
                     continue  # no subsequence can hold as much as is asked
-                bits = common_subsequence(items.masks[item], n, region)
+                start = max(int(first[place]) - n // 2, 0)
+                bits = common_subsequence(items.masks[item], n, w.hash[low + start : min(low + int(first[place]) + CELL * CELLS + n // 2, end)].tolist())
                 held = own * np.array([bits >> k & 1 for k in range(n)])
-                share = float(held.sum() / own.sum())
+                share = float(held.sum() / total)
                 answer = float(held[-ANSWER_WORDS:].sum() / own[-ANSWER_WORDS:].sum())
-                if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > found.get((text, item), (0, 0))[1]:
-                    found[text, item] = (float(similar[a_, b_]), share, answer, start)
+                if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > best:
+                    found[text, item] = (cos, share, answer, start)
         yield batch, found
 
 
