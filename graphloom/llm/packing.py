@@ -123,8 +123,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...],
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]).astype({"doc_id": "Int64"})
 
     for batch in steps(batches):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = np.append(tokenizer.ids(text or ""), np.uint32(END_ID)).astype("<u4")
+        found = tokenizer.ids([t or "" for t in batch.column("text").to_pylist()])
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
+            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
             docs.append((doc_id, ids, 0, len(ids)))
             held += len(ids)
         if held >= 1 << 19:

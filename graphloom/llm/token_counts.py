@@ -66,7 +66,7 @@ class Ledger:
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tokenizer = chunk_tokenizer(path)
     for batch in steps(batches):
-        exact = [tokenizer.count(t or "") for t in batch.column("text").to_pylist()]
+        exact = tokenizer.counts([t or "" for t in batch.column("text").to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("source", "lang", "words", "guess")] + [pa.array(exact, pa.int64())], names=["source", "lang", "words", "guess", "exact"])
 
 
