@@ -59,20 +59,21 @@ def holdout_by_source(train: DataFrame, evidence: DataFrame, sources: list[str])
     return train.join(test, T, "left_anti").select(*train.columns), test
 
 
-def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame | None = None) -> DataFrame:
+def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame | None = None, spread: int = 32) -> DataFrame:
     """All unknown (head, relation, tail) of the relation's heads and tails.
 
-    The asked-for result is their product. Tails are dealt to blocks, and each head meets the blocks one by one, so
-    that a task holds one block and the anti-join's key spreads the rest.
+    The asked-for result is their product. Heads and tails are dealt to ``spread`` groups each, and every pair of groups
+    is a key of the join, so that the square of ``spread`` tasks share the product; the anti-join spreads by pair.
     """
     own = kg.where(F.col("relation") == relation)
     heads, tails = own.select("head").distinct(), own.select("tail").distinct()
     if head_filter is not None:
         heads = heads.join(head_filter.select("head"), "head", "left_semi")
-    blocks = 16
-    dealt = tails.withColumn("block", F.pmod(F.xxhash64("tail"), F.lit(blocks)))
-    met = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    every = met.join(dealt, "block").select("head", F.lit(relation).alias("relation"), "tail")
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(spread))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+    left = heads.select("head", group("head").alias("g"), each.alias("h"))
+    right = tails.select("tail", each.alias("g"), group("tail").alias("h"))
+    every = left.join(right, ["g", "h"]).select("head", F.lit(relation).alias("relation"), "tail")
     return every.join(own, T, "left_anti").select(*T)
 
 
