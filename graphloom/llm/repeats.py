@@ -99,7 +99,8 @@ def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all contexts with their number of places; one place of each context whose anchor has others, some of them single)."""
     by = stash(found.groupBy("a", "x").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rk", "s0", "n")).alias("at")), "contexts")
     mixed = by.groupBy("a").agg(F.count("*").alias("variants"), F.count_if(F.expr("times = 1")).alias("single")).where("variants > 1 and single > 0")
-    return by, by.join(mixed.select("a", "variants"), "a").select("a", "x", "times", "variants", "at.*")
+    mixed = stash(mixed.select("a", "variants"), "mixed")  # so that an anchor with many contexts can be split in the join
+    return by, by.join(mixed, "a").select("a", "x", "times", "variants", "at.*")
 
 
 def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:

@@ -252,7 +252,8 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     common = stash(classed.join(shared, "class"), "classes")
     rank = common.groupBy("key").agg(F.count("*").alias("n")).join(nodes.select("key", "least_id", F.size("prints").alias("all")), "key")
     ranked = common.join(rank.select("key", F.struct((F.col("n") / F.col("all")).alias("share"), (-F.coalesce("least_id", F.lit(0))).alias("first"), "key").alias("rank")), "key")
-    chief = ranked.groupBy("class").agg(F.max("rank").alias("rank")).select("class", F.col("rank.key").alias("b"))
+    # Written, so that a class with many texts can be split in the next join.
+    chief = stash(ranked.groupBy("class").agg(F.max("rank").alias("rank")).select("class", F.col("rank.key").alias("b")), "chiefs")
     pairs = stash(common.join(chief, "class").where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = stash(source.join(nodes.select("key", "least_id"), "key").where("doc_id <=> least_id").join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "texts")
