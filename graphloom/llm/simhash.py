@@ -207,26 +207,199 @@ def passage_prints(column: pa.Array, most: int = PASSAGES) -> tuple[np.ndarray,
     return fp[chosen], np.bincount(doc[chosen], minlength=w.n)
 
 
-def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passage_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         fp, counts = passage_prints(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), list_column(fp.view(np.int64), counts, pa.int64())], names=["doc_id", "key", "prints"])
+        sketch = parity_sketches(*shingle_sets(batch.column("text"), size))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), list_column(fp.view(np.int64), counts, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "key", "prints", "sketch"])
 
 
-def similarity(a: str, b: str, size: int = NEAR_SHINGLE) -> float:
-    """Jaccard similarity of two texts' word shingles (fewer words: the whole text is one)."""
-    w = Words(pa.array([a, b], pa.string()), lower=True)
-    sets = []
-    for lo, hi in zip(w.word_off, w.word_off[1:]):
-        at = np.arange(lo, max(hi - size + 1, lo + (hi > lo)))
-        sets.append(set(w.rolling.ranges(w.rolling.prefix(w.hash), at, np.minimum(at + size, hi)).tolist()))
-    return len(sets[0] & sets[1]) / max(len(sets[0] | sets[1]), 1)
+def _verified(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in steps(steps(batches, "text_a"), "text_b"):
+        (x, n), (y, m) = (shingle_sets(batch.column(c), size) for c in ("text_a", "text_b"))
+        gram, row = np.concatenate([x, y]), np.repeat(np.tile(np.arange(batch.num_rows), 2), np.concatenate([n, m]))
+        order = np.lexsort((gram, row))
+        gram, row = gram[order], row[order]
+        both = np.bincount(row[1:][(gram[1:] == gram[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(both / np.maximum(n + m - both, 1) >= least))
+
+
+#: The exact route: shingles that stand in several texts of so many are counted; of those in this many texts or more, the
+#: most frequent ones come last in the order of rarity. Any order gives the same links, it only decides on their cost.
+COUNTED = 1 << 22
+OFTEN = 16
+OFTEN_MOST = 1 << 17
+#: Texts of one shingle beyond which its pairs are dealt to several cells, and pairs made in one step.
+CELL_TEXTS = 2_000
+STEP_PAIRS = 1 << 17
+#: Bits of a text's sketch: the parities of its shingles' numbers by hash. Sketches differ in no more bits than sets in shingles.
+SKETCH = 1024
+
+
+def shingle_sets(column: pa.Array, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles (fewer words: the whole text is one), and how many."""
+    w = Words(column, lower=True)
+    counts = np.where(w.counts >= size, w.counts - size + 1, np.minimum(w.counts, 1))
+    doc = np.repeat(np.arange(w.n), counts)
+    first = np.repeat(w.word_off[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    grams = w.rolling.ranges(w.rolling.prefix(w.hash), first, np.minimum(first + size, w.word_off[1:][doc]))
+    order = np.lexsort((grams, doc))
+    grams, doc = grams[order], doc[order]
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])]) if len(grams) else np.zeros(0, bool)
+    return grams[new], np.bincount(doc[new], minlength=w.n)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text_a"):
-        ok = [similarity(a, b, size) >= least for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def parity_sketches(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits of each text's distinct shingles, as rows of 64-bit numbers."""
+    at = np.repeat(np.arange(len(counts)), counts) * SKETCH + (mix(grams) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(counts) * SKETCH) & 1).astype(bool)
+    return np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.uint64)
+
+
+def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(token, n): a partition's shingles that stand in more than one of its texts."""
+    held, n = [], 0
+
+    def counted() -> pa.RecordBatch:
+        token, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        some = times > 1
+        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(times[some])], names=["token", "n"])
+
+    for batch in steps(batches):
+        held.append(shingle_sets(batch.column("text"), size)[0])
+        n += len(held[-1])
+        if n >= COUNTED:
+            yield counted()
+            held, n = [], 0
+    yield counted()
+
+
+def _rare(batches: Iterator[pa.RecordBatch], size: int, least: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, id, place, n): the rarest shingles of each text, one of which any text of ``least`` similarity shares.
+
+    ``often`` are the frequent shingles, the most frequent first. Texts of equal ids are equal and count once.
+    """
+    by = np.argsort(often)
+    known = often[by]
+    done: set[int] = set()
+    for batch in steps(batches):
+        grams, counts = shingle_sets(batch.column("text"), size)
+        ids = batch.column("id").to_numpy()
+        fresh = np.zeros(len(ids), bool)
+        for k, i in enumerate(ids.tolist()):
+            fresh[k] = i not in done
+            done.add(i)
+        doc = np.repeat(np.arange(len(ids)), counts)
+        late = np.zeros(len(grams), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            hit = known[at] == grams
+            late[hit] = len(often) - by[at[hit]]
+        order = np.lexsort((mix(grams), late, doc))
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
+        asked = counts - np.ceil(least * counts - 1e-6).astype(np.int64) + 1
+        keep = (place < asked[doc]) & fresh[doc]
+        yield pa.RecordBatch.from_arrays([pa.array(grams[order][keep].view(np.int64)), pa.array(ids[doc[keep]]), pa.array(place[keep].astype(np.int32)), pa.array(counts[doc[keep]].astype(np.int32))], names=["token", "id", "place", "n"])
+
+
+def cross_pairs(token: np.ndarray, cell: np.ndarray, block: np.ndarray, group: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of one token and cell and of different groups that can reach ``least`` by length, places and sketches.
+
+    A cell with two blocks pairs only what lies in different ones. Steps hold about ``STEP_PAIRS`` pairs.
+    """
+    order = np.lexsort((group, cell, token))
+    token, cell, block, group, ids, place, n, sketch = (x[order] for x in (token, cell, block, group, ids, place, n, sketch))
+    if not len(token):
+        return
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])])
+    own = new | np.concatenate([[True], group[1:] != group[:-1]])
+    at = np.arange(len(token))
+    start, mine = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(own, at, 0))
+    # Each row with those of its token and cell that stand before its group.
+    todo = mine - start
+    ends = np.cumsum(todo)
+    low, n = 0, n.astype(np.int64)
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - todo[low] + STEP_PAIRS, "right")))
+        some = todo[low:high]
+        a = np.repeat(at[low:high], some)
+        b = np.repeat(start[low:high] - np.cumsum(some) + some, some) + np.arange(len(a))
+        low = high
+        short, long = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        least_both = np.ceil(least / (1 + least) * (short + long) - 1e-6)
+        least_short = np.ceil(2 * least / (1 + least) * short - 1e-6)
+        reach = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+        ok = (short >= least * long - 1e-6) & (np.where(n[a] <= n[b], place[a], place[b]) <= short - least_short) & (reach >= least_both) & (ids[a] != ids[b])
+        ok &= (block[a] != block[b]) | (cell[a] < 0)
+        a, b, most = a[ok], b[ok], (short + long - 2 * least_both)[ok]  # shingles of one text only
+        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
+        x, y = np.minimum(ids[a[near]], ids[b[near]]), np.maximum(ids[a[near]], ids[b[near]])
+        if len(x):
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            yield x[first], y[first]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows whose token has several ids, each (token, id) once."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    token, ids, place, n = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in ("token", "id", "place", "n"))
+    del rows
+    order = np.lexsort((ids, token))
+    token, ids, place, n = (x[order] for x in (token, ids, place, n))
+    first = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
+    token, ids, place, n = (x[first] for x in (token, ids, place, n))
+    same = token[1:] == token[:-1]
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    for at in range(0, int(some.sum()), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[some][at : at + (1 << 16)]) for x in (token, ids, place, n)], names=["token", "id", "place", "n"])
+
+
+def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    numbers = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in ("token", "cell", "block", "group", "id", "place", "n"))
+    sketch = np.concatenate([np.frombuffer(b"".join(r.column("sketch").to_pylist()), np.uint64).reshape(r.num_rows, -1) for r in rows])
+    for a, b in cross_pairs(*numbers, sketch, least):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def rest_pairs(texts: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
+    """(a, b): ids of texts in different groups that may have a similarity of ``least`` or more; none such is left out.
+
+    A prefix-filtered join: two texts so alike share one of their rarest shingles. ``texts`` has (id, text), equal ids
+    for equal texts; ``nodes`` has (id, group, sketch) of each id: the pairs of a group are linked already. Rarity is that of the shingles that a
+    partition holds more than once, added up over all. A shingle of many texts of several groups is dealt to cells.
+    """
+    spark = texts.sparkSession
+    counted = texts.select("text").mapInArrow(lambda it: _often(it, size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(OFTEN_MOST).select("token").collect()
+    often = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    schema = "token long, id long, place int, n int"
+    tokens = texts.select("id", "text").mapInArrow(lambda it: _rare(it, size, least, often), schema)
+    shared = stash(tokens.repartition("token").mapInArrow(_shared, schema), "shared")
+    placed = stash(shared.join(nodes, "id"), "placed")
+    several = placed.groupBy("token").agg(F.count("*").alias("texts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("texts") / CELL_TEXTS).cast("long")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    # A cell for each pair of blocks; -1 - block for a block with itself.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = placed.join(several.select("token", blocks.alias("blocks")), "token").withColumn("block", block).withColumn("other", other)
+    cell = F.when(F.col("block") == F.col("other"), -1 - F.col("block")).otherwise(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    cells = dealt.select("token", cell.alias("cell"), "block", "group", "id", "place", "n", "sketch").repartition("token", "cell")
+    return cells.mapInArrow(lambda it: _cross(it, least), "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
+    """The pairs of keys (a, b) whose texts have a similarity of ``least`` or more."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = stash(source.join(nodes.select("key", "least_id"), "key").where("doc_id <=> least_id").join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "texts")
+    compared = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return compared.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
 
 
 def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -236,15 +409,16 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     largest part of its passages (an original shares more than its edited copies) stands for the class, and each other
     text of it is compared with that one whole: similarity of word shingles of ``least`` or more links them. Equal
     texts are one node from the start, so that neither classes nor comparisons grow with a text's copies, and each
-    text has at most ``PASSAGES`` comparisons. Repeated rows leave one; null texts are empty ones; rows of a null id
+    text has at most ``PASSAGES`` of these comparisons. What they leave apart goes through ``rest_pairs``, which leaves
+    out no pair of ``least`` similarity. Repeated rows leave one; null texts are empty ones; rows of a null id
     give way to others with the same text. An empty table stays empty.
     """
     arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("").cast("binary"))  # texts without words are equal
     source = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
-    prints = stash(source.select("doc_id", "key", "text").mapInArrow(_passage_batches, "doc_id long, key string, prints array<long>"), "passages")
-    nodes = stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints")), "nodes")
+    prints = stash(source.select("doc_id", "key", "text").mapInArrow(lambda it: _passage_batches(it, size), "doc_id long, key string, prints array<long>, sketch binary"), "passages")
+    nodes = stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")), "nodes")
     one = stash(nodes.select("key", F.explode(F.array_distinct("prints")).alias("fp")), "prints")
     linked = link_fingerprints(one.select("fp").distinct(), budget)
     classed = one.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("class")).distinct()
@@ -255,11 +429,15 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     # Written, so that a class with many texts can be split in the next join.
     chief = stash(ranked.groupBy("class").agg(F.max("rank").alias("rank")).select("class", F.col("rank.key").alias("b")), "chiefs")
     pairs = stash(common.join(chief, "class").where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stash(source.join(nodes.select("key", "least_id"), "key").where("doc_id <=> least_id").join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "texts")
-    compared = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    links = compared.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
-    groups = connected_components(links)
+    links = stash(_similar(pairs, source, nodes, least, size), "links")
+    groups = stash(connected_components(links), "groups")
+    number = F.xxhash64("key")  # should two keys share one, both are compared
+    grouped = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select(number.alias("id"), F.xxhash64(F.coalesce("component", "key")).alias("group"), "sketch")
+    apart = rest_pairs(source.select(number.alias("id"), "text"), grouped, least, size)
+    keys = nodes.select(number.alias("id"), "key")
+    rest = apart.join(keys.select(F.col("id").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b")
+    more = stash(_similar(stash(rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "rest"), source, nodes, least, size), "links")
+    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     grouped = nodes.select("key", "least_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
     keep = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")).select("m.key", F.col("m.least_id").alias("id"))
     kept = source.join(keep, "key").where("doc_id <=> id").select("key", "row").dropDuplicates(["key"])

@@ -194,6 +194,28 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, none, texts):
     assert simhash.distinct_near(none).count() == 0
 
 
+def test_near_dedup_finds_pairs_without_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_TEXTS", 3)
+    rng = random.Random(8)
+    whole = [f"u{k}" for k in range(20_000) if words.Words(pa.array([f"u{k}"])).hash[0] % np.uint64(simhash.PASSAGE)]
+    texts, shared = [], " ".join(rng.sample(whole, 300))
+    for _ in range(10):  # a text without borders is one passage; each edit changes it
+        w = rng.sample(whole, 70)
+        texts += [" ".join(w), " ".join([*w[:-1], "edited"]), " ".join(["edited", *w[1:]])]
+    for k in range(20):  # the pair meets only where a third text stands for the class
+        own = " ".join(rng.sample(whole, 100))
+        texts += [f"{own} {shared}", f"{own} other {k} {shared}", f"{shared} {' '.join(rng.sample(whole, 40))}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert {r["doc_id"] for r in simhash.distinct_near(frame).select("doc_id").collect()} == set(root)
+
+
 def test_quality_counts(docs, none, texts):
     rng = np.random.default_rng(0)
     x, y = rng.random((200, len(quality_rules.FEATURES))), rng.integers(0, 2, 200).astype(float)
