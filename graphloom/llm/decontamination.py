@@ -1,5 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
+What the latent space does not show is found by words: an item's words in a region are the most that a common subsequence
+can hold, so that regions with less than is asked, and no others, are left out.
+
 A passage is ``CELLS`` cells of ``CELL`` words. The latent space is that of a randomised singular value decomposition
 of the TF-IDF passages of benchmark and corpus, over the benchmark's terms.
 """
@@ -31,6 +34,8 @@ INSIDE = 0.4
 PROOF = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.75
+#: Share of an item's weight that its lightest words, which the search by words leaves out of its index, may have.
+LIGHT = 0.35
 #: The answer: an item's last words.
 ANSWER_WORDS = 8
 #: Terms in over this share of the items (but at least in three) are no terms of the space, except an item's rarest.
@@ -201,6 +206,59 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]
 
 
+@dataclass
+class WordIndex:
+    """The heavy words of each item: word ``keys[k]`` has the entries ``off[k]`` to ``off[k + 1]`` of items and weights."""
+
+    keys: np.ndarray
+    off: np.ndarray
+    items: np.ndarray
+    weights: np.ndarray
+    least: np.ndarray
+    reach: int
+
+
+def word_index(bags: list[dict[int, float]], totals: list[float], longest: int) -> WordIndex:
+    """An item's heaviest words, all but ``LIGHT`` of its weight, and the weight of them that a match needs at least."""
+    entries, least = [], np.full(len(bags), np.inf)
+    for i, (bag, total) in enumerate(zip(bags, totals)):
+        left = total
+        for h, v in sorted(bag.items(), key=lambda x: (-x[1], x[0])):
+            if left <= LIGHT * total:
+                break
+            entries.append((h, i, v))
+            left -= v
+        if bag:
+            least[i] = PARAPHRASE * total - left - 1e-6 * total
+    entries.sort()
+    keys, off = np.unique(np.array([e[0] for e in entries], np.uint64), return_index=True)
+    return WordIndex(keys, np.append(off, len(entries)), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries]), least, CELL * CELLS + longest)
+
+
+def word_candidates(w: Words, index: WordIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, segment, item): where an item's heavy words may suffice. Segment s is the words s * reach to (s + 2) * reach."""
+    none = np.zeros(0, np.int64)
+    if not len(index.keys) or not len(w.hash):
+        return none, none, none
+    at = np.minimum(np.searchsorted(index.keys, w.hash), len(index.keys) - 1)
+    hit = np.flatnonzero(index.keys[at] == w.hash)
+    word, doc = at[hit], w.doc[hit]
+    segment = (hit - w.word_off[doc]) // index.reach
+    off = np.concatenate([[0], np.cumsum(w.counts // index.reach + 1)])
+    place = off[doc] + segment
+    both = np.concatenate([place, place[segment > 0] - 1]) * len(index.keys) + np.concatenate([word, word[segment > 0]])
+    both = np.unique(both)
+    place, word = both // len(index.keys), both % len(index.keys)
+    size = index.off[word + 1] - index.off[word]
+    entry = np.repeat(index.off[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    key, where = np.unique(np.repeat(place, size) * len(index.least) + index.items[entry], return_inverse=True)
+    held = np.bincount(where, index.weights[entry], minlength=len(key))
+    key = key[held >= index.least[key % len(index.least)]]
+    place, item = key // len(index.least), key % len(index.least)
+    text = np.searchsorted(off, place, "right") - 1
+    return text, place - off[text], item
+
+
 def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine: float) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], tuple]]]:
     """Batches, each with the best match of every (row, item) that is contaminated."""
     mean_idf = float(space.idf.mean()) if len(space.idf) else 1.0
@@ -208,6 +266,8 @@ def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
     weights_of = [np.array([idf.get(h, 1.0) for h in x]) for x in items.words]
     bags = [{h: float(v[[k for k, o in enumerate(x) if o == h]].sum()) for h in set(x)} for x, v in zip(items.words, weights_of)]
     totals, longest = [float(v.sum()) for v in weights_of], max(map(len, items.words), default=0)
+    index = word_index(bags, totals, longest)
+    items_of = lambda item: space.items[items.owner == item]
     for batch in steps(batches):
         w = Words(batch.column("text"), lower=True, plain=True)
         (p, t, c, outside), owner, first = passages(w, items.terms)
@@ -220,30 +280,48 @@ def _found(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
         compact = np.cumsum(may) - 1
         latent = _unit(_sums(space.basis[t[ok]] * weights[ok][:, None], compact[p[ok]], int(may.sum())))
         places = np.flatnonzero(may)
+        n_places = np.bincount(owner, minlength=w.n)
+        place_off = np.concatenate([[0], np.cumsum(n_places)])
         found: dict[tuple[int, int], tuple] = {}
+        tried: set[tuple[int, int]] = set()
+        around: dict[int, set[int]] = {}
+
+        def cosine_of(place: int, item: int) -> float:
+            rows = slice(*np.searchsorted(p, [place, place + 1]))
+            return float((items_of(item) @ _unit((space.basis[t[rows]] * weights[rows][:, None]).sum(axis=0)[None])[0]).max())
+
+        def verify(place: int, item: int, cos: float | None) -> None:
+            text, n = int(owner[place]), len(items.words[item])
+            best = found.get((text, item), (0.0, 0.0))[1]
+            if best >= 0.999999 or (place, item) in tried:
+                return
+            tried.add((place, item))
+            low, end = int(w.word_off[text]), int(w.word_off[text + 1])
+            if place not in around:  # all that any item's region can hold
+                around.clear()
+                around[place] = set(w.hash[low + max(int(first[place]) - longest // 2, 0) : min(low + int(first[place]) + CELL * CELLS + longest // 2, end)].tolist())
+            bag, own, total = bags[item], weights_of[item], totals[item]
+            if sum([bag[h] for h in bag.keys() & around[place]]) < PARAPHRASE * total:
+                return  # no subsequence can hold as much as is asked
+            start = max(int(first[place]) - n // 2, 0)
+            bits = common_subsequence(items.masks[item], n, w.hash[low + start : min(low + int(first[place]) + CELL * CELLS + n // 2, end)].tolist())
+            held = own * np.array([bits >> k & 1 for k in range(n)])
+            share = float(held.sum() / total)
+            answer = float(held[-ANSWER_WORDS:].sum() / own[-ANSWER_WORDS:].sum())
+            if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > best:
+                found[text, item] = (cosine_of(place, item) if cos is None else cos, share, answer, start)
+
         for at in range(0, len(places), 4096):
             similar = latent[at : at + 4096] @ space.items.T
             a, b = np.nonzero(similar >= cosine)
-            seen, around = -1, set()
             for a_, b_, cos in zip(a.tolist(), b.tolist(), similar[a, b].tolist()):
-                place, item = int(places[at + a_]), int(items.owner[b_])
-                text, n = int(owner[place]), len(items.words[item])
-                best = found.get((text, item), (0.0, 0.0))[1]
-                if best >= 0.999999:
-                    continue
-                low, end = int(w.word_off[text]), int(w.word_off[text + 1])
-                if place != seen:  # all that any item's region can hold
-                    seen, around = place, set(w.hash[low + max(int(first[place]) - longest // 2, 0) : min(low + int(first[place]) + CELL * CELLS + longest // 2, end)].tolist())
-                bag, own, total = bags[item], weights_of[item], totals[item]
-                if sum([bag[h] for h in bag.keys() & around]) < PARAPHRASE * total:
-                    continue  # no subsequence can hold as much as is asked
-                start = max(int(first[place]) - n // 2, 0)
-                bits = common_subsequence(items.masks[item], n, w.hash[low + start : min(low + int(first[place]) + CELL * CELLS + n // 2, end)].tolist())
-                held = own * np.array([bits >> k & 1 for k in range(n)])
-                share = float(held.sum() / total)
-                answer = float(held[-ANSWER_WORDS:].sum() / own[-ANSWER_WORDS:].sum())
-                if (share >= PROOF or share >= PARAPHRASE and answer >= ANSWER) and share > best:
-                    found[text, item] = (cos, share, answer, start)
+                verify(int(places[at + a_]), int(items.owner[b_]), cos)
+        for text, segment, item in zip(*(x.tolist() for x in word_candidates(w, index))):
+            n, cells = len(items.words[item]), int(n_places[text])
+            # The places whose region begins in the first half of the segment.
+            low = -(-(segment * index.reach + n // 2) // CELL) if segment else 0
+            for k in range(low, min(-(-((segment + 1) * index.reach + n // 2) // CELL), cells)):
+                verify(int(place_off[text]) + k, item, None)
         yield batch, found
 
 

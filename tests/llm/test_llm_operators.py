@@ -492,6 +492,37 @@ def test_decontamination(spark, docs, none, texts):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_what_the_rule_accepts(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(5_000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(15, 30)))) for k in range(200)]
+    rows = []
+    for i in range(90):
+        w = [x if rng.random() > (0.25, 0.3, 0.35)[i % 3] else rng.choice(vocabulary) for x in items[i][1].split(" ")]
+        body = [x for _ in range(20) for x in items[rng.randrange(200)][1].split(" ")[4:10]]  # around it, words of others
+        at = rng.randrange(len(body))
+        rows.append((i, " ".join(body[:at] + w + body[at:])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    block = decontamination.read_items(items)
+    idf = dict(zip(block.terms.tolist(), decontamination.latent_space(frame, block).idf.tolist()))
+    want = set()
+    for d, t in rows:
+        w = words.Words(pa.array([t]), lower=True, plain=True).hash.tolist()
+        for k, x in enumerate(block.words):
+            n, weights = len(x), np.array([idf.get(h, 1.0) for h in x])
+            if len(set(x) & set(w)) < 0.3 * len(set(x)):
+                continue
+            for at in range(0, max(16 * (-(-len(w) // 16) - 1), 1), 16):
+                bits = decontamination.common_subsequence(block.masks[k], n, w[max(at - n // 2, 0) : at + 32 + n // 2])
+                held = weights * np.array([bits >> j & 1 for j in range(n)])
+                share, answer = held.sum() / weights.sum(), held[-8:].sum() / weights[-8:].sum()
+                if share >= decontamination.PROOF or share >= decontamination.PARAPHRASE and answer >= decontamination.ANSWER:
+                    want.add((d, k))
+    assert len(want) > 40
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame, bench).collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
