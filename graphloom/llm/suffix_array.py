@@ -17,6 +17,9 @@ from graphloom.llm.words import SECOND, U, mix
 LENGTH = 400
 #: Bytes of the anchors: the smallest hash of so many bytes in each window.
 PART = 128
+#: The same where passages of fifty words or more are to go: in the corpora at hand these have 227 bytes at the least, and 300
+#: as a rule; fifty words of four letters have 250.
+PASSAGE, PASSAGE_PART = 250, 96
 #: Bytes of contexts that make one transform, about; and contexts of one anchor beyond which they make several.
 BLOCK_BYTES = 512 << 10
 GROUP = 512
@@ -184,9 +187,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, part: int = PART, id_col
     return cut.mapInArrow(lambda it: _cut(it, length), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` with ``text`` cut, and ``n_chars`` (if there) counted anew; a broken character's bytes go."""
-    cut = suffix_dedup(docs, length)
+def without_repeats(docs: DataFrame, length: int = PASSAGE, part: int = PASSAGE_PART) -> DataFrame:
+    """The rows of ``docs`` with ``text`` cut, and ``n_chars`` (if there) counted anew; a broken character's bytes go.
+
+    Every row stays, with all its columns, also one whose text is null (it becomes empty) or cut whole. Repeated rows are
+    copies of each other. An empty table stays empty.
+    """
+    cut = suffix_dedup(docs, length, part)
     kept = F.col("kept").cast("string")
     columns = {"text": F.when(F.is_valid_utf8(kept), kept).otherwise(F.translate(F.make_valid_utf8(kept), "\ufffd", ""))}
     if "n_chars" in docs.columns:
