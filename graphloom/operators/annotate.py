@@ -106,15 +106,20 @@ def al_batch(pool: DataFrame, size: int, strategy: str, keys: list[str], prob: s
         b = stratified_bins(pool, size, prob)
         quota = F.when(F.col("bin") < b, size // b).otherwise(size - size // b * (b - 1))
         binned = pool.withColumn("bin", _bin(F.col(prob), F.lit(b)))
-        return binned.withColumn("at", F.row_number().over(Window.partitionBy("bin").orderBy(shuffle, *key_columns))).withColumn("chosen", F.col("at") <= quota).drop("bin", "at")
+        placed = numbered(binned, [F.col("bin"), shuffle, *key_columns], "at")
+        first = placed.groupBy("bin").agg(F.min("at").alias("first"))  # a row for each of at most ten bins
+        return placed.join(F.broadcast(first), "bin").withColumn("chosen", F.col("at") - F.col("first") < quota).select(*pool.columns, "chosen")
     first = {"random": shuffle, "certain_pos": -F.col(prob), "uncertain": -uncertainty(F.col(prob))}[strategy]
     return numbered(pool, [first, shuffle, *key_columns], "at").withColumn("chosen", F.col("at") < size).drop("at")
 
 
 def stratified_sample(rows: DataFrame, n: int, bins: int, keys: list[str], prob: str = "prob", seed: str = "42") -> DataFrame:
     """``n`` rows of each left-closed probability bin (the last closed)."""
-    at = F.row_number().over(Window.partitionBy("bin").orderBy(pseudo_random(*map(F.col, keys), seed=seed), *keys))
-    return rows.withColumn("bin", F.least(F.floor(F.round(F.col(prob) * bins, 9)), F.lit(bins - 1)).cast("int")).withColumn("at", at).where(F.col("at") <= n).drop("at")
+    binned = rows.withColumn("bin", F.least(F.floor(F.round(F.col(prob) * bins, 9)), F.lit(bins - 1)).cast("int"))
+    placed = numbered(binned, [F.col("bin"), pseudo_random(*map(F.col, keys), seed=seed), *map(F.col, keys)], "at")
+    first = placed.groupBy("bin").agg(F.min("at").alias("first"))  # a row for each of ``bins`` and for a null
+    kept = placed.join(F.broadcast(first), placed["bin"].eqNullSafe(first["bin"])).where(F.col("at") - F.col("first") < n)
+    return kept.select(*rows.columns, placed["bin"])
 
 
 def ends_by(rows: DataFrame, order: list, n: int, first: bool = True) -> DataFrame:

@@ -94,17 +94,33 @@ def resolve_candidates(candidates: DataFrame, entities: DataFrame, relations: Da
     return out.join(relations.select(F.col("relation_id").alias("relation"), F.col("name").alias("relation_name")), "relation_name")
 
 
-def append_triples(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kg, evidence) with new evidence rows: triples unique, evidence unique over all its columns (nulls are equal).
+def row_mark(columns: list[str]) -> Column:
+    """A digest of a row's cells, nulls among them: rows are equal if their marks are."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
 
-    Missing columns of ``new`` are null. Only a hash of each row is compared, so that long premises travel once.
+def new_rows(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples, evidence) of ``new`` that the tables lack, the evidence with its mark in ``row_mark``.
+
+    Stored evidence that holds a column ``row_mark`` is not hashed again: that column alone is read of it. Missing
+    columns of ``new`` are null.
     """
+    columns = [c for c in evidence.columns if c != "row_mark"]
     full = new.withColumn("triple", triple_key(F.col("head"), F.col("relation"), F.col("tail")))
-    full = evidence.limit(0).unionByName(full.select(*(c for c in full.columns if c in evidence.columns)), allowMissingColumns=True)
-    mark = F.md5(F.to_json(F.struct(*evidence.columns), {"ignoreNullFields": "false"}))
-    fresh = full.distinct().withColumn("__m", mark).join(evidence.select(mark.alias("__m")), "__m", "left_anti").drop("__m")
+    full = evidence.select(*columns).limit(0).unionByName(full.select(*(c for c in full.columns if c in columns)), allowMissingColumns=True)
+    marks = evidence.select((F.col("row_mark") if "row_mark" in evidence.columns else row_mark(columns)).alias("row_mark"))
+    fresh = full.distinct().withColumn("row_mark", row_mark(columns)).join(marks, "row_mark", "left_anti").select(*columns, "row_mark")
     triples = full.select("head", "relation", "tail").distinct().join(kg, ["head", "relation", "tail"], "left_anti")
-    return kg.unionByName(triples), evidence.unionByName(fresh)
+    return triples, fresh
+
+
+def append_triples(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kg, evidence) with new evidence rows: triples unique, evidence unique over all its columns (nulls are equal).
+
+    Only a digest of each row is compared, so that long premises travel once.
+    """
+    triples, fresh = new_rows(kg, evidence, new)
+    return kg.unionByName(triples), evidence.unionByName(fresh.select(*evidence.columns))
 
 
 def add_relations(relations: DataFrame, names: DataFrame) -> DataFrame:

@@ -84,6 +84,15 @@ def association_funnel(rows: DataFrame, references: DataFrame, known_foods: Data
     return known.agg(F.count("*").alias("associations"), F.count_if("found").alias("with_reference"), F.count_if("indexed").alias("with_indexed"), F.count_if(F.col("indexed") & F.col("f").isNotNull() & F.col("c").isNotNull()).alias("with_indexed_known"))
 
 
+def associations_by(rows: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
+    """(by, associations, with_reference): a composition table's associations by food or compound, and those with a
+    reference that is known."""
+    cited = rows.select("association_id", *by, F.explode_outer(F.split("reference_ids", ",")).alias("ref"))
+    refs = references.select(F.col("reference_id").cast("string").alias("ref"), F.lit(True).alias("found")).distinct()
+    one = cited.withColumn("ref", F.trim("ref")).join(refs, "ref", "left").groupBy("association_id", *by).agg(F.max(F.coalesce("found", F.lit(False))).alias("found"))
+    return one.groupBy(*by).agg(F.count("*").alias("associations"), F.count_if("found").alias("with_reference"))
+
+
 def food_db_pairs(contents: DataFrame, foods: DataFrame, compounds: DataFrame) -> DataFrame:
     """Distinct (tax_id, cid) of another database's compound rows; compounds join by structure code."""
     rows = contents.where("source_type = 'Compound'").join(foods.select("food_id", "tax_id"), "food_id").join(compounds.select("compound_id", "cid"), "compound_id")

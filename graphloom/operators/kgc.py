@@ -59,48 +59,64 @@ def holdout_by_source(train: DataFrame, evidence: DataFrame, sources: list[str])
     return train.join(test, T, "left_anti").select(*train.columns), test
 
 
-def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame | None = None, spread: int = 32) -> DataFrame:
+#: Tails of one group, and heads of one, in the product of both: a task's key is a pair of groups.
+GROUP = 2_000
+
+
+def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame | None = None, group: int = GROUP) -> DataFrame:
     """All unknown (head, relation, tail) of the relation's heads and tails.
 
-    The asked-for result is their product. Heads and tails are dealt to ``spread`` groups each, and every pair of groups
-    is a key of the join, so that the square of ``spread`` tasks share the product; the anti-join spreads by pair.
+    The asked-for result is their product, and it is made where it stays: heads and tails are dealt to groups of about
+    ``group``, a head meets the array of a whole group of tails, without those that it is known with in that group, and
+    only then becomes rows. So what is shuffled is the product's size divided by ``group``.
     """
-    own = kg.where(F.col("relation") == relation)
+    own = stash(kg.where(F.col("relation") == relation).select("head", "tail").distinct(), "own")
     heads, tails = own.select("head").distinct(), own.select("tail").distinct()
     if head_filter is not None:
         heads = heads.join(head_filter.select("head"), "head", "left_semi")
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(spread))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
-    left = heads.select("head", group("head").alias("g"), each.alias("h"))
-    right = tails.select("tail", each.alias("g"), group("tail").alias("h"))
-    every = left.join(right, ["g", "h"]).select("head", F.lit(relation).alias("relation"), "tail")
-    return every.join(own, T, "left_anti").select(*T)
+    n_heads, n_tails = (max(1, -(-int(n) // group)) for n in own.agg(F.count_distinct("head"), F.count_distinct("tail")).first())
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    known = own.groupBy("head", deal("tail", n_tails).alias("h")).agg(F.collect_list("tail").alias("known"))
+    asking = heads.select("head", deal("head", n_heads).alias("g"), each(n_tails).alias("h")).join(known, ["head", "h"], "left")
+    grouped = tails.groupBy(deal("tail", n_tails).alias("h")).agg(F.collect_list("tail").alias("tails")).select("h", "tails", each(n_heads).alias("g"))
+    unknown = F.when(F.col("known").isNull(), F.col("tails")).otherwise(F.array_except("tails", "known"))
+    return asking.join(grouped, ["g", "h"]).select("head", F.lit(relation).alias("relation"), F.explode(unknown).alias("tail"))
 
 
-def negative_samples(positives: DataFrame, known: DataFrame, draws: int = 8, seed: str = "42") -> DataFrame:
+def negative_samples(positives: DataFrame, known: DataFrame, draws: int = 8, rounds: int = 4, seed: str = "42") -> DataFrame:
     """(head, relation, tail, label): each positive, one unknown triple with another head, and one with another tail.
 
-    ``draws`` hashed places in the indexed pool are tried for each end; what finds none is tried against the whole pool.
-    An end that has no unknown corruption at all fails.
+    ``draws`` hashed places in the indexed pool are tried for each end, in up to ``rounds`` rounds for those that found
+    none; what is left then is tried against the whole pool. An end that has no unknown corruption at all fails.
     """
-    known = known.select(*T).distinct()
+    known = stash(known.select(*T).distinct(), "known")
     out = positives.select(*T, F.lit(1).alias("label"))
+    rows = stash(positives.select(*T).distinct(), "positives")
     for end, other in (("head", "tail"), ("tail", "head")):
-        pool = stash(numbered(positives.select(F.col(end).alias("new")).distinct(), [F.col("new")], "pos"), "pool")
+        pool = stash(numbered(rows.select(F.col(end).alias("new")).distinct(), [F.col("new")], "pos"), "pool")
         size = pool.count()
-        rows = positives.select(*T).distinct()
-        number = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{end}"), *T, i.cast("string"))), 1, 15), 16, 10).cast("long"), F.lit(max(size, 1)))
-        tried = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pos", number(F.col("i"))).join(pool, "pos")
-        made = tried.select(*(F.col(c).alias(f"old_{c}") for c in T), "i", *((F.col("new") if c == end else F.col(c)).alias(c) for c in T))
-        fresh = made.join(known, T, "left_anti").groupBy(*(f"old_{c}" for c in T)).agg(F.min_by("tail" if end == "tail" else "head", "i").alias("new"))
-        found = stash(rows.join(fresh, [rows[c] == fresh[f"old_{c}"] for c in T], "left").select(*T, "new"), "found")
-        late = found.where("new is null").drop("new")
+        late, found = rows, []
+        for k in range(rounds):
+            tried = late.withColumn("i", F.explode(F.sequence(F.lit(k * draws), F.lit((k + 1) * draws - 1))))
+            text = F.concat_ws("|", F.lit(f"{seed}{end}"), *T, F.col("i").cast("string"))
+            number = F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(max(size, 1)))
+            made = tried.withColumn("pos", number).join(pool, "pos").select(F.col(end).alias("old"), "relation", other, "i", F.col("new").alias(end))
+            fresh = made.join(known, T, "left_anti").groupBy(F.col("old").alias(end), "relation", other).agg(F.min_by(end, "i").alias("new"))
+            found.append(stash(fresh, "found"))
+            late = stash(late.join(found[-1], T, "left_anti"), "late")
+            if late.isEmpty():
+                break
         # The few that are left: the whole pool, block by block, without what is known with their other end.
         blocks = 16
         met = late.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(pool.select("new", F.pmod("pos", F.lit(blocks)).alias("block")), "block")
         taken = known.select(F.col(end).alias("new"), "relation", other)
-        best = met.join(taken, ["new", "relation", other], "left_anti").groupBy(*T).agg(F.min_by("new", F.struct(pseudo_random(*map(F.col, T), F.col("new"), seed=seed), "new")).alias("new"))
-        full = found.where("new is not null").unionByName(late.join(best, T, "left").select(*T, F.when(F.col("new").isNull(), F.raise_error(F.lit("no unknown corruption")).cast("string")).otherwise(F.col("new")).alias("new")))
+        first = F.struct(pseudo_random(*map(F.col, T), F.col("new"), seed=seed), "new")
+        best = met.join(taken, ["new", "relation", other], "left_anti").groupBy(*T).agg(F.min_by("new", first).alias("new"))
+        none = F.raise_error(F.lit("no unknown corruption")).cast("string")
+        full = late.join(best, T, "left").select(*T, F.when(F.col("new").isNull(), none).otherwise(F.col("new")).alias("new"))
+        for part in found:
+            full = full.unionByName(part.select(*T, "new"))
         again = positives.select(*T).join(full, T)
         out = out.unionByName(again.select(*((F.col("new") if c == end else F.col(c)).alias(c) for c in T), F.lit(0).alias("label")))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
+from graphloom.sources.written import stash
 
 _ENTITY = "struct<category:string,name:string,id:string>"
 
@@ -24,12 +25,14 @@ def parse_annotations(hits: DataFrame, allowed_taxa: DataFrame) -> DataFrame:
     species = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda e: (e["category"] == "species") & e["id"].rlike("^[0-9]+$")), lambda e: F.struct(e["name"].alias("name"), e["id"].alias("id")))))
     chemicals = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda e: e["category"] == "chemical"), lambda e: F.struct(e["name"].alias("name"), F.regexp_replace(e["id"], "^MESH:", "").alias("id")))))
     out = found.withColumn("species", species).withColumn("chemicals", chemicals)
-    # The taxa that are named are few; each row keeps those of its own that the list allows.
-    named = out.select(F.explode("species.id").alias("tax_id")).distinct().join(allowed_taxa.select("tax_id").distinct(), "tax_id", "left_semi")
+    # Which ids of a list are allowed is asked once for each distinct list; rows keep their number and their text stays put.
+    lists = out.select(F.col("species.id").alias("ids")).where("size(ids) > 0").distinct()
+    allowed = lists.select("ids", F.explode("ids").alias("tax_id")).join(allowed_taxa.select("tax_id").distinct(), "tax_id")
+    known = stash(allowed.groupBy("ids").agg(F.collect_set("tax_id").alias("allowed")), "allowed")
     columns = [c for c in out.columns if c not in ("found", "species", "chemicals")]
-    exploded = out.select(*columns, "chemicals", F.posexplode_outer("species").alias("place", "s"))
-    kept = exploded.join(named.withColumn("ok", F.lit(True)), F.col("s.id") == F.col("tax_id"), "left")
-    return kept.groupBy(*columns, "chemicals").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("s")))).alias("organisms"))
+    joined = out.withColumn("ids", F.when(F.size("species") > 0, F.col("species.id"))).join(known, "ids", "left")
+    organisms = F.when(F.col("allowed").isNull(), F.array().cast("array<struct<name:string,id:string>>")).otherwise(F.filter("species", lambda s: F.array_contains(F.col("allowed"), s["id"])))
+    return joined.select(*columns, "chemicals", organisms.alias("organisms"))
 
 
 def premises_with_both(parsed: DataFrame) -> DataFrame:
@@ -46,12 +49,18 @@ def food_parts_in_text(premises: DataFrame, parts: DataFrame, text: str = "premi
 
     With ``phrases`` names of several words match as consecutive tokens, too.
     """
-    named = parts.select("part_id", F.explode(F.array_distinct(F.concat(F.array("food_part"), F.coalesce(F.split("food_part_synonyms", ", "), F.array().cast("array<string>"))))).alias("n")).select("part_id", F.array_join(tokens(F.col("n")), " ").alias("part_name")).where("part_name <> ''").distinct()
-    words = premises.withColumn("tokens", tokens(F.col(text)))
+    synonyms = F.coalesce(F.split("food_part_synonyms", ", "), F.array().cast("array<string>"))
+    names = parts.select("part_id", F.explode(F.array_distinct(F.concat(F.array("food_part"), synonyms))).alias("n"))
+    named = names.select("part_id", F.array_join(tokens(F.col("n")), " ").alias("part_name")).where("part_name <> ''").distinct()
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    words = premises.select(key.alias("__key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     most = 4 if phrases else 1
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, k), " "))))
-    exploded = words.select(*premises.columns, F.explode_outer(F.array_distinct(grams)).alias("part_name"))
-    return exploded.join(named, "part_name", "left").groupBy(*premises.columns).agg(F.array_sort(F.collect_set("part_id")).alias("food_parts"))
+    held = words.select("__key", F.explode(F.array_distinct(grams)).alias("part_name")).join(named, "part_name")
+    # A row for each distinct text with a part: the premises are joined with it as they are, equal rows included.
+    found = stash(held.groupBy("__key").agg(F.array_sort(F.collect_set("part_id")).alias("food_parts")), "parts")
+    none = F.array().cast("array<string>")
+    return premises.withColumn("__key", key).join(found, "__key", "left").select(*premises.columns, F.coalesce("food_parts", none).alias("food_parts"))
 
 
 def dedupe_hits(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

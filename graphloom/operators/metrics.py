@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -134,12 +135,29 @@ def two_sample_t(rows: DataFrame, by: list[str], group: str, a: str, b: str, val
 
 
 def fdr_adjust(rows: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values within each family of tests."""
-    order = Window.partitionBy(*by).orderBy(F.col(p), *[c for c in rows.columns if c != p and c not in by])
-    raw = rows.withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    raw = raw.withColumn("__q", F.col(p) * F.col("__n") / F.col("__r"))
-    back = Window.partitionBy(*by).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("p_adjusted", F.least(F.min("__q").over(back), F.lit(1.0))).drop("__r", "__n", "__q")
+    """Benjamini-Hochberg adjusted p-values within each family of tests, however large a family is.
+
+    Range partitions hold the tests in order. What a partition must know of a family's other partitions is told by a row
+    for each family in each partition that it shares: two for each partition at most, so that broadcasting it is bounded.
+    """
+    others = [c for c in rows.columns if c != p and c not in by]
+    order = [*by, p, *others]
+    placed = stash(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "families")
+    families = Window.partitionBy(*by)
+    parts = placed.groupBy(*by, "__p").agg(F.count("*").alias("__k")).withColumn("__parts", F.count("*").over(families)).where("__parts > 1")
+    before = F.coalesce(F.sum("__k").over(families.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = stash(parts.select(*by, "__p", before.alias("__before"), F.sum("__k").over(families).alias("__all")), "split")
+    here = Window.partitionBy("__p", *by)
+    same = lambda left, right: reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in (*by, "__p")))
+    own = placed.withColumn("__r", F.row_number().over(here.orderBy(p, *others))).withColumn("__n", F.count("*").over(here))
+    known = own.join(F.broadcast(split), same(own, split), "left")
+    rank, n = F.col("__r") + F.coalesce("__before", F.lit(0)), F.coalesce("__all", "__n")
+    raw = stash(known.select(*(own[c] for c in (*rows.columns, "__p", "__r")), (F.col(p) * n / rank).alias("__q"), F.col("__all").isNotNull().alias("__split")), "raw")
+    least = raw.where("__split").groupBy(*by, "__p").agg(F.min("__q").alias("__least"))
+    after = least.select(*by, "__p", F.min("__least").over(families.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
+    back = raw.withColumn("__q", F.min("__q").over(here.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)))
+    full = back.join(F.broadcast(after), same(back, after), "left")
+    return full.select(*(back[c] for c in rows.columns), F.least("__q", "__after", F.lit(1.0)).alias("p_adjusted"))
 
 
 def _hypergeom(N: pd.Series, K: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
@@ -193,7 +211,18 @@ def filtered_rank(candidates: DataFrame, truth: DataFrame, known: DataFrame, que
 
 
 def rank_metrics(ranks: DataFrame, by: list[str], ks: list[int] = (1, 3, 5, 10)) -> DataFrame:
-    return ranks.groupBy(*by).agg(F.avg("rank").alias("mean_rank"), F.avg(1 / F.col("rank")).alias("mrr"), *(F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in ks))
+    """Mean rank, mean reciprocal rank and hits at ``ks`` of each group."""
+    hits = (F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in ks)
+    return ranks.groupBy(*by).agg(F.avg("rank").alias("mean_rank"), F.avg(1 / F.col("rank")).alias("mrr"), *hits)
+
+
+def rank_report(ranks: DataFrame, side: str = "side", run: str = "run", ks: list[int] = (1, 3, 5, 10)) -> DataFrame:
+    """(side, metric…, metric_std…): rank metrics of each side and of both together, averaged over replicates, with the
+    population's deviation."""
+    sides = ranks.withColumn(side, F.explode(F.array(side, F.lit("both"))))
+    each = rank_metrics(sides, [side, run], ks)
+    names = [c for c in each.columns if c not in (side, run)]
+    return each.groupBy(side).agg(*(F.avg(c).alias(c) for c in names), *(F.stddev_pop(c).alias(f"{c}_std") for c in names))
 
 
 def model_rank(means: DataFrame, by: list[str], metric: str) -> DataFrame:

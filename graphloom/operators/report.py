@@ -210,3 +210,9 @@ def keep_last_by_prob(rows: DataFrame) -> DataFrame:
 
 def validated_hypotheses(rows: DataFrame) -> DataFrame:
     return rows.where("not coalesce(is_class, false) and validation = 'Yes'")
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, with all columns; aggregated before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*").select(*rows.columns)

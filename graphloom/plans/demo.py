@@ -17,6 +17,7 @@ VIEWS = {
         CASE WHEN l_linenumber = 7 THEN NULL ELSE round(l_discount * 10, 1) END AS prob_mean, round(l_tax, 2) AS prob_std,
         l_orderkey AS k1, l_linenumber AS k2, l_linenumber AS line FROM lineitem""",
     "kg": "SELECT DISTINCT head, relation, tail FROM ev",
+    "buys": "SELECT DISTINCT 'c' || CAST(o.o_custkey AS STRING) AS head, 'r0' AS relation, 'e' || CAST(1000000 + l.l_partkey AS STRING) AS tail FROM lineitem AS l JOIN orders AS o ON l.l_orderkey = o.o_orderkey",
     "ent": """SELECT 'e' || CAST(s_suppkey AS STRING) AS entity_id, CASE WHEN s_suppkey % 4 = 0 THEN 'organism_with_part' ELSE 'organism:species' END AS type,
         CASE WHEN s_suppkey % 4 = 0 THEN s_name || ' - leaf' ELSE s_name END AS name, CAST(s_nationkey AS STRING) AS tax_id, CAST(NULL AS STRING) AS cid, CAST(NULL AS STRING) AS mesh_id,
         CASE WHEN s_suppkey % 4 = 0 THEN 'p1' ELSE 'p0' END AS part_id FROM supplier

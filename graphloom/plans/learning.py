@@ -24,29 +24,31 @@ def r(c, digits=6):
 
 
 _ORDER = "row_number() OVER (ORDER BY md5('42|' || head || '|' || relation || '|' || tail), head, relation, tail) - 1"
-_SPLIT = f"SELECT head, relation, tail, CASE WHEN place < floor(n * 0.7) THEN 'train' WHEN place < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_ORDER} AS place, COUNT(*) OVER () AS n FROM kg WHERE relation = 'r0')"
+SPLIT = f"SELECT head, relation, tail, CASE WHEN place < floor(n * 0.7) THEN 'train' WHEN place < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_ORDER} AS place, COUNT(*) OVER () AS n FROM kg WHERE relation = 'r0')"
 
 
-def _split(spark, sf):
+def split(spark, sf):
     return kgc.split_triples(view(spark, sf, "kg").where("relation = 'r0'"))
 
 
-@query("split_triples", _SPLIT)
+@query("split_triples", SPLIT)
 def _(spark, sf):
-    return _split(spark, sf)
+    return split(spark, sf)
 
 
-@query("train_minus_holdout", f"SELECT head, relation, tail FROM ({_SPLIT}) WHERE split = 'train'")
+@query("train_minus_holdout", f"SELECT head, relation, tail FROM ({SPLIT}) WHERE split = 'train'")
 def _(spark, sf):
-    s = _split(spark, sf)
+    s = split(spark, sf)
     kgc.assert_disjoint(s.where("split = 'train'"), s.where("split = 'test'"))
     return kgc.train_minus_holdout(s, s.where("split = 'val'"), s.where("split = 'test'"))
 
 
-@query("exclude_taxa", f"SELECT k.* FROM kg AS k LEFT JOIN ent AS e ON k.head = e.entity_id WHERE k.relation = 'r1' AND (e.tax_id IS NULL OR e.tax_id NOT IN (SELECT e.tax_id FROM ({_SPLIT}) AS s JOIN ent AS e ON s.head = e.entity_id WHERE s.split = 'test' AND e.tax_id IS NOT NULL AND s.head LIKE '%7'))")
+@query("exclude_taxa", f"SELECT k.tail AS head, k.relation, k.head AS tail FROM kg AS k LEFT JOIN (SELECT DISTINCT tail FROM ({SPLIT}) WHERE split = 'test') AS g ON k.tail = g.tail WHERE k.relation = 'r1' AND g.tail IS NULL")
 def _(spark, sf):
-    taxa = view(spark, sf, "ent").where("tax_id is not null").select("entity_id", "tax_id")
-    return kgc.exclude_taxa(view(spark, sf, "kg").where("relation = 'r1'"), _split(spark, sf).where("split = 'test' and head like '%7'"), taxa)
+    """The graph seen from its parts, each of which is a taxon of its own (every supplier has a held-out triple)."""
+    turned = lambda df: df.select(F.col("tail").alias("head"), "relation", F.col("head").alias("tail"))
+    taxa = view(spark, sf, "ent").where("type = 'chemical'").select("entity_id", F.concat(F.lit("x"), "entity_id").alias("tax_id"))
+    return kgc.exclude_taxa(turned(view(spark, sf, "kg").where("relation = 'r1'")), turned(split(spark, sf).where("split = 'test'")), taxa)
 
 
 @query("prob_cutoff", "SELECT c.cutoff, COUNT(*) AS n FROM ev CROSS JOIN (VALUES (0.6e0), (0.7e0), (0.8e0), (0.9e0)) AS c(cutoff) WHERE coalesce(prob_mean, 1.0) >= c.cutoff GROUP BY c.cutoff")
@@ -74,17 +76,25 @@ def _(spark, sf):
     return kgc.candidate_hypotheses(view(spark, sf, "kg"), "r0")
 
 
-@query("negative_samples", "SELECT label, COUNT(*) AS n, 0 AS known FROM (SELECT unnest([1, 0, 0]) AS label FROM (SELECT DISTINCT head, relation, tail FROM ev WHERE line = 1 AND tail LIKE '%3')) GROUP BY label")
+# Customers and the parts they buy: sparse enough that every triple has an unknown corruption, as the operator demands (a
+# supplier of the smallest tables is known with nearly all parts).
+@query("negative_samples")
 def _(spark, sf):
-    kg = view(spark, sf, "ev").where("line = 1 and tail like '%3'").select("head", "relation", "tail").distinct()
-    out = kgc.negative_samples(kg, kg)
-    marked = out.join(kg.withColumn("k", F.lit(1)), ["head", "relation", "tail"], "left")
+    buys = view(spark, sf, "buys")
+    return kgc.negative_samples(buys, buys)
+
+
+@query("negative_sample_counts", "SELECT label, COUNT(*) AS n, 0 AS known FROM (SELECT unnest([1, 0, 0]) AS label FROM buys) GROUP BY label")
+def _(spark, sf):
+    buys = view(spark, sf, "buys")
+    out = kgc.negative_samples(buys, buys)
+    marked = out.join(buys.withColumn("k", F.lit(1)), ["head", "relation", "tail"], "left")
     return marked.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when((F.col("label") == 0) & F.col("k").isNotNull(), 1).otherwise(0)).alias("known"))
 
 
-@query("split_coverage", f"SELECT COUNT(*) AS n, COUNT(*) FILTER (h AND t) AS covered, round(AVG(CASE WHEN h AND t THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT head IN (SELECT head FROM ({_SPLIT}) WHERE split = 'train') AS h, tail IN (SELECT tail FROM ({_SPLIT}) WHERE split = 'train') AS t FROM ({_SPLIT}) WHERE split = 'test')")
+@query("split_coverage", f"SELECT COUNT(*) AS n, COUNT(*) FILTER (h AND t) AS covered, round(AVG(CASE WHEN h AND t THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT head IN (SELECT head FROM ({SPLIT}) WHERE split = 'train') AS h, tail IN (SELECT tail FROM ({SPLIT}) WHERE split = 'train') AS t FROM ({SPLIT}) WHERE split = 'test')")
 def _(spark, sf):
-    s = _split(spark, sf)
+    s = split(spark, sf)
     return kgc.split_coverage(s.where("split = 'test'"), s.where("split = 'train'")).withColumn("share", F.round("share", 6))
 
 
@@ -198,9 +208,13 @@ def _(spark, sf):
     return metrics.overlap_hypergeom(view(spark, sf, "pool").withColumn("seen", F.col("k") % 3 == 0), 10, "prob", "seen").where("p >= 0").select("bin", "n", "k")
 
 
-@query("overlap_hypergeom_p")
+_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+
+
+@query("overlap_hypergeom_p", f"""SELECT bin, n, k, round(exp({_CHOOSE.format('kk', 'k')} + {_CHOOSE.format('(nn - kk)', '(n - k)')} - ({_CHOOSE.format('nn', 'n')})), 6) AS p FROM (SELECT CAST(least(floor(round(prob * 10, 9)), 9) AS INT) AS bin, COUNT(*) AS n, COUNT(*) FILTER (k % 3 = 0) AS k FROM pool GROUP BY ALL)
+    CROSS JOIN (SELECT COUNT(*) AS nn, COUNT(*) FILTER (k % 3 = 0) AS kk FROM pool)""")
 def _(spark, sf):
-    return metrics.overlap_hypergeom(view(spark, sf, "pool").withColumn("seen", F.col("k") % 3 == 0), 10, "prob", "seen")
+    return metrics.overlap_hypergeom(view(spark, sf, "pool").withColumn("seen", F.col("k") % 3 == 0), 10, "prob", "seen").select("bin", "n", "k", r("p"))
 
 
 @query("class_balance", "SELECT strategy, round, round(AVG(s), 6) AS mean, round(stddev_samp(s), 6) AS std, COUNT(*) AS runs FROM (SELECT strategy, round, run, AVG(CASE WHEN answer = 'Entails' THEN 1.0 ELSE 0.0 END) AS s FROM rounds GROUP BY ALL) GROUP BY strategy, round")
@@ -250,6 +264,24 @@ def _(spark, sf):
     return metrics.rank_metrics(_ranks(spark, sf).withColumn("side", F.lit("all")), ["side"], [1, 3]).select("side", *(r(c) for c in ("mean_rank", "mrr", "hits_1", "hits_3")))
 
 
+def _sided(spark, sf):
+    """Ranks of heads and tails over replicates: a rank among the triple's own evidence by probability."""
+    lp = view(spark, sf, "lp")
+    side = F.explode(F.array(F.lit("head"), F.lit("tail"))).alias("side")
+    place = F.pmod(F.col("k"), F.lit(7)) + F.when(F.col("side") == "head", 1).otherwise(2)
+    return lp.select("run", (F.substring("head", 2, 12).cast("long") + F.substring("tail", 2, 12).cast("long")).alias("k"), side).select("run", "side", place.alias("rank"))
+
+
+_SIDED = "SELECT run, s.side, CASE WHEN s.side = 'head' THEN k % 7 + 1 ELSE k % 7 + 2 END AS rank FROM (SELECT run, CAST(substr(head, 2) AS BIGINT) + CAST(substr(tail, 2) AS BIGINT) AS k FROM lp) CROSS JOIN (VALUES ('head'), ('tail')) AS s(side)"
+
+
+@query("rank_report", f"""SELECT side, round(AVG(mr), 6) AS mean_rank, round(AVG(rr), 6) AS mrr, round(AVG(h), 6) AS hits_3, round(stddev_pop(mr), 6) AS mean_rank_std, round(stddev_pop(rr), 6) AS mrr_std, round(stddev_pop(h), 6) AS hits_3_std
+    FROM (SELECT side, run, AVG(rank) AS mr, AVG(1 / rank) AS rr, AVG(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS h FROM (SELECT run, side, rank FROM ({_SIDED}) UNION ALL SELECT run, 'both', rank FROM ({_SIDED})) GROUP BY side, run) GROUP BY side""")
+def _(spark, sf):
+    out = metrics.rank_report(_sided(spark, sf), ks=[3])
+    return out.select("side", *(r(c) for c in out.columns if c != "side"))
+
+
 @query("model_rank", "SELECT round, run, m AS f1, rank() OVER (PARTITION BY round ORDER BY m DESC) + (COUNT(*) OVER (PARTITION BY round, m) - 1) / 2 AS rank FROM (SELECT round, run, round(AVG(f1), 3) AS m FROM rounds GROUP BY ALL)")
 def _(spark, sf):
     means = view(spark, sf, "rounds").groupBy("round", "run").agg(F.round(F.avg("f1"), 3).alias("f1"))
@@ -273,7 +305,14 @@ def _(spark, sf):
     return metrics.minmax_scale(view(spark, sf, "scored").where("run = 1"), view(spark, sf, "runs"), "prob").select("doc_id", "run", r("scaled"))
 
 
-@query("isotonic_calibrate")
+# Pool adjacent violators in SQL: the fitted value of a score is the largest, over starts at or before it, of the smallest
+# mean of labels up to an end at or after it.
+_FIT = "SELECT score, SUM(label) AS y, COUNT(*) AS w FROM scored WHERE run = 1 GROUP BY score"
+_MEANS = f"SELECT a.score AS lo, b.score AS hi, SUM(c.y) / SUM(c.w) AS m FROM ({_FIT}) AS a JOIN ({_FIT}) AS b ON a.score <= b.score JOIN ({_FIT}) AS c ON c.score BETWEEN a.score AND b.score GROUP BY a.score, b.score"
+_FITTED = f"SELECT s.score, MAX(l.m) AS prob FROM ({_FIT}) AS s JOIN (SELECT s.score, m.lo, MIN(m.m) AS m FROM ({_FIT}) AS s JOIN ({_MEANS}) AS m ON m.lo <= s.score AND m.hi >= s.score GROUP BY s.score, m.lo) AS l ON l.score = s.score GROUP BY s.score"
+
+
+@query("isotonic_calibrate", f"SELECT a.doc_id, a.score, round(f.prob, 6) AS prob FROM (SELECT doc_id, score FROM scored WHERE run = 2) AS a JOIN ({_FITTED}) AS f ON f.score = least(greatest(a.score, (SELECT MIN(score) FROM ({_FIT}))), (SELECT MAX(score) FROM ({_FIT})))")
 def _(spark, sf):
     s = view(spark, sf, "scored")
     return metrics.isotonic_calibrate(s.where("run = 1").select("label", "score"), s.where("run = 2").select("doc_id", "score")).select("doc_id", "score", r("prob"))

@@ -239,9 +239,10 @@ def _(spark, sf):
     return view(spark, sf, "supplier").select("s_suppkey", X.scientific_name_query(name).alias("query"))
 
 
-@query("singularize", "SELECT n_nationkey, lower(n_name) || ' berry and leaf' AS one FROM nation")
+@query("singularize", "SELECT c_custkey, lower(c_name) || ' leaf and ' || lower(c_mktsegment) || ' berry' AS one FROM customer")
 def _(spark, sf):
-    return view(spark, sf, "nation").select("n_nationkey", F.concat(F.lower("n_name"), F.concat(F.lit(" "), X.singularize(F.concat(F.lit("berries and "), F.when(F.col("n_nationkey") >= 0, F.lit("leaves")))))).alias("one"))
+    many = F.concat(F.lower("c_name"), F.lit("s leaves and "), F.lower("c_mktsegment"), F.lit("s berries"))
+    return view(spark, sf, "customer").select("c_custkey", X.singularize(many).alias("one"))
 
 
 @query("unique_names", "SELECT c_nationkey, array_to_string(list_sort(list(s)), '|') AS names FROM (SELECT c_nationkey, MIN(s) AS s FROM (SELECT c_nationkey, unnest([c_mktsegment, lower(c_mktsegment)]) AS s FROM customer) GROUP BY c_nationkey, lower(s)) GROUP BY c_nationkey")
@@ -303,9 +304,9 @@ def _(spark, sf):
 # Sources that parse text.
 
 
-@query("parse_taxdump", "SELECT CAST(n_nationkey AS STRING) AS tax_id, 'r' || CAST(n_regionkey AS STRING) AS parent_tax_id, 'species' AS rank FROM nation")
+@query("parse_taxdump", "SELECT CAST(c_custkey AS STRING) AS tax_id, 'r' || CAST(c_nationkey AS STRING) AS parent_tax_id, 'species' AS rank FROM customer")
 def _(spark, sf):
-    lines = view(spark, sf, "nation").select(F.format_string("%d\t|\tr%d\t|\tspecies\t|", "n_nationkey", "n_regionkey").alias("value"))
+    lines = view(spark, sf, "customer").select(F.format_string("%d\t|\tr%d\t|\tspecies\t|", "c_custkey", "c_nationkey").alias("value"))
     return S.parse_taxdump(lines, "nodes")
 
 
@@ -342,9 +343,9 @@ def _(spark, sf):
     return _round_trip(spark, sf, "kg", view(spark, sf, "kg"))
 
 
-@query("write_read_relations", "SELECT relation_id, name, translation FROM rel, (SELECT COUNT(*) AS n FROM kg) WHERE n >= 0")
+@query("write_read_relations", "SELECT 'r' || CAST(p_partkey AS STRING) AS relation_id, p_name AS name, p_type AS translation FROM part")
 def _(spark, sf):
-    rel = view(spark, sf, "rel").join(view(spark, sf, "kg").select(F.col("relation").alias("relation_id")), "relation_id", "left").select("relation_id", "name", "translation").distinct()
+    rel = view(spark, sf, "part").select(F.format_string("r%d", "p_partkey").alias("relation_id"), F.col("p_name").alias("name"), F.col("p_type").alias("translation"))
     return _round_trip(spark, sf, "relations", rel)
 
 

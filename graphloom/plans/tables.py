@@ -41,10 +41,11 @@ def _(spark, sf):
     return view(spark, sf, "ent").where(F.col("entity_id") == r["entity_id"]).select("entity_id", "name")
 
 
-@query("relation_by_name", "SELECT relation_id, translation FROM rel WHERE name = 'isA'")
+@query("relation_by_name", "SELECT r.relation_id, r.translation, k.head, COUNT(*) AS n FROM kg AS k JOIN rel AS r ON k.relation = r.relation_id WHERE r.name = 'hasPart' GROUP BY ALL")
 def _(spark, sf):
-    r = entities.exactly_one(view(spark, sf, "rel"), "name", "isA")
-    return view(spark, sf, "rel").where(F.col("relation_id") == r["relation_id"]).select("relation_id", "translation")
+    r = entities.exactly_one(view(spark, sf, "rel"), "name", "hasPart")
+    own = view(spark, sf, "kg").where(F.col("relation") == r["relation_id"])
+    return own.groupBy(F.lit(r["relation_id"]).alias("relation_id"), F.lit(r["translation"]).alias("translation"), "head").agg(F.count("*").alias("n"))
 
 
 @query("entities_by_external_id", "SELECT entity_id FROM ent WHERE mesh_id = 'D12'")
@@ -101,7 +102,10 @@ def _(spark, sf):
     return merged.select("entity_id", "type", "name", F.array_join("synonyms", "|").alias("synonyms"), F.to_json("other_db_ids").alias("ids"), "part_id")
 
 
-@query("merge_entities_retired")
+_KEYED = "SELECT entity_id, CAST(substr(entity_id, 2) AS BIGINT) AS number, coalesce(tax_id || '|' || part_id, 'P' || cid, 'M' || mesh_id) AS key FROM ent"
+
+
+@query("merge_entities_retired", f"SELECT k.entity_id, 'Merged to e' || CAST(m.number AS STRING) AS reason FROM ({_KEYED}) AS k JOIN (SELECT key, MIN(number) AS number FROM ({_KEYED}) GROUP BY key) AS m ON k.key = m.key WHERE k.number <> m.number")
 def _(spark, sf):
     _, retired, _ = entities.merge_entities(ents(spark, sf), _candidates(spark, sf))
     return retired.select("entity_id", "reason")

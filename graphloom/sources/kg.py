@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from graphloom.functions.text import numeric_id
+from graphloom.operators.annotate import sample_fraction
 
 TRIPLE = "head string, relation string, tail string"
 EVIDENCE = f"{TRIPLE}, triple string, pmid string, pmcid string, title string, section string, premise string, hypothesis string, source string, quality string, prob_mean double, prob_std double"
@@ -34,7 +35,7 @@ def check_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.select(*expected)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -43,7 +44,7 @@ def read_kg(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the graph's five tables in Parquet; a missing one is empty, wrong columns are an error."""
     path, schema = f"{folder}/{name}", TABLES[name]
     empty = spark.createDataFrame([], schema)
-    return check_columns(spark.read.parquet(path), empty.columns) if _exists(spark, path) else empty
+    return check_columns(spark.read.parquet(path), empty.columns) if exists(spark, path) else empty
 
 
 def write_kg(folder: str, **tables: DataFrame) -> None:
@@ -55,7 +56,7 @@ def write_kg(folder: str, **tables: DataFrame) -> None:
 
 def read_legacy_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A TSV of the older text form: all cells are text, blanks are null."""
-    return blank_to_null(spark.read.option("sep", "\t").option("header", True).csv(path))
+    return blank_to_null(spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path))
 
 
 def _literals(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,6 +77,59 @@ def decode_ids(cell: Column, legacy: bool = False) -> Column:
     return F.from_json(literal_to_json(cell) if legacy else cell, "map<string,array<string>>")
 
 
+def literal_text(column: Column) -> Column:
+    """A list or map of lists of texts in the older text form: a Python literal with single quotes, escaped where needed."""
+    quoted = lambda x: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), "'", r"\\'"), F.lit("'"))
+    return F.concat(F.lit("["), F.array_join(F.transform(column, quoted), ", "), F.lit("]"))
+
+
+def literal_map(column: Column) -> Column:
+    entry = lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), literal_text(e["value"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(column), entry), ", "), F.lit("}"))
+
+
+def read_legacy_kg(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the five tables of an older text folder (``kg.txt``, ``evidence.txt``, …) in today's types.
+
+    Lists and maps of the text form are decoded, blanks become null, probabilities become numbers. The id column may have
+    another name, and an organism's part may stand in its map of ids under a key that ends in ``part_id``. A missing file
+    is an empty table; wrong columns are an error.
+    """
+    path, schema = f"{folder}/{name}.txt", TABLES[name]
+    columns = spark.createDataFrame([], schema).columns
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    raw = read_legacy_tsv(spark, path)
+    others = [c for c in raw.columns if c not in columns]
+    if ORDER.get(name) and ORDER[name] not in raw.columns and len(others) == 1:
+        raw = raw.withColumnRenamed(others[0], ORDER[name])
+    if "other_db_ids" in raw.columns:
+        scalar = F.regexp_replace("other_db_ids", r"('[^']*'): ('[^']*')", "$1: [$2]")  # a single id may stand without a list
+        raw = raw.withColumns({"other_db_ids": decode_ids(scalar, True), "synonyms": decode_list(F.col("synonyms"), True)})
+        own = F.map_filter("other_db_ids", lambda k, _: k.endswith("part_id"))
+        part = F.get(F.get(F.map_values(own), F.lit(0)), F.lit(0))
+        raw = raw.withColumn("part_id", F.coalesce("part_id", part) if "part_id" in raw.columns else part)
+        raw = raw.withColumn("other_db_ids", F.map_filter("other_db_ids", lambda k, _: ~k.endswith("part_id")))
+    checked = check_columns(raw, columns)
+    return checked.select(*(F.col(c).try_cast("double").alias(c) if c in ("prob_mean", "prob_std") else F.col(c) for c in columns))
+
+
+def write_legacy_kg(folder: str, id_name: str = "entity_id", part_key: str = "part_id", **tables: DataFrame) -> None:
+    """Tables in the older text form: TSV named like the table, ids in the order of their numbers under ``id_name``, an
+    organism's part in its map of ids under ``part_key``."""
+    for name, df in tables.items():
+        out, key = df, ORDER.get(name)
+        if "other_db_ids" in df.columns:
+            own = F.map_concat("other_db_ids", F.create_map(F.lit(part_key), F.array("part_id")))
+            ids = F.when(F.col("part_id").isNull(), F.col("other_db_ids")).otherwise(own)
+            texts = {"synonyms": literal_text(F.col("synonyms")), "other_db_ids": literal_map(ids)}
+            out = out.select(*(texts[c].alias(c) if c in texts else F.col(c) for c in df.columns if c != "part_id"))
+        if key:
+            out = out.orderBy(numeric_id(F.col(key))).withColumnRenamed(key, id_name)
+        writer = out.write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"')
+        writer.option("emptyValue", "").option("nullValue", "").csv(f"{folder}/{name}.txt")
+
+
 def read_taxdump(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """``nodes``, ``names`` or ``lineage`` of a taxonomy dump, whose fields stand between ``\\t|\\t``."""
     return parse_taxdump(spark.read.text(path), kind)
@@ -156,7 +210,14 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_compound_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("cid string, json string").option("sep", "\t").csv(path)
+    """(cid, json) of a store of JSON documents, one for each compound, each a file of its own or a line."""
+    number = F.coalesce(F.get_json_object("value", "$.Record.RecordNumber"), F.get_json_object("value", "$.cid"))
+    return spark.read.text(path).select(number.alias("cid"), F.col("value").alias("json")).where("cid is not null")
+
+
+def sampled_graph(triples: DataFrame, share: float, seed: str = "42") -> DataFrame:
+    """A share of the triples, chosen by a hash of each: what a partial export shows."""
+    return sample_fraction(triples, ["head", "relation", "tail"], share, seed)
 
 
 def graph_edges(triples: DataFrame, entities: DataFrame, relations: DataFrame, weight: str | None = None) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables written in each open ``scope``, and their folders.
+_scopes: list[list[tuple[DataFrame, str]]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one, but only in local mode: on a
+    cluster each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,4 +30,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((out, path))
+    return out
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove at its end the tables that were written within, but for those handed to the function that it gives.
+
+    What is read from them lazily must be written, and handed on, before the end.
+    """
+    _scopes.append([])
+    handed: list[tuple[DataFrame, str]] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        handed.extend(entry for entry in _scopes[-1] if entry[0] is table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for table, path in _scopes.pop():
+            if not any(table is t for t, _ in handed):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if _scopes:
+            _scopes[-1].extend(handed)

@@ -286,15 +286,115 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream_appends_once(spark, tmp_path):
-    from graphloom.streaming.appending import append_stream
+    from graphloom.streaming.appending import append_stream, stored
 
     data = [("e1", "r0", "e2", "7"), ("e1", "r0", "e2", "7"), ("e1", "r0", "e3", "8")]
-    spark.createDataFrame(data, S.TRIPLE + ", pmid string").write.parquet(str(tmp_path / "in"))
-    folder = lambda n: str(tmp_path / f"kg{n}")
-    arriving = spark.readStream.schema(S.TRIPLE + ", pmid string").parquet(str(tmp_path / "in"))
-    append_stream(arriving, folder, str(tmp_path / "check")).awaitTermination(60)
-    last = max(int(p.name[2:]) for p in tmp_path.glob("kg*"))
-    assert S.read_kg(spark, folder(last), "evidence").count() == 2
+    folder, source = str(tmp_path / "kg"), str(tmp_path / "in")
+    for more in ([], [("e1", "r0", "e3", "8"), ("e1", "r0", "e3", "9")]):
+        spark.createDataFrame(more or data, S.TRIPLE + ", pmid string").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(S.TRIPLE + ", pmid string").parquet(source)
+        append_stream(arriving, folder, str(tmp_path / "check")).awaitTermination(60)
+    assert rows(stored(spark, folder, "evidence"), "tail", "pmid") == [("e2", "7"), ("e3", "8"), ("e3", "9")]
+    assert stored(spark, folder, "kg").count() == 2
+    assert stored(spark, folder, "evidence", 1).count() == 2  # a batch wrote its own rows and no others
+
+
+def test_equal_hits_stay_apart(spark):
+    hit = ("7", "apple has sugar", ["0|5|species|1", "10|5|chemical|MESH:D1"])
+    hits = spark.createDataFrame([hit, hit, ("8", "apple has sugar", ["0|5|species|2"]), ("9", "none", None)], "pmid string, text string, annotations array<string>")
+    out = literature.parse_annotations(hits, spark.createDataFrame([("1",)], "tax_id string"))
+    got = [(r["pmid"], [tuple(x) for x in r["organisms"]], [tuple(x) for x in r["chemicals"]]) for r in out.collect()]
+    assert sorted(got) == [("7", [("apple", "1")], [("sugar", "D1")])] * 2 + [("8", [], []), ("9", [], [])]
+    premises = spark.createDataFrame([("a leaf here",), ("a leaf here",), ("nothing",), (None,)], "premise string")
+    parts = spark.createDataFrame([("p1", "leaf", "leaves, blade")], "part_id string, food_part string, food_part_synonyms string")
+    got = sorted((r["premise"] or "", r["food_parts"]) for r in literature.food_parts_in_text(premises, parts).collect())
+    assert got == [("", []), ("a leaf here", ["p1"]), ("a leaf here", ["p1"]), ("nothing", [])]
+
+
+def test_centralities_that_do_not_end(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(12)], "head int, tail int")
+    with pytest.raises(ValueError):
+        graph.closeness_centrality(path, max_rounds=5).collect()
+    whole = dict(rows(graph.closeness_centrality(path, max_rounds=12)))
+    assert whole[12] == pytest.approx(12 / sum(range(1, 13)))
+    with pytest.raises(ValueError):
+        graph.eigenvector_centrality(path, max_rounds=2)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_fdr_of_large_and_small_families(spark, parts):
+    import random
+
+    rng = random.Random(3)
+    data = [("big", k, rng.random()) for k in range(300)] + [(f"f{k % 7}", 1000 + k, round(rng.random(), 1)) for k in range(60)] + [(None, 2000, 0.5)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame(data, "g string, k long, p_value double").repartition(parts)
+    got = {(r["g"], r["k"]): r["p_adjusted"] for r in metrics.fdr_adjust(df, ["g"]).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(data)
+    for g in {d[0] for d in data}:
+        own = sorted((d for d in data if d[0] == g), key=lambda d: (d[2], d[1]))
+        least = 1.0
+        for i in range(len(own), 0, -1):
+            least = min(least, own[i - 1][2] * len(own) / i)
+            assert got[g, own[i - 1][1]] == pytest.approx(least)
+
+
+def test_unknown_pairs_by_groups(spark):
+    kg = spark.createDataFrame([(f"h{k % 9}", "r", f"t{(k * k) % 11}") for k in range(40)] + [("h1", "q", "t99")], "head string, relation string, tail string")
+    heads, tails = {f"h{k % 9}" for k in range(40)}, {f"t{(k * k) % 11}" for k in range(40)}
+    known = {(f"h{k % 9}", f"t{(k * k) % 11}") for k in range(40)}
+    for group in (2, 2_000):
+        out = rows(kgc.candidate_hypotheses(kg, "r", group=group), "head", "tail")
+        assert out == sorted((h, t) for h in heads for t in tails if (h, t) not in known)
+
+
+def test_negatives_of_a_dense_relation(spark):
+    known = [(f"h{a}", "r", f"t{b}") for a in range(6) for b in range(6) if (a, b) not in ((0, 5), (5, 0))]
+    positives = spark.createDataFrame([("h0", "r", "t0")] + [(f"h{a}", "q", f"t{a}") for a in range(6)], "head string, relation string, tail string")
+    out = kgc.negative_samples(positives, spark.createDataFrame(known, "head string, relation string, tail string"), draws=1, rounds=1)
+    labels = rows(out, "relation", "head", "tail", "label")
+    assert len(labels) == 3 * 7
+    assert {x[:3] for x in labels if x[0] == "r" and x[3] == 0} == {("r", "h5", "t0"), ("r", "h0", "t5")}
+
+
+def test_legacy_folder(spark, tmp_path):
+    (tmp_path / "entities.txt").write_text(
+        "old_id\ttype\tname\tsynonyms\tother_db_ids\n"
+        "e1\torganism_with_part\to - leaf\t['a', \"b's\"]\t{'NCBI_taxonomy': '9', 'own_part_id': 'p1'}\n"
+        "e2\tchemical\tc\t[]\t{'PubChem': ['1', '2']}\n"
+    )
+    read = S.read_legacy_kg(spark, str(tmp_path), "entities")
+    got = {r["entity_id"]: (r["synonyms"], r["other_db_ids"], r["part_id"]) for r in read.collect()}
+    assert got == {"e1": (["a", "b's"], {"NCBI_taxonomy": ["9"]}, "p1"), "e2": ([], {"PubChem": ["1", "2"]}, None)}
+    S.write_legacy_kg(str(tmp_path / "again"), part_key="part_id", entities=read)
+    again = S.read_legacy_kg(spark, str(tmp_path / "again"), "entities")
+    assert {r["entity_id"]: (r["synonyms"], r["other_db_ids"], r["part_id"]) for r in again.collect()} == got
+    assert S.read_legacy_kg(spark, str(tmp_path), "kg").count() == 0
+    (tmp_path / "relations.txt").write_text("wrong\tcolumns\nx\ty\n")
+    with pytest.raises(ValueError):
+        S.read_legacy_kg(spark, str(tmp_path), "relations")
+
+
+def test_components_of_rows_with_several_keys(spark):
+    listed = [("a", ["k1", "k2"]), ("b", ["k2", "k3"]), ("c", ["k3"]), ("d", ["k9"]), ("e", []), ("f", ["k8", "k7"]), ("g", ["k7"])]
+    found = entities.duplicate_components(spark.createDataFrame(listed, "row_id string, keys array<string>"))
+    assert dict(rows(found)) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f", "g": "f"}
+
+
+def test_scope_removes_what_was_written(spark):
+    from pathlib import Path
+
+    from graphloom.sources.written import scope, shared_folder, stash
+
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "graphloom"
+    with scope(spark):
+        with scope(spark) as keep:
+            stash(spark.range(3), "scoped")
+            held = keep(stash(spark.range(4), "scoped"))
+            assert len(list(folder.glob("scoped-*"))) == 2
+        assert len(list(folder.glob("scoped-*"))) == 1 and held.count() == 4
+    assert not list(folder.glob("scoped-*"))
 
 
 def test_evidence_order_and_regions(spark):
