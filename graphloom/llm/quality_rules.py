@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import arrow_batches, steps, table
-from graphloom.llm.words import Words, covered, repeated
+from graphloom.llm.words import Words, covered, range_hashes, repeated
 
 #: Most labelled rows that the trees are fitted on; they are those with the smallest hash of their id.
 TRAIN_ROWS = 4_000
@@ -41,7 +41,7 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     solid = np.concatenate([[0], np.cumsum(w.solid)])
     real = (ends > starts) & (solid[ends] > solid[starts])
     starts, ends, line_doc = starts[real], ends[real], line_doc[real]
-    _, later = repeated(line_doc, w.rolling.ranges(w.prefix, starts, ends))
+    _, later = repeated(line_doc, range_hashes(w.rolling, w.buf, w.prefix, starts, ends))
     dup_lines = np.bincount(line_doc[later], minlength=w.n)
     lines = np.bincount(line_doc, minlength=w.n)
     at, grams = w.windows(3)
@@ -145,9 +145,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label_col: str = "quality") -> Trees:
-    """Trees fitted on at most ``rows`` labelled documents: a classifier's bounded sample, spread by a hash of the id."""
+    """Trees fitted on at most ``rows`` labelled documents: a classifier's bounded sample, spread by a hash of the id.
+
+    Ids may repeat, in documents and labels: the sample is cut to ``rows`` after the join as well. Null labels and ids are
+    left out; without labelled documents the trees return the prior.
+    """
     some = labels.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "label").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bounded by ``rows``
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "label", F.xxhash64("text")).limit(rows)
     got = sample.select("label", "text").mapInArrow(_features, "label int, x array<double>").collect()
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     order = np.lexsort(x.T) if len(got) else np.zeros(0, int)  # the same trees for any order of arrival
@@ -183,7 +187,10 @@ def quality_rules(docs: DataFrame, trees: Trees, keep_at: float = KEEP_AT, id_co
 
 
 def keep_good(docs: DataFrame, trees: Trees, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs`` (with all their columns, ``text`` among them) that base and trees keep."""
+    """The rows of ``docs`` (with all their columns, ``text`` among them) that base and trees keep.
+
+    Null and empty texts go, since they have no words; repeated rows stay or go together; an empty table stays empty.
+    """
     arrow_batches(docs.sparkSession)
     return docs.mapInArrow(lambda it: _judge(it, trees, keep_at, True), docs.schema)
 

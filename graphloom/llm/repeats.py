@@ -3,38 +3,55 @@
 A window's anchor is the smallest hash among its short parts. Equal windows have equal anchors at equal places, so a
 window can only repeat if its anchor does. Consecutive windows with one anchor form a span, the text under it its
 context. Of anchors that repeat, equal contexts repeat whole; only where contexts differ must windows be compared.
-That leaves a few rows for each hundred units of text to shuffle, however often a passage is copied.
+A context is known by 64 bits of its BLAKE2b digest beside its anchor; the quick rolling hashes only choose anchors, where
+an accident costs time and no result. That leaves a few rows for each hundred units of text to shuffle, however often a passage is copied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import arrow_batches, list_column, stash, steps, text_buffer
-from graphloom.llm.words import FIRST, SECOND, U, Words, mix
+from graphloom.llm.shared import arrow_batches, list_column, scope, stash, steps, text_buffer
+from graphloom.llm.words import FIRST, U, Words, mix
+from graphloom.operators.skew import join_by_size
 
-SPAN = "a long, x long, s0 int, n int"
+#: From texts and the places of contexts that must be compared to (a, x, ranges).
+Resolver = Callable[[DataFrame, DataFrame], DataFrame]
 SCAN_SCHEMA = "doc_id long, rk long, a array<long>, x array<long>, s0 array<int>, n array<int>"
 
 
 class Units:
-    """A column's texts as sequences of bytes or words: boundaries, and prefix hashes of both families."""
+    """A column's texts as sequences of bytes or words: their boundaries, prefix hashes, and the bytes of any range (words
+    with one space between them)."""
 
     def __init__(self, column: pa.Array, words: bool):
         if words:
-            self.words = Words(column)
-            self.off, values = self.words.word_off.astype(np.int64), self.words.hash
+            w = self.words = Words(column)
+            self.off, values = w.word_off.astype(np.int64), w.hash
+            raw = np.full(int(w.solid.sum()) + len(w.starts), 32, np.uint8)
+            raw[np.arange(int(w.solid.sum())) + np.repeat(np.arange(len(w.starts)), w.ends - w.starts)] = w.buf[w.solid]
+            self.begin = np.concatenate([[0], np.cumsum(w.ends - w.starts + 1)])
+            self.gap = 1
         else:
-            self.buf, self.off = text_buffer(column)
-            values = self.buf
-        self.first, self.second = FIRST.prefix(values), SECOND.prefix(values)
+            raw, self.off = text_buffer(column)
+            values, self.begin, self.gap = raw, None, 0
+        self.raw = memoryview(raw.tobytes())
+        self.first = FIRST.prefix(values)
         self.n = len(values)
 
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64 bits of BLAKE2b of each range of units."""
+        if self.begin is not None:
+            starts, ends = self.begin[starts], self.begin[ends] - self.gap
+        raw = self.raw
+        return np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist())]), U)
+
 
 def spans(u: Units, length: int, part: int) -> tuple[np.ndarray, ...]:
     """(text, first window's start, number of windows, anchor's place, anchor hash, context hash) of every span."""
@@ -58,7 +75,7 @@ def spans(u: Units, length: int, part: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.append(begin, total))
     s0, p = starts[begin], anchor[begin]
-    context = mix(SECOND.ranges(u.second, s0, s0 + count + length - 1) ^ mix((p - s0).astype(U)))
+    context = mix(u.digests(s0, s0 + count + length - 1) ^ mix((p - s0).astype(U)))
     return text[begin], s0, count, p, grams[p], context
 
 
@@ -67,7 +84,8 @@ def _scan(batches: Iterator[pa.RecordBatch], words: bool, length: int, part: int
         u = Units(batch.column("text"), words)
         text, s0, count, _, a, x = spans(u, length, part)
         per_text = np.bincount(text, minlength=batch.num_rows)
-        lists = [list_column(v, per_text, kind) for v, kind in ((a.view(np.int64), pa.int64()), (x.view(np.int64), pa.int64()), ((s0 - u.off[text]).astype(np.int32), pa.int32()), (count.astype(np.int32), pa.int32()))]
+        own = (a.view(np.int64), pa.int64()), (x.view(np.int64), pa.int64()), ((s0 - u.off[text]).astype(np.int32), pa.int32()), (count.astype(np.int32), pa.int32())
+        lists = [list_column(v, per_text, kind) for v, kind in own]
         out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *lists], names=["doc_id", "rk", "a", "x", "s0", "n"])
         yield out.filter(pa.array(per_text > 0))
 
@@ -76,7 +94,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, rk, text, row): ``rk`` hashes the text, so that rows with one id and different texts stay apart; ``row``
     holds all columns as they came, whatever their names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"))
+    row = F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"), row)
 
 
 def scan(source: DataFrame, words: bool, length: int, part: int) -> DataFrame:
@@ -90,17 +109,17 @@ def anchor_counts(scans: DataFrame) -> DataFrame:
 
 
 def repeated_spans(scans: DataFrame, repeating: DataFrame) -> DataFrame:
-    """The spans whose anchor is in ``repeating`` (a column ``a``), written."""
+    """The spans whose anchor is in ``repeating`` (a, times), written."""
     one = scans.select("doc_id", "rk", F.explode(F.arrays_zip("a", "x", "s0", "n")).alias("s")).select("doc_id", "rk", "s.*")
-    return stash(one.join(repeating.select("a"), "a", "left_semi"), "repeating")
+    return stash(join_by_size(one, stash(repeating.select("a", "times"), "anchors"), ["a"], "times").drop("times"), "repeating")
 
 
 def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all contexts with their number of places; one place of each context whose anchor has others, some of them single)."""
     by = stash(found.groupBy("a", "x").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rk", "s0", "n")).alias("at")), "contexts")
     mixed = by.groupBy("a").agg(F.count("*").alias("variants"), F.count_if(F.expr("times = 1")).alias("single")).where("variants > 1 and single > 0")
-    mixed = stash(mixed.select("a", "variants"), "mixed")  # so that an anchor with many contexts can be split in the join
-    return by, by.join(mixed, "a").select("a", "x", "times", "variants", "at.*")
+    mixed = stash(mixed.select("a", "variants"), "mixed")
+    return by, join_by_size(by, mixed, ["a"], "variants").select("a", "x", "times", "variants", "at.*")
 
 
 def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:
@@ -110,10 +129,22 @@ def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:
     return source.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key"))).select("text", "places")
 
 
-def removal(source: DataFrame, found: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, text, spans, row): every row of ``source`` with its repeated windows as (s0, ranges of windows from there)."""
-    marked = found.join(verdicts, ["a", "x"]).groupBy(F.col("doc_id").alias("id"), F.col("rk").alias("key")).agg(F.collect_list(F.struct("s0", "ranges")).alias("spans"))
-    return source.join(marked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key")), "left").select("doc_id", "text", "spans", "row")
+def marks(texts: DataFrame, scans: DataFrame, repeating: DataFrame, resolve: Resolver) -> DataFrame:
+    """(id, key, spans), written: of each text with repeated windows those as (s0, ranges of windows from there).
+
+    Equal rows (one id, or none, and one text) share one set of spans, however many they are. What is written on the way
+    is removed again.
+    """
+    with scope(texts.sparkSession) as keep:
+        found = repeated_spans(scans, repeating)
+        decided = join_by_size(found, verdicts(texts, found, resolve), ["a", "x"], "times")
+        spans_ = F.collect_set(F.struct("s0", "ranges")).alias("spans")
+        return keep(stash(decided.groupBy(F.col("doc_id").alias("id"), F.col("rk").alias("key")).agg(spans_), "marks"))
+
+
+def marked(source: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, text, spans, row): every row of ``source`` with its marks."""
+    return source.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key")), "left").select("doc_id", "text", "spans", "row")
 
 
 def cover(spans_: list | None, length: int, n: int) -> np.ndarray:
@@ -136,12 +167,10 @@ def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, li
         yield batch.column("text"), batch.column("places").to_pylist()
 
 
-Resolver = Callable[[DataFrame, DataFrame], DataFrame]
-
-
 def verdicts(source: DataFrame, found: DataFrame, resolve: Resolver) -> DataFrame:
-    """(a, x, ranges): the contexts with repeated windows. Contexts with two places repeat whole; ``resolve`` gets the
-    texts and the places of those that must be compared, and returns (a, x, ranges) of single ones."""
+    """(a, x, times, ranges): the contexts with repeated windows. Contexts with two places repeat whole; ``resolve`` gets
+    the texts and the places of those that must be compared, and returns (a, x, ranges) of single ones."""
     by, compare = contexts(found)
-    whole = by.where("times > 1").select("a", "x", whole_ranges().alias("ranges"))
-    return stash(whole.unionByName(resolve(source, compare)), "verdicts")
+    whole = by.where("times > 1").select("a", "x", "times", whole_ranges().alias("ranges"))
+    single = resolve(source, stash(compare, "compare")).select("a", "x", F.lit(1).cast("long").alias("times"), "ranges")
+    return stash(whole.unionByName(single), "verdicts")

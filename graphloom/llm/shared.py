@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.sources.written import shared_folder, stash  # noqa: F401
+from graphloom.sources.written import scope, shared_folder, stash  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most (a longer text is a step of its own).
 STEP_BYTES = 512 << 10

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.repeats import anchor_counts, cover, keyed, place_rows, removal, repeated_spans, scan, verdicts, with_text
-from graphloom.llm.shared import stash, steps, table, text_buffer
-from graphloom.llm.words import SECOND, U, mix
+from graphloom.llm.repeats import anchor_counts, cover, keyed, marked, marks, place_rows, scan, with_text
+from graphloom.llm.shared import scope, stash, steps, table, text_buffer
 
 LENGTH = 400
 #: Bytes of the anchors: the smallest hash of so many bytes in each window.
@@ -129,13 +129,13 @@ def _transform_block(group: pa.Table, length: int) -> pa.Table:
     a, x, variants, contexts = (group.column(c).to_pylist() for c in ("a", "x", "variants", "context"))
     twice, first = repeats_in(contexts, length)
     ranges, hashes = [as_ranges(t) for t in twice], []
-    for anchor, v, context, t, f in zip(a, variants, contexts, twice, first):
+    for v, context, t, f in zip(variants, contexts, twice, first):
         if v <= GROUP:
             hashes.append([])
             continue
-        prefix, j = SECOND.prefix(np.frombuffer(context, np.uint8)), np.flatnonzero(f | ~t)
-        w = mix(SECOND.ranges(prefix, j, j + length) ^ mix(np.array([anchor], np.int64).view(U)))
-        hashes.append([{"j": int(k), "w": int(h), "single": not t[k]} for k, h in zip(j, w.view(np.int64))])
+        j = np.flatnonzero(f | ~t)
+        w = np.frombuffer(b"".join([blake2b(context[k : k + length], digest_size=8).digest() for k in j.tolist()]), np.int64)
+        hashes.append([{"j": int(k), "w": int(h), "single": not t[k]} for k, h in zip(j, w)])
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct([("j", pa.int32()), ("w", pa.int64()), ("single", pa.bool_())])))
     return pa.Table.from_arrays([pa.array(v, k) for v, k in zip((a, x, ranges, hashes), kinds)], names=["a", "x", "ranges", "hashes"])
 
@@ -179,10 +179,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, part: int = PART, id_col
     cut can fall within a character, so ``kept`` is binary. An empty table gives no rows.
     """
     source = keyed(docs, id_col, text_col)
-    scans = scan(source, False, length, part)
-    found = repeated_spans(scans, anchor_counts(scans).where("times > 1"))
-    decided = verdicts(source, found, lambda t, compare: _resolve(t, compare, length))
-    cut = removal(source, found, decided)
+    with scope(docs.sparkSession) as keep:
+        scans = scan(source, False, length, part)
+        found = keep(marks(source, scans, anchor_counts(scans).where("times > 1"), lambda t, compare: _resolve(t, compare, length)))
+    cut = marked(source, found)
     row = cut.schema["row"].dataType.simpleString()
     return cut.mapInArrow(lambda it: _cut(it, length), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,8 +58,19 @@ class Rolling:
         return mix((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(U))
 
 
-#: Two independent families: their pair is a 128-bit fingerprint.
-FIRST, SECOND = Rolling(11), Rolling(29)
+FIRST = Rolling(11)
+#: Bytes up to which a rolling hash stands for a word or line; longer ones, where sums modulo a power of two can agree by the
+#: pattern of the text (Thue-Morse words), are digested whole.
+SHORT = 32
+
+
+def range_hashes(rolling: Rolling, buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes: the rolling one of short ranges, 64 bits of BLAKE2b of long ones."""
+    out = rolling.ranges(prefix, starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT)
+    for k, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+        out[k] = int.from_bytes(blake2b(buf[a:b], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -81,7 +94,7 @@ class Words:
         self.doc = np.repeat(np.arange(self.n), self.counts)
         self.rolling = rolling
         self.prefix = rolling.prefix(self.buf)
-        self.hash = rolling.ranges(self.prefix, self.starts, self.ends)
+        self.hash = range_hashes(rolling, self.buf, self.prefix, self.starts, self.ends)
 
     def windows(self, size: int, rolling: Rolling = FIRST) -> tuple[np.ndarray, np.ndarray]:
         """First word of every window of ``size`` words within a text, and the windows' hashes."""
