@@ -96,6 +96,18 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _product(rows: np.ndarray, values: np.ndarray, columns: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+    """A sparse matrix of ``n`` rows, given by its sorted rows, times a dense one; a bounded part of it at a time."""
+    out = np.zeros((n, dense.shape[1]))
+    step = max(1, (8 << 20) // max(dense.shape[1], 1))
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
+        own = rows[part]
+        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[edge]] += np.add.reduceat(dense[columns[part]] * values[part][:, None], edge, axis=0)
+    return out
+
+
 def read_items(rows: list[tuple[int, str | None]]) -> Items:
     column = pa.array([t or "" for _, t in rows], pa.string())
     w = Words(column, lower=True, plain=True)
@@ -189,17 +201,17 @@ def latent_space(docs: DataFrame, items: Items, rank: int | None = None) -> Spac
     idf = np.log((n + 1) / (df + 1)) + 1
     random = np.random.default_rng(7).standard_normal((n_terms, rank)).astype(np.float32) / idf[:, None]
     p, t, c, outside = items.passages
-    bench = np.zeros((len(outside), n_terms))
-    bench[p, t] = c * idf[t]
-    bench = _unit(bench)  # short items count like long ones
+    v = c * idf[t]
+    v = v / np.maximum(np.sqrt(np.bincount(p, v**2, len(outside))), 1e-9)[p]  # short items count like long ones
+    by = np.argsort(t, kind="stable")
     weight = lambda x: 1 / max(x, 1e-12)
-    own, corpus = weight((bench**2).sum()), CORPUS * weight((squares * idf**2).sum())
-    product = own * (bench.T @ (bench @ random)) + corpus * (idf[:, None] * sketch)
+    own, corpus = weight((v**2).sum()), CORPUS * weight((squares * idf**2).sum())
+    product = own * _product(t[by], v[by], p[by], _product(p, v, t, random, len(outside)), n_terms) + corpus * (idf[:, None] * sketch)
     q, _ = np.linalg.qr(product) if n_terms else (product, None)
     small = (q.T @ product) @ np.linalg.pinv(q.T @ random)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     basis = (q @ vectors[:, ::-1]).astype(np.float32)
-    return Space(idf, basis, _unit((bench @ basis).astype(np.float32)), np.sqrt(np.maximum(values[::-1], 0)))
+    return Space(idf, basis, _unit(_product(p, v, t, basis, len(outside)).astype(np.float32)), np.sqrt(np.maximum(values[::-1], 0)))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -341,24 +353,27 @@ def _clean(batches: Iterator[pa.RecordBatch], items: Items, space: Space, cosine
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark's items in blocks, by id and text; one empty block if there are none."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").orderBy("item_id", "text")
+    number, text = F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))
+    key = F.struct(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), text.alias("text"))
+    items = benchmark.select(key.alias("key")).distinct().orderBy("key")
     after, more = None, True
     while more:
-        left = items if after is None else items.where(F.struct("item_id", "text") > F.struct(*map(F.lit, after)))
-        rows = [(r["item_id"], r["text"]) for r in left.limit(BLOCK_ITEMS).collect()]
+        left = items if after is None else items.where(F.col("key") > F.struct(*map(F.lit, after)))
+        rows = [(None if r["none"] else r["id"], r["text"]) for r in left.limit(BLOCK_ITEMS).select("key.*").collect()]
         more = len(rows) == BLOCK_ITEMS
         if rows or after is None:
             yield read_items(rows)
-        after = rows[-1] if rows else after
+        after = (rows[-1][0] is None, rows[-1][0] or 0, rows[-1][1]) if rows else after
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word): the benchmark items that texts hold or paraphrase.
 
     The benchmark is the stated query set; it is read in blocks of ``BLOCK_ITEMS``, each with a space of its own, so
-    that what tasks are sent is bounded. All documents are searched, by two maps over them. Null and empty texts and
-    items have no words and match nothing; repeated rows give repeated results; without documents or items there are
-    no rows. Extra columns are ignored.
+    that what tasks are sent is bounded. All documents are searched, by two maps over them for each block. Null and
+    empty texts and items have no words and match nothing; an item with a null id is searched like any other and
+    reported under null; repeated items count once, repeated documents give repeated results; without documents or
+    items there are no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -372,7 +387,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None,
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text holds or paraphrases no benchmark item."""
+    """The rows of ``docs`` (all columns) whose text holds or paraphrases no benchmark item.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all rows stay; an empty table stays empty.
+    """
     arrow_batches(docs.sparkSession)
     out = docs
     for block in _blocks(benchmark):
