@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import arrow_batches, list_column, stash, steps, table
+from graphloom.llm.shared import arrow_batches, list_column, scope, stash, steps, table
 from graphloom.llm.words import Words, mix
 from graphloom.operators.components import connected_components
+from graphloom.operators.skew import join_by_size
 
 SHINGLE = 3
 BUDGET = 2
@@ -382,16 +383,18 @@ def rest_pairs(texts: DataFrame, nodes: DataFrame, least: float, size: int) -> D
     schema = "token long, id long, place int, n int"
     tokens = texts.select("id", "text").mapInArrow(lambda it: _rare(it, size, least, often), schema)
     shared = stash(tokens.repartition("token").mapInArrow(_shared, schema), "shared")
-    placed = stash(shared.join(nodes, "id"), "placed")
+    placed = stash(shared.join(nodes.select("id", "group"), "id"), "placed")
     several = placed.groupBy("token").agg(F.count("*").alias("texts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    # Only what is in tokens of several groups takes its sketch along.
     blocks = F.ceil(F.col("texts") / CELL_TEXTS).cast("long")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    meeting = stash(join_by_size(placed, stash(several.select("token", "texts"), "several"), ["token"], "texts").withColumn("blocks", blocks), "meeting")
+    sketched = meeting.join(nodes.select("id", "sketch"), "id")
     # A cell for each pair of blocks; -1 - block for a block with itself.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = placed.join(several.select("token", blocks.alias("blocks")), "token").withColumn("block", block).withColumn("other", other)
+    dealt = sketched.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", other)
     cell = F.when(F.col("block") == F.col("other"), -1 - F.col("block")).otherwise(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
     cells = dealt.select("token", cell.alias("cell"), "block", "group", "id", "place", "n", "sketch").repartition("token", "cell")
-    return cells.mapInArrow(lambda it: _cross(it, least), "a long, b long").distinct()
+    return stash(cells.mapInArrow(lambda it: _cross(it, least), "a long, b long").distinct(), "apart")
 
 
 def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
@@ -402,43 +405,65 @@ def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float
     return compared.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
 
 
-def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` (all columns) with one of each group of equal or near-equal texts: that of the smallest id.
+def _passage_links(source: DataFrame, nodes: DataFrame, least: float, size: int, budget: int) -> DataFrame:
+    """(node, component) of the texts that are alike and share a class of passages, written.
 
-    SimHashes of passages are linked by the trie join. In each class of linked passages, the text that shares the
-    largest part of its passages (an original shares more than its edited copies) stands for the class, and each other
-    text of it is compared with that one whole: similarity of word shingles of ``least`` or more links them. Equal
-    texts are one node from the start, so that neither classes nor comparisons grow with a text's copies, and each
-    text has at most ``PASSAGES`` of these comparisons. What they leave apart goes through ``rest_pairs``, which leaves
-    out no pair of ``least`` similarity. Repeated rows leave one; null texts are empty ones; rows of a null id
-    give way to others with the same text. An empty table stays empty.
+    In each class the text that shares the largest part of its passages (an original shares more than its edited copies)
+    stands for the class, and each other text of it is compared with that one whole.
     """
-    arrow_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("").cast("binary"))  # texts without words are equal
-    source = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
-    prints = stash(source.select("doc_id", "key", "text").mapInArrow(lambda it: _passage_batches(it, size), "doc_id long, key string, prints array<long>, sketch binary"), "passages")
-    nodes = stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")), "nodes")
     one = stash(nodes.select("key", F.explode(F.array_distinct("prints")).alias("fp")), "prints")
     linked = link_fingerprints(one.select("fp").distinct(), budget)
     classed = one.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("class")).distinct()
     shared = classed.groupBy("class").count().where("count > 1").select("class")
     common = stash(classed.join(shared, "class"), "classes")
     rank = common.groupBy("key").agg(F.count("*").alias("n")).join(nodes.select("key", "least_id", F.size("prints").alias("all")), "key")
-    ranked = common.join(rank.select("key", F.struct((F.col("n") / F.col("all")).alias("share"), (-F.coalesce("least_id", F.lit(0))).alias("first"), "key").alias("rank")), "key")
-    # Written, so that a class with many texts can be split in the next join.
-    chief = stash(ranked.groupBy("class").agg(F.max("rank").alias("rank")).select("class", F.col("rank.key").alias("b")), "chiefs")
-    pairs = stash(common.join(chief, "class").where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
+    own = F.struct((F.col("n") / F.col("all")).alias("share"), (-F.coalesce("least_id", F.lit(0))).alias("first"), "key").alias("rank")
+    ranked = common.join(rank.select("key", own), "key")
+    chief = ranked.groupBy("class").agg(F.max("rank").alias("rank"), F.count("*").alias("texts"))
+    chief = stash(chief.select("class", F.col("rank.key").alias("b"), "texts"), "chiefs")
+    pairs = stash(join_by_size(common, chief, ["class"], "texts").where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
     links = stash(_similar(pairs, source, nodes, least, size), "links")
-    groups = stash(connected_components(links), "groups")
+    return stash(connected_components(links), "groups")
+
+
+def _rest_links(source: DataFrame, nodes: DataFrame, groups: DataFrame, least: float, size: int) -> DataFrame:
+    """(a, b): links between texts of different groups, written; none of ``least`` similarity is left out."""
     number = F.xxhash64("key")  # should two keys share one, both are compared
     grouped = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select(number.alias("id"), F.xxhash64(F.coalesce("component", "key")).alias("group"), "sketch")
     apart = rest_pairs(source.select(number.alias("id"), "text"), grouped, least, size)
     keys = nodes.select(number.alias("id"), "key")
-    rest = apart.join(keys.select(F.col("id").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b")
-    more = stash(_similar(stash(rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "rest"), source, nodes, least, size), "links")
-    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    grouped = nodes.select("key", "least_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    keep = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")).select("m.key", F.col("m.least_id").alias("id"))
-    kept = source.join(keep, "key").where("doc_id <=> id").select("key", "row").dropDuplicates(["key"])
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    first, second = (keys.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")) for c in ("a", "b"))
+    rest = stash(apart.join(first, "a").join(second, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "rest")
+    return stash(_similar(rest, source, nodes, least, size), "links")
+
+
+def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` (all columns) with one of each group of equal or near-equal texts: that of the smallest id.
+
+    SimHashes of passages are linked by the trie join, and texts that share a class of linked passages are compared whole
+    with the text that stands for it: similarity of word shingles of ``least`` or more links them. Equal texts are one
+    node from the start, so that neither classes nor comparisons grow with a text's copies, and each text has at most
+    ``PASSAGES`` of these comparisons. What they leave apart goes through ``rest_pairs``, which leaves out no pair of
+    ``least`` similarity. Repeated rows leave one; null texts are empty ones; rows of a null id give way to others with
+    the same text. An empty table stays empty. What is written on the way is removed, but for the list of those kept.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("").cast("binary"))  # texts without words are equal
+    source = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+    with scope(spark) as keep:
+        with scope(spark) as hand:
+            prints = stash(source.select("doc_id", "key", "text").mapInArrow(lambda it: _passage_batches(it, size), "doc_id long, key string, prints array<long>, sketch binary"), "passages")
+            nodes = hand(stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")), "nodes"))
+        with scope(spark) as hand:
+            groups = hand(_passage_links(source, nodes, least, size, budget))
+        with scope(spark) as hand:
+            more = hand(_rest_links(source, nodes, groups, least, size))
+        linked = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        grouped = nodes.select("key", "least_id").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left")
+        first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")
+        kept = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(first).select("m.key", F.col("m.least_id").alias("id"))
+        kept = keep(stash(kept, "kept"))
+    rows = source.join(kept, "key").where("doc_id <=> id").select("key", "row").dropDuplicates(["key"])
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
