@@ -300,6 +300,34 @@ def test_classifier_edges(spark, docs, none, texts):
     assert quality_classifier.train(none, labels.limit(0)).weights.shape == (1 << quality_classifier.BITS,)
 
 
+def test_quality_classifier_by_hand(spark):
+    """Votes, expectation-maximisation, posteriors and scores against plain loops over texts."""
+    rng = random.Random(17)
+    texts_ = [prose(rng, rng.randrange(5, 80)) + rng.choice(["", " ### $$$" * 30, "!!!" * 40, " A" * 90, "\nline" * 50, " dolt"]) for _ in range(60)]
+    lexicon = np.sort(words.Words(pa.array(["dolt"])).hash)
+    column = pa.array(texts_)
+    _, x = quality_rules.statistics(column)
+    index, counts, v = quality_classifier.hashed_features(column, lexicon)
+    names = list(quality_rules.FEATURES)
+    off = np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(texts_):
+        want = [x[k, names.index(f)] > bound if side == ">" else x[k, names.index(f)] < bound for f, side, bound in quality_classifier.RULES]
+        hits = t.split(" ").count("dolt")
+        assert v[k].tolist() == [*want, hits >= 1, hits >= 2]
+        assert set(words.Words(pa.array([t]), lower=True).hash >> np.uint64(64 - quality_classifier.BITS)) <= set(index[off[k] : off[k + 1]].tolist())
+    patterns, n = np.unique(v, axis=0, return_counts=True)
+    found = quality_classifier.estimate(patterns.astype(float), n.astype(float))
+    for row, p in zip(v, found.posterior(v.astype(float))):
+        bad, good = found.bad, 1 - found.bad
+        for vote, b, g in zip(row, found.on_bad, found.on_good):
+            bad, good = bad * (b if vote else 1 - b), good * (g if vote else 1 - g)
+        assert abs(p - bad / (bad + good)) < 1e-9
+    weights = np.random.default_rng(1).normal(size=1 << quality_classifier.BITS)
+    scores = quality_classifier.linear_scores(weights, 0.1, index, counts)
+    for k in range(len(texts_)):
+        assert abs(scores[k] - 1 / (1 + np.exp(-(0.1 + sum(weights[i] for i in index[off[k] : off[k + 1]].tolist()))))) < 1e-9
+
+
 def test_suffix_array_dedup(docs, none, texts):
     starts = collections.Counter()
     raw = [(i, (t or "").encode()) for i, t in texts]
@@ -368,12 +396,86 @@ def test_substring_dedup(docs, none, texts):
     assert substrings.substring_dedup(none).count() == 0
 
 
-def test_index_runs_merge(spark):
-    index = substrings.FingerprintIndex(spark, buckets=3)
+def test_index_runs_merge(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), buckets=3)
     batches = [[(1, 1), (2, 1)], [(2, 1), (3, 2)], [(1, 1), (4, 1)], [(5, 1), (4, 1)]]
-    hits = [sorted({r["a"] for r in index.add(spark.createDataFrame(b, "a long, times long")).collect()}) for b in batches]
-    assert hits == [[], [2, 3], [1], [4]] and len(index.runs) <= substrings.RUNS
-    assert sorted(r["a"] for r in index.repeating().collect()) == [1, 2, 3, 4]
+    frames = [spark.createDataFrame(b, "a long, times long") for b in batches]
+    hits = [sorted((r["a"], r["times"]) for r in index.add(f).collect()) for f in frames[:3]]
+    assert hits == [[], [(2, 2), (3, 2)], [(1, 2)]] and len(index.runs) <= substrings.RUNS
+    index.close()
+    again = substrings.FingerprintIndex(spark, str(tmp_path / "index"))  # as a later session would open it
+    assert again.buckets == 3 and [(r["a"], r["times"]) for r in again.add(frames[3]).collect()] == [(4, 2)]
+    again.compact()
+    assert sorted((r["a"], r["times"]) for r in again.runs[0].collect()) == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 1)]
+    assert "Exchange" not in again.runs[0].join(again.runs[0].withColumnRenamed("times", "t").hint("merge"), "a")._jdf.queryExecution().executedPlan().toString()
+    again.close()
+
+
+def test_batch_against_an_index_written_earlier(spark, texts, tmp_path):
+    rows = [(i, t) for i, t in texts if i is not None]
+    old = spark.createDataFrame([r for r in rows if r[0] % 2], "doc_id long, text string")
+    new = spark.createDataFrame([r for r in rows if not r[0] % 2], "doc_id long, text string")
+    first = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    substrings.substring_dedup(old, batches=2, index=first)
+    first.close()
+    later = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    got = grouped(substrings.substring_dedup(new, batches=1, index=later, history=old), "doc_id", "n_words", "n_removed", "kept_sha256")
+    whole = substrings.substring_dedup(old.unionByName(new), batches=1).where("doc_id % 2 = 0")
+    assert got == grouped(whole, "doc_id", "n_words", "n_removed", "kept_sha256")
+    later.close()
+
+
+def thue_morse(k, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(1 << k))
+
+
+def test_texts_that_agree_in_rolling_hashes(spark):
+    """A Thue-Morse text and its complement have equal polynomial hashes modulo 2**64; they are different all the same."""
+    x, y = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    u = repeats.Units(pa.array([x, y]), False)
+    assert len(set(words.FIRST.ranges(u.first, u.off[:-1], u.off[1:]).tolist())) == 1
+    assert len(set(words.Words(pa.array([x, y])).hash.tolist())) == 2
+    base, _ = quality_rules.statistics(pa.array([f"{x}\n{y}"]))
+    assert base["n_dup_lines"].tolist() == [0]
+    own = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"{x} {own}"), (2, f"{y} {own}")], "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in substrings.substring_dedup(docs).collect()}
+    assert out == {1: 40, 2: 40}  # the words after the first, which differ
+    text = {1: x, 2: y}
+    starts = collections.Counter(t[k : k + 400] for t in text.values() for k in range(len(t) - 399))
+    want = {i: len({j for k in range(len(t) - 399) if starts[t[k : k + 400]] > 1 for j in range(k, k + 400)}) for i, t in text.items()}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_array.suffix_dedup(docs).collect()} == want
+
+
+def test_equal_rows_in_great_number(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    row = F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")
+    docs = spark.range(10_000).select(*row).unionByName(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("short").alias("text")))
+    source = repeats.keyed(docs)
+    scans = repeats.scan(source, False, 400, 128)
+    found = repeats.marks(source, scans, repeats.anchor_counts(scans).where("times > 1"), lambda t, compare: suffix_array._resolve(t, compare, 400))
+    spans = repeats.marked(source, found).where("doc_id is null").agg(F.max(F.size("spans")), F.count("*")).first()
+    assert spans[1] == 10_000 and spans[0] <= len(text)
+    out = suffix_array.suffix_dedup(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["count"]) for r in out) == [(5, 0, 1)] * 3 + [(len(text), len(text), 10_000)]
+    gone = substrings.substring_dedup(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in gone) == [(1, 0, 3), (200, 200, 10_000)]
+
+
+def test_passages_by_their_bytes(spark):
+    """A repeated passage goes from 400 bytes on (op5), or from 250 in the pipeline's stage; a shorter one stays."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cut = {}
+    for size in (249, 250, 399, 400):
+        passage = "".join(rng.choice(letters) for _ in range(size))
+        around = lambda own: "".join(rng.choice(own) for _ in range(300))
+        rows = [(k, around(own) + passage + around(own)) for k, own in enumerate(("01234", "56789"))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        whole = [r["n_removed"] for r in suffix_array.suffix_dedup(docs).collect()]
+        cut[size] = whole, [len(r["text"]) for r in suffix_array.without_repeats(docs).collect()]
+    assert cut == {249: ([0, 0], [849, 849]), 250: ([0, 0], [600, 600]), 399: ([0, 0], [600, 600]), 400: ([400, 400], [600, 600])}
 
 
 def test_sharding(docs, none, texts):
@@ -402,6 +504,38 @@ def test_token_ledger(spark, docs, tmp_path):
     assert grouped(compacted.totals(), *token_counts.KEYS, "docs", "tokens") == want
 
 
+def test_ledger_after_a_failed_job(spark, tmp_path):
+    rows = spark.range(40).select(F.concat(F.lit("s"), "id").alias("source"), F.lit("en").alias("lang"), F.lit("v").alias("version"), F.lit(1).alias("sign"), F.lit(2).alias("tokens"))
+    delta = token_counts.signed(rows).repartition(4)
+    ledger = token_counts.Ledger(spark, str(tmp_path / "ledger"))
+    # What a job leaves that fails half-way: a part of the files, and no marker.
+    folder = tmp_path / "ledger" / "deltas" / "batch-a%2Fb"
+    delta.where("source < 's2'").write.parquet(str(folder))
+    (folder / "_SUCCESS").unlink()
+    assert ledger.committed() == set() and ledger.totals().count() == 0
+    assert ledger.commit("a/b", delta) and not ledger.commit("a/b", delta)
+    assert ledger.committed() == {"a/b"} and ledger.totals().count() == 40
+    held = ledger.compact()
+    ledger.drop()
+    assert not held.commit("a/b", delta) and held.totals().agg(F.sum("docs"), F.sum("tokens")).first() == (40, 80)
+
+
+def test_token_rollup(docs, none, texts, tmp_path):
+    """The query's totals, after load, revision, compaction and replay, are those of the texts themselves."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    want = collections.Counter()
+    for i, t in texts:
+        source = f"s{(i or 0) % 3}"
+        for version, n in ((token_counts.WORDS, len(WORD.findall(t or ""))), (token_counts.BPE, len(library.encode(t or "", add_special_tokens=False).ids))):
+            want[source, version, "docs"] += 1
+            want[source, version, "tokens"] += n
+    got = token_counts.rollup(docs, str(tmp_path / "rollup")).totals().collect()
+    assert {(r["source"], r["version"], k): r[k] for r in got for k in ("docs", "tokens")} == dict(want)
+    assert token_counts.rollup(none, str(tmp_path / "none")).totals().count() == 0
+
+
 def test_token_counts(docs, none, texts):
     from tokenizers import Tokenizer
 
@@ -437,6 +571,82 @@ def test_license_places(docs, none, texts):
     assert licenses.license_scan(docs).count() == len(texts) and licenses.license_scan(none).count() == 0
 
 
+def edited(rng, text, n):
+    for _ in range(n):
+        at, c = rng.randrange(len(text)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        text = rng.choice([text[:at] + text[at + 1 :], text[:at] + c + text[at:], text[:at] + c + text[at + 1 :]])
+    return text
+
+
+def least_edits(notice, text):
+    """Fewest edits from the notice to a run of whole words of the text."""
+    words_ = text.split(" ")
+    best = len(notice)
+    for k in range(len(words_)):
+        row, n = list(range(len(notice) + 1)), 0
+        for at, word in enumerate(words_[k:]):
+            for c in (word if at == 0 else " " + word):
+                n += 1
+                new = [n]
+                for j, x in enumerate(notice):
+                    new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+                row = new
+            best = min(best, row[-1])
+            if n > 2 * len(notice):
+                break
+    return best
+
+
+def test_licenses_against_brute_force():
+    rng = random.Random(31)
+    asked = recalled = 0
+    for k in range(160):
+        notice = rng.choice(list(licenses.NOTICES))
+        bound = max(1, len(notice) * licenses.EDITS_PER_10 // 10)
+        text = f"{prose(rng, 6)} {edited(rng, notice, rng.randrange(bound + 2))} {prose(rng, 6)}"
+        text = " ".join(licenses.normal(text).decode().split())
+        found = licenses.scan(text)
+        near = {x: least_edits(x, text) for x in licenses.NOTICES}
+        may = {licenses.NOTICES[x][0] for x, e in near.items() if e <= max(1, len(x) * licenses.EDITS_PER_10 // 10)}
+        labels = set(found["labels"].split(",")) - {""}
+        assert labels - set(found["base_labels"].split(",")) <= may
+        if near[notice] <= bound:
+            asked += 1
+            recalled += licenses.NOTICES[notice][0] in labels
+            exact = [s for s in found["spans"] if s["label"] == licenses.NOTICES[notice][0]]
+            assert not exact or min(s["edits"] for s in exact) >= near[notice]
+    assert asked > 80 and recalled >= 0.9 * asked
+
+
+def test_license_base_against_brute_force():
+    rng = random.Random(32)
+    pieces = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "x", "É", "22"]
+    for k in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "-", ", ", "\n", "é"]) for _ in range(rng.randrange(1, 60)))
+        if k % 3 == 0:
+            text += "Under the MIT License, version 2. Apache License Version 2 cc by nc"
+        split = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(split)) if split[i : i + len(phrase.split())] == phrase.split()]
+        found = licenses.scan(text)
+        want = (len(split), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places})))
+        assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"], found["base_labels"]) == want
+        assert set(found["base_labels"].split(",")) <= {*found["labels"].split(","), ""}
+
+
+def test_license_scan_of_long_texts():
+    """The work on a text grows with its length: four times the text, not much more than four times the steps."""
+    import time
+
+    took = []
+    for n in (1, 4):
+        text = "some words between them go on and on until it was released under the mit licence by all " * (3_000 * n)
+        began = time.process_time()
+        found = licenses.scan(text)
+        took.append(time.process_time() - began)
+        assert len(found["spans"]) == 3_000 * n and found["labels"] == "mit"
+    assert took[1] < 10 * took[0]
+
+
 def test_pigeonhole_pieces():
     pieces = licenses.pigeonhole("released under the mit license", 3)
     assert len(pieces) == 4 and b"".join(p for _, p in pieces) == b"released under the mit license"
@@ -488,6 +698,9 @@ def test_decontamination(spark, docs, none, texts):
                     brute.add((d, item))
                     break
     assert len(brute & got) >= 0.9 * len(brute)
+    nameless = spark.createDataFrame([(None, items[3][1]), (None, items[3][1]), (5, items[5][1])], "item_id long, text string")
+    want = {(d, None if k == 3 else k) for d, k in got if k in (3, 5)}
+    assert want == {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame, nameless).collect()}
     assert decontamination.contaminated(docs, bench).count() == 0
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -555,6 +768,26 @@ def test_spans_meet_in_equal_windows():
     assert all(len(v) == 1 for v in windows.values()) and sum(len(ws) - 34 for ws in w) == len(place)
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_tables(spark, docs, none, rows):
+    """Every stage on nulls, empty and very long texts, repeated rows, odd columns, and on an empty table."""
+    import corpus_pipeline
+
+    source = docs if rows == "odd" else none
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, source, "/root/testdata/sf0.001")
+        got = out.collect()
+        if name == "packing":
+            assert sum(r["length"] for r in got) > 0 or rows == "none"
+            continue
+        assert out.columns == source.columns and (len(got) == 0) == (rows == "none")
+        kept = collections.Counter((r["doc_id"], r["row"]) for r in got)
+        if name == "near-dedup" and rows == "odd":
+            assert max(kept.values()) == 1
+        if name == "suffix-array dedup":
+            assert len(got) == source.count()
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
