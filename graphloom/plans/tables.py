@@ -96,7 +96,16 @@ def _candidates(spark, sf):
     return view(spark, sf, "customer").select(F.lit("organism").alias("type"), F.col("c_name").alias("name"), F.array(F.col("c_mktsegment"), F.lower("c_mktsegment")).alias("synonyms"), F.create_map(F.lit("NCBI_taxonomy"), F.array(F.col("c_nationkey").cast("string"))).alias("other_db_ids"), F.when(F.col("c_custkey") % 2 == 0, "p0").otherwise("p7").alias("part_id"))
 
 
-@query("merge_entities")
+_ROWS = """SELECT entity_id, CAST(substr(entity_id, 2) AS BIGINT) AS number, type, name, [name] AS synonyms, tax_id, cid, mesh_id, part_id, coalesce(tax_id || '|' || part_id, 'P' || cid, 'M' || mesh_id) AS key FROM ent
+    UNION ALL SELECT NULL, NULL, 'organism', c_name, [c_mktsegment, lower(c_mktsegment), c_name], CAST(c_nationkey AS STRING), NULL, NULL, p, CAST(c_nationkey AS STRING) || '|' || p FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'p0' ELSE 'p7' END AS p FROM customer)"""
+_FIRST = "(PARTITION BY key ORDER BY number IS NULL, number, name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_CORE = f"SELECT DISTINCT key, MIN(number) OVER w AS number, first_value(type) OVER w AS type, first_value(name) OVER w AS name, MIN(part_id) OVER w AS part_id, MIN(tax_id) OVER w AS tax_id, MIN(cid) OVER w AS cid, MIN(mesh_id) OVER w AS mesh_id, COUNT(*) OVER w AS members FROM ({_ROWS}) WINDOW w AS {_FIRST}"
+_SYNONYMS = f"SELECT key, string_agg(s, '|' ORDER BY s) AS synonyms FROM (SELECT key, MIN(s) AS s FROM (SELECT key, unnest(synonyms) AS s FROM ({_ROWS})) GROUP BY key, lower(s)) GROUP BY key"
+_NEW = "(SELECT MAX(CAST(substr(entity_id, 2) AS BIGINT)) FROM ent) + row_number() OVER (PARTITION BY number IS NULL ORDER BY members > 1, name)"
+_IDS = """CASE WHEN tax_id IS NOT NULL THEN '{"NCBI_taxonomy":["' || tax_id || '"]}' WHEN cid IS NOT NULL THEN '{"MESH":["' || mesh_id || '"],"PubChem":["' || cid || '"]}' ELSE '{"MESH":["' || mesh_id || '"]}' END"""
+
+
+@query("merge_entities", f"SELECT 'e' || CAST(coalesce(c.number, c.fresh) AS STRING) AS entity_id, c.type, c.name, s.synonyms, {_IDS} AS ids, c.part_id FROM (SELECT *, {_NEW} AS fresh FROM ({_CORE})) AS c JOIN ({_SYNONYMS}) AS s ON c.key = s.key")
 def _(spark, sf):
     merged, _, _ = entities.merge_entities(ents(spark, sf), _candidates(spark, sf))
     return merged.select("entity_id", "type", "name", F.array_join("synonyms", "|").alias("synonyms"), F.to_json("other_db_ids").alias("ids"), "part_id")
