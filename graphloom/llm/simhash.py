@@ -135,8 +135,8 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET
     """(node, component) of the distinct fingerprints ``fp`` that link to another at ``budget`` or fewer bits.
 
     Each fingerprint goes to one key for each block of its bits. The few keys with over ``bucket`` fingerprints are
-    split by the same argument on the bits outside the block, so no link is lost and no key grows without bound. A
-    partition's keys are one forest of tries, joined with itself.
+    split, once, by the same argument on the bits outside the block, so no link is lost: what is left in one key then
+    agrees in half of all bits. A partition's keys are one forest of tries, joined with itself.
     """
     fp, blocks = F.col("fp"), _blocks(budget)
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block_value(fp, low, width).alias("value")) for i, (low, width) in enumerate(blocks)))).alias("k")).select("fp", "k.block", "k.value")
@@ -166,12 +166,14 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stash(source.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long"), "fingerprints")
-    distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    linked = link_fingerprints(distinct.select("fp"), budget)
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scope(docs.sparkSession) as keep:
+        counted = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
+        distinct = stash(counted, "distinct")
+        linked = link_fingerprints(distinct.select("fp"), budget)
+        rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        named = keep(stash(rooted.join(least, "component").select("fp", "component_id", "rows"), "named"))
+    return join_by_size(prints, named, ["fp"], "rows").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,10 +401,17 @@ def rest_pairs(texts: DataFrame, nodes: DataFrame, least: float, size: int) -> D
 
 def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
     """The pairs of keys (a, b) whose texts have a similarity of ``least`` or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stash(source.join(nodes.select("key", "least_id"), "key").where("doc_id <=> least_id").join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "texts")
-    compared = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return compared.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "least_id"), "key")
+    texts = stash(_rows_of(source, needed.withColumnRenamed("least_id", "id")).select("key", "text").dropDuplicates(["key"]), "texts")
+    first, second = (texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    compared = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return compared.mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
+
+
+def _rows_of(source: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``source`` with a text and id of ``chosen`` (key, id). Both are the join's keys, so that the copies of a
+    text are spread by their ids."""
+    return source.join(chosen, (source["key"] == chosen["key"]) & source["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
 
 
 def _passage_links(source: DataFrame, nodes: DataFrame, least: float, size: int, budget: int) -> DataFrame:
@@ -465,5 +474,5 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
         first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")
         kept = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(first).select("m.key", F.col("m.least_id").alias("id"))
         kept = keep(stash(kept, "kept"))
-    rows = source.join(kept, "key").where("doc_id <=> id").select("key", "row").dropDuplicates(["key"])
+    rows = _rows_of(source, kept).select("key", "row").dropDuplicates(["key"])
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
