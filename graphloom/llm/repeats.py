@@ -114,12 +114,13 @@ def repeated_spans(scans: DataFrame, repeating: DataFrame) -> DataFrame:
     return stash(join_by_size(one, stash(repeating.select("a", "times"), "anchors"), ["a"], "times").drop("times"), "repeating")
 
 
-def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all contexts with their number of places; one place of each context whose anchor has others, some of them single)."""
+def contexts(found: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(all contexts with their number of places; one place of each context of ``every`` anchor, or else of those anchors
+    that have several contexts, some of them with one place)."""
     by = stash(found.groupBy("a", "x").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rk", "s0", "n")).alias("at")), "contexts")
-    mixed = by.groupBy("a").agg(F.count("*").alias("variants"), F.count_if(F.expr("times = 1")).alias("single")).where("variants > 1 and single > 0")
-    mixed = stash(mixed.select("a", "variants"), "mixed")
-    return by, join_by_size(by, mixed, ["a"], "variants").select("a", "x", "times", "variants", "at.*")
+    anchors = by.groupBy("a").agg(F.count("*").alias("variants"), F.count_if(F.expr("times = 1")).alias("single"))
+    asked = stash((anchors if every else anchors.where("variants > 1 and single > 0")).select("a", "variants"), "asked")
+    return by, join_by_size(by, asked, ["a"], "variants").select("a", "x", "times", "variants", "at.*")
 
 
 def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:
@@ -129,7 +130,7 @@ def with_text(source: DataFrame, places: DataFrame, columns: str) -> DataFrame:
     return source.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("key"))).select("text", "places")
 
 
-def marks(texts: DataFrame, scans: DataFrame, repeating: DataFrame, resolve: Resolver) -> DataFrame:
+def marks(texts: DataFrame, scans: DataFrame, repeating: DataFrame, resolve: Resolver, every: bool = False) -> DataFrame:
     """(id, key, spans), written: of each text with repeated windows those as (s0, ranges of windows from there).
 
     Equal rows (one id, or none, and one text) share one set of spans, however many they are. What is written on the way
@@ -137,7 +138,7 @@ def marks(texts: DataFrame, scans: DataFrame, repeating: DataFrame, resolve: Res
     """
     with scope(texts.sparkSession) as keep:
         found = repeated_spans(scans, repeating)
-        decided = join_by_size(found, verdicts(texts, found, resolve), ["a", "x"], "times")
+        decided = join_by_size(found, verdicts(texts, found, resolve, every), ["a", "x"], "times")
         spans_ = F.collect_set(F.struct("s0", "ranges")).alias("spans")
         return keep(stash(decided.groupBy(F.col("doc_id").alias("id"), F.col("rk").alias("key")).agg(spans_), "marks"))
 
@@ -167,10 +168,13 @@ def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, li
         yield batch.column("text"), batch.column("places").to_pylist()
 
 
-def verdicts(source: DataFrame, found: DataFrame, resolve: Resolver) -> DataFrame:
-    """(a, x, times, ranges): the contexts with repeated windows. Contexts with two places repeat whole; ``resolve`` gets
-    the texts and the places of those that must be compared, and returns (a, x, ranges) of single ones."""
-    by, compare = contexts(found)
+def verdicts(texts: DataFrame, found: DataFrame, resolve: Resolver, every: bool) -> DataFrame:
+    """(a, x, times, ranges), written: the contexts with repeated windows, from ``resolve``, which gets the texts and a
+    place of each context to be compared. Unless it decides on ``every`` one, those with several places repeat whole."""
+    by, compare = contexts(found, every)
+    compare = stash(compare, "compare")
+    out = resolve(texts, compare).select("a", "x", "ranges").join(compare.select("a", "x", "times"), ["a", "x"])
+    if every:
+        return stash(out.select("a", "x", "times", "ranges"), "verdicts")
     whole = by.where("times > 1").select("a", "x", "times", whole_ranges().alias("ranges"))
-    single = resolve(source, stash(compare, "compare")).select("a", "x", F.lit(1).cast("long").alias("times"), "ranges")
-    return stash(whole.unionByName(single), "verdicts")
+    return stash(whole.unionByName(out.where("times = 1").select("a", "x", "times", "ranges")), "verdicts")

@@ -94,17 +94,20 @@ def long_common_prefixes(order: np.ndarray, text: np.ndarray, length: int) -> np
     return ~settled[:n]
 
 
-def repeats_in(contexts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each context: which of its windows stand at another place of the contexts too, and which are the first of
-    their kind."""
+def repeats_in(contexts: list[bytes], length: int, times: list[int] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context: which of its windows stand at another place too, and which are the first of their kind.
+
+    Equal contexts are one with the number of their ``times``: a suffix of it is so many places of its interval.
+    """
     text = np.concatenate([np.append(np.frombuffer(c, np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16) for c in contexts])
     order = suffix_order(text, length)
     same = long_common_prefixes(order, text, length)
-    twice = same.copy()
+    at = np.cumsum([0, *(len(c) + 1 for c in contexts)])
+    places = np.repeat(times if times is not None else np.ones(len(contexts), int), np.diff(at))[order]
+    twice = same | (places > 1)  # an interval of two places or more
     twice[:-1] |= same[1:]
     flag, first = np.zeros(len(text), bool), np.zeros(len(text), bool)
     flag[order], first[order] = twice, ~same
-    at = np.cumsum([0, *(len(c) + 1 for c in contexts)])
     n = [len(c) - length + 1 for c in contexts]
     return [flag[a : a + k] for a, k in zip(at, n)], [first[a : a + k] for a, k in zip(at, n)]
 
@@ -126,8 +129,8 @@ def _transform_block(group: pa.Table, length: int) -> pa.Table:
     """One block's verdicts. Contexts of an anchor that is in several blocks also give the hashes of their windows, one
     of a kind, so that those which are single here can be sought in the other blocks."""
     group = group.combine_chunks()
-    a, x, variants, contexts = (group.column(c).to_pylist() for c in ("a", "x", "variants", "context"))
-    twice, first = repeats_in(contexts, length)
+    a, x, times, variants, contexts = (group.column(c).to_pylist() for c in ("a", "x", "times", "variants", "context"))
+    twice, first = repeats_in(contexts, length, times)
     ranges, hashes = [as_ranges(t) for t in twice], []
     for v, context, t, f in zip(variants, contexts, twice, first):
         if v <= GROUP:
@@ -141,20 +144,19 @@ def _transform_block(group: pa.Table, length: int) -> pa.Table:
 
 
 def _resolve(source: DataFrame, compare: DataFrame, length: int) -> DataFrame:
-    """Compare contexts block by block with a transform each; an anchor's contexts share a block unless they are many."""
+    """The repeated windows of all contexts, block by block with a transform each; an anchor's contexts share a block
+    unless they are many, in which case what is single in one block is sought in the others."""
     texts = with_text(source, compare, "a x times variants s0 n")
     rows = texts.mapInArrow(lambda it: _context_bytes(it, length), "a long, x long, times long, variants long, context binary").dropDuplicates(["a", "x"])
     rows = stash(rows, "context_bytes")
     blocks = 1 + int((rows.agg(F.sum(F.length("context"))).first()[0] or 0) // BLOCK_BYTES)
     part = F.when(F.col("variants") > GROUP, F.pmod(F.xxhash64("x"), F.ceil(F.col("variants") / GROUP))).otherwise(F.lit(0))
     block = F.pmod(F.xxhash64("a", part), F.lit(blocks)).alias("block")
-    done = stash(rows.select(block, "a", "x", "variants", "context").groupBy("block").applyInArrow(lambda t: _transform_block(t, length), "a long, x long, ranges array<int>, hashes array<struct<j:int,w:long,single:boolean>>"), "blocks")
+    done = stash(rows.select(block, "a", "x", "times", "variants", "context").groupBy("block").applyInArrow(lambda t: _transform_block(t, length), "a long, x long, ranges array<int>, hashes array<struct<j:int,w:long,single:boolean>>"), "blocks")
     one = done.select("a", "x", F.explode("hashes").alias("h")).select("a", "x", "h.*")
     across = one.groupBy("a", "w").count().where("count > 1").select("a", "w")
     late = one.where("single").join(across, ["a", "w"], "left_semi").groupBy("a", "x").agg(F.flatten(F.collect_list(F.array("j", F.col("j") + 1))).alias("ranges"))
-    single = compare.where("times = 1").select("a", "x")  # contexts with more places are repeated whole already
-    both = done.select("a", "x", "ranges").where("size(ranges) > 0").unionByName(late)
-    return both.join(single, ["a", "x"], "left_semi")
+    return done.select("a", "x", "ranges").where("size(ranges) > 0").unionByName(late)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, part: int = PART, id_col
     source = keyed(docs, id_col, text_col)
     with scope(docs.sparkSession) as keep:
         scans = scan(source, False, length, part)
-        found = keep(marks(source, scans, anchor_counts(scans).where("times > 1"), lambda t, compare: _resolve(t, compare, length)))
+        found = keep(marks(source, scans, anchor_counts(scans).where("times > 1"), lambda t, compare: _resolve(t, compare, length), every=True))
     cut = marked(source, found)
     row = cut.schema["row"].dataType.simpleString()
     return cut.mapInArrow(lambda it: _cut(it, length), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}")

@@ -454,7 +454,7 @@ def test_equal_rows_in_great_number(spark):
     docs = spark.range(10_000).select(*row).unionByName(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("short").alias("text")))
     source = repeats.keyed(docs)
     scans = repeats.scan(source, False, 400, 128)
-    found = repeats.marks(source, scans, repeats.anchor_counts(scans).where("times > 1"), lambda t, compare: suffix_array._resolve(t, compare, 400))
+    found = repeats.marks(source, scans, repeats.anchor_counts(scans).where("times > 1"), lambda t, compare: suffix_array._resolve(t, compare, 400), every=True)
     spans = repeats.marked(source, found).where("doc_id is null").agg(F.max(F.size("spans")), F.count("*")).first()
     assert spans[1] == 10_000 and spans[0] <= len(text)
     out = suffix_array.suffix_dedup(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
