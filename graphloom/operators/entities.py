@@ -51,8 +51,11 @@ def merge_entities(stored: DataFrame, candidates: DataFrame, retired_max: int =
     number = numeric_id(F.col("entity_id"))
     order = F.struct(number.isNull(), number, F.col("name"), F.array_sort("synonyms"))
     core = grouped.groupBy("component").agg(F.min_by("entity_id", F.struct(number.isNull(), number)).alias("entity_id"), F.min_by("type", order).alias("type"), F.min_by("name", order).alias("name"), F.min("part_id").alias("part_id"), F.count("*").alias("members"), F.min(order).alias("order"))
-    names = grouped.select("component", F.explode("synonyms").alias("s")).groupBy("component", F.lower("s").alias("low")).agg(F.min("s").alias("s")).groupBy("component").agg(F.array_sort(F.collect_list("s")).alias("synonyms"))
-    ids = grouped.select("component", F.explode("other_db_ids").alias("k", "v")).select("component", "k", F.explode("v").alias("v")).groupBy("component", "k").agg(F.array_sort(F.collect_set("v")).alias("v")).groupBy("component").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("other_db_ids"))
+    spelled = grouped.select("component", F.explode("synonyms").alias("s")).groupBy("component", F.lower("s").alias("low")).agg(F.min("s").alias("s"))
+    names = spelled.groupBy("component").agg(F.array_sort(F.collect_list("s")).alias("synonyms"))
+    listed = grouped.select("component", F.explode("other_db_ids").alias("k", "v")).select("component", "k", F.explode("v").alias("v"))
+    united = listed.groupBy("component", "k").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    ids = united.groupBy("component").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("other_db_ids"))
     merged = stash(core.join(names, "component", "left").join(ids, "component", "left"), "merged")
     top = stored.agg(F.max(numeric_id(F.col("entity_id")))).first()[0] or 0
     fresh = assign_ids(merged.where("entity_id is null").drop("entity_id"), ["members > 1", "order.name", "component"], max(top, retired_max) + 1)
