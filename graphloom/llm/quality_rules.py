@@ -50,8 +50,23 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     _, seen = repeated(w.doc, w.hash)
     base = {"n_words": w.counts, "word_chars": chars, "n_symbols": flag(SYMBOLS), "n_dup_lines": dup_lines, "n_repeat_words": repeat_words}
     words, letters = np.maximum(w.counts, 1), np.maximum(chars, 1)
-    features = np.stack([np.log1p(w.counts), chars / words, base["n_symbols"] / letters, dup_lines / np.maximum(lines, 1), repeat_words / words, flag("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / letters, flag("0123456789") / letters, flag(".,;:?") / letters, flag("!") / letters, flag("|") / words, w.per_text(w.buf >= 0xC0) / letters, w.counts / np.maximum(lines, 1), 1 - np.bincount(w.doc[seen], minlength=w.n) / words, flag(".") / words], axis=1)
-    return base, features
+    features = [
+        np.log1p(w.counts),
+        chars / words,
+        base["n_symbols"] / letters,
+        dup_lines / np.maximum(lines, 1),
+        repeat_words / words,
+        flag("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / letters,
+        flag("0123456789") / letters,
+        flag(".,;:?") / letters,
+        flag("!") / letters,
+        flag("|") / words,
+        w.per_text(w.buf >= 0xC0) / letters,
+        w.counts / np.maximum(lines, 1),
+        1 - np.bincount(w.doc[seen], minlength=w.n) / words,
+        flag(".") / words,
+    ]
+    return base, np.stack(features, axis=1)
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle Python worker keeps what the last task's arrays took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` text bytes, so that numpy's temporary arrays stay small."""
     for batch in batches:
@@ -40,6 +49,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, min(to, n) - at)
             at = min(to, n)
+    give_back()
 
 
 def arrow_batches(spark: SparkSession) -> None:

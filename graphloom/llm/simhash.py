@@ -402,16 +402,22 @@ def rest_pairs(texts: DataFrame, nodes: DataFrame, least: float, size: int) -> D
 def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
     """The pairs of keys (a, b) whose texts have a similarity of ``least`` or more."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "least_id"), "key")
-    texts = stash(_rows_of(source, needed.withColumnRenamed("least_id", "id")).select("key", "text").dropDuplicates(["key"]), "texts")
+    needed = small(stash(needed.select("key", F.col("least_id").alias("id")), "needed"))
+    # Both are the join's keys, so that the copies of a text are spread by their ids.
+    own = source.join(needed, (source["key"] == needed["key"]) & source["doc_id"].eqNullSafe(needed["id"]), "left_semi")
+    texts = stash(own.select("key", "text").dropDuplicates(["key"]), "texts")
     first, second = (texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
     return compared.mapInArrow(lambda it: _verified(it, least, size), "a string, b string")
 
 
-def _rows_of(source: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``source`` with a text and id of ``chosen`` (key, id). Both are the join's keys, so that the copies of a
-    text are spread by their ids."""
-    return source.join(chosen, (source["key"] == chosen["key"]) & source["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
+#: Rows of keys up to which a list is broadcast, so that texts need not be shuffled to meet it: some 50 MB.
+SMALL_ROWS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if its rows, which are counted, are few; else the join shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
 
 
 def _passage_links(source: DataFrame, nodes: DataFrame, least: float, size: int, budget: int) -> DataFrame:
@@ -454,7 +460,8 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     node from the start, so that neither classes nor comparisons grow with a text's copies, and each text has at most
     ``PASSAGES`` of these comparisons. What they leave apart goes through ``rest_pairs``, which leaves out no pair of
     ``least`` similarity. Repeated rows leave one; null texts are empty ones; rows of a null id give way to others with
-    the same text. An empty table stays empty. What is written on the way is removed, but for the list of those kept.
+    the same text. An empty table stays empty. What is written on the way is removed, but for the list
+    of texts that go or have copies; texts are shuffled to meet it only if it is long.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -464,15 +471,22 @@ def distinct_near(docs: DataFrame, least: float = SIMILARITY, size: int = NEAR_S
     with scope(spark) as keep:
         with scope(spark) as hand:
             prints = stash(source.select("doc_id", "key", "text").mapInArrow(lambda it: _passage_batches(it, size), "doc_id long, key string, prints array<long>, sketch binary"), "passages")
-            nodes = hand(stash(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")), "nodes"))
+            one = F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")
+            nodes = hand(stash(prints.groupBy("key").agg(*one), "nodes"))
         with scope(spark) as hand:
             groups = hand(_passage_links(source, nodes, least, size, budget))
         with scope(spark) as hand:
             more = hand(_rest_links(source, nodes, groups, least, size))
         linked = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        grouped = nodes.select("key", "least_id").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left")
+        grouped = nodes.select("key", "least_id", "rows").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left")
+        grouped = stash(grouped.withColumn("g", F.coalesce("component", "key")), "grouped")
         first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("m")
-        kept = grouped.groupBy(F.coalesce("component", "key").alias("g")).agg(first).select("m.key", F.col("m.least_id").alias("id"))
-        kept = keep(stash(kept, "kept"))
-    rows = _rows_of(source, kept).select("key", "row").dropDuplicates(["key"])
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+        stays = grouped.groupBy("g").agg(first).select("g", F.col("m.key").alias("first"))
+        # All that is not as it came: texts that go, and those with copies.
+        changed = grouped.join(stays, "g").withColumn("stays", F.col("key") == F.col("first")).where("rows > 1 or not stays")
+        changed = keep(stash(changed.select("key", F.col("least_id").alias("id"), "stays"), "changed"))
+    listed = small(changed)
+    alone = source.join(listed, "key", "left_anti")
+    chosen = small(changed.where("stays"))
+    copied = source.join(chosen, (source["key"] == chosen["key"]) & source["doc_id"].eqNullSafe(chosen["id"]), "left_semi").dropDuplicates(["key"])
+    return alone.unionByName(copied).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

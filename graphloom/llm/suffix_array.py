@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.repeats import anchor_counts, cover, keyed, marked, marks, place_rows, scan, with_text
-from graphloom.llm.shared import scope, stash, steps, table, text_buffer
+from graphloom.llm.shared import give_back, scope, stash, steps, table, text_buffer
 
 LENGTH = 400
 #: Bytes of the anchors: the smallest hash of so many bytes in each window.
@@ -140,7 +140,10 @@ def _transform_block(group: pa.Table, length: int) -> pa.Table:
         w = np.frombuffer(b"".join([blake2b(context[k : k + length], digest_size=8).digest() for k in j.tolist()]), np.int64)
         hashes.append([{"j": int(k), "w": int(h), "single": not t[k]} for k, h in zip(j, w)])
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct([("j", pa.int32()), ("w", pa.int64()), ("single", pa.bool_())])))
-    return pa.Table.from_arrays([pa.array(v, k) for v, k in zip((a, x, ranges, hashes), kinds)], names=["a", "x", "ranges", "hashes"])
+    out = pa.Table.from_arrays([pa.array(v, k) for v, k in zip((a, x, ranges, hashes), kinds)], names=["a", "x", "ranges", "hashes"])
+    del twice, first, contexts, group
+    give_back()
+    return out
 
 
 def _resolve(source: DataFrame, compare: DataFrame, length: int) -> DataFrame:
