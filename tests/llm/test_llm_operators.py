@@ -768,6 +768,13 @@ def test_spans_meet_in_equal_windows():
     assert all(len(v) == 1 for v in windows.values()) and sum(len(ws) - 34 for ws in w) == len(place)
 
 
+def test_near_dedup_with_long_lists(docs, monkeypatch):
+    """The rows kept are the same whether lists are broadcast or shuffled."""
+    few = grouped(simhash.distinct_near(docs), "doc_id", "text")
+    monkeypatch.setattr(simhash, "SMALL_ROWS", 0)
+    assert grouped(simhash.distinct_near(docs), "doc_id", "text") == few
+
+
 @pytest.mark.parametrize("rows", ["odd", "none"])
 def test_stages_on_odd_tables(spark, docs, none, rows):
     """Every stage on nulls, empty and very long texts, repeated rows, odd columns, and on an empty table."""
