@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
+from graphloom.llm import alignment, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_license_scan": licenses.op10_license_scan,
+    "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
