@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import alignment, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts
+from graphloom.llm import alignment, decontamination, jaccard, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, suffix_array, token_counts, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_ngram_jaccard_join": jaccard.op11_ngram_jaccard_join,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
