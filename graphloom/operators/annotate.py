@@ -29,17 +29,35 @@ def one_per_hypothesis(rows: DataFrame, hypothesis: str, keys: list[str], seed:
     return chosen.select(hypothesis, "r.*").select(*rows.columns)
 
 
+#: Bits of ``monotonically_increasing_id`` that hold a row's place in its partition.
+_PLACE_BITS = 33
+
+
+def ranged(df: DataFrame, order: list) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): the rows, written in a global order, and a row for each of their partitions.
+
+    ``rows`` has the columns of ``df``, the partition ``__p`` and the place ``__at`` in it, from 0; equal keys may be
+    in any order. ``parts`` has ``__p`` and the number of its rows ``__n``. One shuffle, no window.
+    """
+    keys = [F.expr(o) if isinstance(o, str) else o for o in order]
+    names = [f"__o{i}" for i in range(len(keys))]
+    placed = df.select("*", *(k.alias(n) for k, n in zip(keys, names))).repartitionByRange(*names).sortWithinPartitions(*names)
+    number = placed.withColumn("__id", F.monotonically_increasing_id()).drop(*names)
+    rows = stash(number.withColumn("__p", F.shiftright("__id", _PLACE_BITS)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).drop("__id"), "ranged")
+    return rows, rows.groupBy("__p").agg(F.count("*").alias("__n"))
+
+
+def running_offsets(parts: DataFrame, column: str, name: str = "__before") -> DataFrame:
+    """``parts`` (a row for each partition) with the sum of ``column`` over the partitions before it."""
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(name, F.coalesce(F.sum(column).over(before), F.lit(0)))
+
+
 def numbered(df: DataFrame, order: list, name: str = "position", start: int = 0) -> DataFrame:
-    """Rows numbered in a global order without a global window: range partitions, their counts, then local numbers."""
-    sorted_ = df.select("*", *(F.expr(o).alias(f"__o{i}") if isinstance(o, str) else o.alias(f"__o{i}") for i, o in enumerate(order)))
-    keys = [f"__o{i}" for i in range(len(order))]
-    placed = sorted_.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    kept = stash(placed, "numbered")
-    totals = kept.groupBy("__p").agg(F.count("*").alias("__n"))
-    # A row for each partition: a bounded window and broadcast.
-    offsets = totals.select("__p", (F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start).alias("__before"))
-    local = kept.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
-    return local.join(F.broadcast(offsets), "__p").select(*df.columns, (F.col("__before") + F.col("__r") - 1).cast("long").alias(name))
+    """Rows numbered in a global order without a global window: range partitions, their counts, then local places."""
+    rows, parts = ranged(df, order)
+    offsets = running_offsets(parts, "__n").select("__p", "__before")
+    return rows.join(F.broadcast(offsets), "__p").select(*df.columns, (F.col("__before") + F.col("__at") + start).cast("long").alias(name))  # a row for each partition
 
 
 def split_by_premise(pairs: DataFrame, n_val: int, n_test: int, n_train: int, premise: str = "premise", hypothesis: str = "hypothesis", seed: str = "42") -> DataFrame:
@@ -117,9 +135,9 @@ def stratified_sample(rows: DataFrame, n: int, bins: int, keys: list[str], prob:
     """``n`` rows of each left-closed probability bin (the last closed)."""
     binned = rows.withColumn("bin", F.least(F.floor(F.round(F.col(prob) * bins, 9)), F.lit(bins - 1)).cast("int"))
     placed = numbered(binned, [F.col("bin"), pseudo_random(*map(F.col, keys), seed=seed), *map(F.col, keys)], "at")
-    first = placed.groupBy("bin").agg(F.min("at").alias("first"))  # a row for each of ``bins`` and for a null
-    kept = placed.join(F.broadcast(first), placed["bin"].eqNullSafe(first["bin"])).where(F.col("at") - F.col("first") < n)
-    return kept.select(*rows.columns, placed["bin"])
+    first = placed.groupBy(F.col("bin").alias("own")).agg(F.min("at").alias("first"))  # a row for each of ``bins`` and for a null
+    kept = placed.join(F.broadcast(first), F.col("bin").eqNullSafe(F.col("own"))).where(F.col("at") - F.col("first") < n)
+    return kept.select(*rows.columns, "bin")
 
 
 def ends_by(rows: DataFrame, order: list, n: int, first: bool = True) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import pseudo_random
-from graphloom.operators.annotate import numbered
+from graphloom.operators.annotate import numbered, ranged, running_offsets
+from graphloom.operators.skew import join_by_size
 from graphloom.sources.written import stash
 
 T = ["head", "relation", "tail"]
@@ -84,44 +85,71 @@ def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame |
     return asking.join(grouped, ["g", "h"]).select("head", F.lit(relation).alias("relation"), F.explode(unknown).alias("tail"))
 
 
-def negative_samples(positives: DataFrame, known: DataFrame, draws: int = 8, rounds: int = 4, seed: str = "42") -> DataFrame:
-    """(head, relation, tail, label): each positive, one unknown triple with another head, and one with another tail.
+def unknown_ends(rows: DataFrame, known: DataFrame, end: str, pool: DataFrame, draws: int = 1, seed: str = "42", again: bool = True) -> DataFrame:
+    """``rows`` (triples) ``draws`` times each, numbered in ``draw`` from 0, with ``new``: an entity of ``pool`` (one column) that
+    makes the triple unknown in the place of its ``end``.
 
-    ``draws`` hashed places in the indexed pool are tried for each end, in up to ``rounds`` rounds for those that found
-    none; what is left then is tried against the whole pool. An end that has no unknown corruption at all fails.
+    A draw is a place among the entities that are free for the row's relation and other end, by hash, and every free
+    entity is as likely as any other. With the known ones' positions q_0 < q_1 < ... in the sorted pool, the r-th free
+    position is r + j, where j of the q_i - i are r at most: positions and draws are ordered together once, by range,
+    and j is a running count. So nothing is tried in vain, and no group of a hot end has to be in one task. With
+    ``again`` false a row's draws differ: they follow one another from the first, around the end of the free ones. A row
+    with no (or, if they are to differ, too few) free entities fails.
+    """
+    other = "tail" if end == "head" else "head"
+    key = ["relation", other]
+    indexed = stash(numbered(pool.select(F.col(pool.columns[0]).alias("new")).distinct(), [F.col("new")], "pos"), "pool")
+    size = indexed.count()
+    met = known.select(*T).unionByName(rows.select(*T)).select(F.col(end).alias("new"), *key).distinct().join(indexed, "new").select(*key, "pos")
+    placed = stash(numbered(met, [*map(F.col, key), F.col("pos")], "at"), "placed")
+    first = placed.groupBy(*key).agg(F.min("at").alias("first"), F.count("*").alias("taken"))
+    asking = rows.select(*T).distinct()
+    sizes = asking.groupBy(*key).agg(F.count("*").alias("asked")).join(first, key, "left").select(*key, "asked", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("taken", F.lit(0)).alias("taken"))
+    sized = join_by_size(stash(asking, "asking"), stash(sizes, "sizes"), key, "asked").withColumn("free", F.lit(size) - F.col("taken"))
+    enough = F.when(F.col("free") < (1 if again else draws), F.raise_error(F.lit("no unknown corruption")).cast("long")).otherwise(F.col("free"))
+    number = lambda *more: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{end}"), *T, *more)), 1, 15), 16, 10).cast("long")
+    each = sized.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("free", enough)
+    rank = F.pmod(number(F.col("draw").cast("string")), F.col("free")) if again else F.pmod(F.pmod(number(F.lit("0")), F.col("free")) + F.col("draw"), F.col("free"))
+    # Known positions come before draws of the same place, and are counted over all keys; those of the keys before go off.
+    gaps = join_by_size(placed, stash(first, "first"), key, "taken").select(*key, (F.col("pos") - (F.col("at") - F.col("first"))).alias("place"), F.lit(1).alias("is_known"))
+    asked = each.select(*key, rank.alias("place"), F.lit(0).alias("is_known"), end, "draw", F.when(F.col("taken") > 0, F.col("first")).alias("first"))
+    events, parts = ranged(gaps.unionByName(asked, allowMissingColumns=True), [*map(F.col, key), F.col("place"), -F.col("is_known")])
+    offsets = running_offsets(events.groupBy("__p").agg(F.sum("is_known").alias("known")), "known").select("__p", "__before")
+    local = F.sum("is_known").over(Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    running = events.withColumn("before", local).where("is_known = 0").join(F.broadcast(offsets), "__p")  # a row for each partition
+    skipped = F.when(F.col("first").isNull(), 0).otherwise(F.col("before") + F.col("__before") - F.col("first"))
+    return running.select(*T, "draw", (F.col("place") + skipped).alias("pos")).join(indexed, "pos").select(*T, "draw", "new")
+
+
+def negative_samples(positives: DataFrame, known: DataFrame, draws: int = 1, seed: str = "42") -> DataFrame:
+    """(head, relation, tail, label): each positive, ``draws`` unknown triples with another head, and as many with another tail.
+
+    New ends come from the positives' own. A positive that has no unknown corruption of an end fails. Repeated positives
+    have their corruptions repeated.
     """
-    known = stash(known.select(*T).distinct(), "known")
     out = positives.select(*T, F.lit(1).alias("label"))
-    rows = stash(positives.select(*T).distinct(), "positives")
-    for end, other in (("head", "tail"), ("tail", "head")):
-        pool = stash(numbered(rows.select(F.col(end).alias("new")).distinct(), [F.col("new")], "pos"), "pool")
-        size = pool.count()
-        late, found = rows, []
-        for k in range(rounds):
-            tried = late.withColumn("i", F.explode(F.sequence(F.lit(k * draws), F.lit((k + 1) * draws - 1))))
-            text = F.concat_ws("|", F.lit(f"{seed}{end}"), *T, F.col("i").cast("string"))
-            number = F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(max(size, 1)))
-            made = tried.withColumn("pos", number).join(pool, "pos").select(F.col(end).alias("old"), "relation", other, "i", F.col("new").alias(end))
-            fresh = made.join(known, T, "left_anti").groupBy(F.col("old").alias(end), "relation", other).agg(F.min_by(end, "i").alias("new"))
-            found.append(stash(fresh, "found"))
-            late = stash(late.join(found[-1], T, "left_anti"), "late")
-            if late.isEmpty():
-                break
-        # The few that are left: the whole pool, block by block, without what is known with their other end.
-        blocks = 16
-        met = late.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(pool.select("new", F.pmod("pos", F.lit(blocks)).alias("block")), "block")
-        taken = known.select(F.col(end).alias("new"), "relation", other)
-        first = F.struct(pseudo_random(*map(F.col, T), F.col("new"), seed=seed), "new")
-        best = met.join(taken, ["new", "relation", other], "left_anti").groupBy(*T).agg(F.min_by("new", first).alias("new"))
-        none = F.raise_error(F.lit("no unknown corruption")).cast("string")
-        full = late.join(best, T, "left").select(*T, F.when(F.col("new").isNull(), none).otherwise(F.col("new")).alias("new"))
-        for part in found:
-            full = full.unionByName(part.select(*T, "new"))
-        again = positives.select(*T).join(full, T)
-        out = out.unionByName(again.select(*((F.col("new") if c == end else F.col(c)).alias(c) for c in T), F.lit(0).alias("label")))
+    for end in ("head", "tail"):
+        made = unknown_ends(positives, known, end, positives.select(end), draws, seed)
+        out = out.unionByName(_corrupted(positives, made, end))
     return out
 
 
+def coin_negatives(positives: DataFrame, known: DataFrame, entities: DataFrame, draws: int = 5, seed: str = "42") -> DataFrame:
+    """(head, relation, tail, label): each positive, and ``draws`` unknown triples with another head, or with another tail, as a
+    hashed coin falls for the positive. New ends are any of ``entities`` (one column)."""
+    coin = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}coin"), *T)), 1, 1) < "8"
+    out = positives.select(*T, F.lit(1).alias("label"))
+    for end, own in (("head", coin), ("tail", ~coin)):
+        some = positives.select(*T).where(own)
+        out = out.unionByName(_corrupted(some, unknown_ends(some, known, end, entities, draws, seed), end))
+    return out
+
+
+def _corrupted(positives: DataFrame, made: DataFrame, end: str) -> DataFrame:
+    again = positives.select(*T).join(made, T)
+    return again.select(*((F.col("new") if c == end else F.col(c)).alias(c) for c in T), F.lit(0).alias("label"))
+
+
 def split_coverage(test: DataFrame, train: DataFrame) -> DataFrame:
     """(n, covered, share): test triples with both ends in training entities."""
     known = train.select(F.explode(F.array("head", "tail")).alias("e")).distinct()

@@ -78,7 +78,21 @@ def _(spark, sf):
 
 # Customers and the parts they buy: sparse enough that every triple has an unknown corruption, as the operator demands (a
 # supplier of the smallest tables is known with nearly all parts).
-@query("negative_samples")
+def _free(end: str, pool: str) -> str:
+    """The free entities of each relation and other end, numbered from 0, and how many."""
+    other = "tail" if end == "head" else "head"
+    return f"""SELECT k.relation, k.{other}, p.new, row_number() OVER (PARTITION BY k.relation, k.{other} ORDER BY p.new) - 1 AS r, COUNT(*) OVER (PARTITION BY k.relation, k.{other}) AS free
+        FROM (SELECT DISTINCT relation, {other} FROM buys) AS k CROSS JOIN ({pool}) AS p LEFT JOIN buys AS b ON b.relation = k.relation AND b.{other} = k.{other} AND b.{end} = p.new WHERE b.head IS NULL"""
+
+
+def _drawn(end: str, pool: str, draws: int, rows: str = "buys") -> str:
+    other = "tail" if end == "head" else "head"
+    new = {"head": "f.new AS head, b.relation, b.tail", "tail": "b.head, b.relation, f.new AS tail"}[end]
+    number = f"CAST('0x' || substr(md5('42{end}|' || b.head || '|' || b.relation || '|' || b.tail || '|' || d.draw), 1, 15) AS BIGINT)"
+    return f"SELECT {new}, 0 AS label FROM {rows} AS b CROSS JOIN (SELECT unnest(range({draws})) AS draw) AS d JOIN ({_free(end, pool)}) AS f ON f.relation = b.relation AND f.{other} = b.{other} AND f.r = {number} % f.free"
+
+
+@query("negative_samples", f"SELECT *, 1 AS label FROM buys UNION ALL {_drawn('head', 'SELECT DISTINCT head AS new FROM buys', 1)} UNION ALL {_drawn('tail', 'SELECT DISTINCT tail AS new FROM buys', 1)}")
 def _(spark, sf):
     buys = view(spark, sf, "buys")
     return kgc.negative_samples(buys, buys)
@@ -92,6 +106,17 @@ def _(spark, sf):
     return marked.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when((F.col("label") == 0) & F.col("k").isNotNull(), 1).otherwise(0)).alias("known"))
 
 
+# Five corruptions of the end that a coin chooses, by any customer or part.
+_ANY = "SELECT head AS new FROM buys UNION SELECT tail FROM buys"
+_COIN = "substr(md5('42coin|' || head || '|' || relation || '|' || tail), 1, 1) < '8'"
+
+
+@query("coin_negatives", f"SELECT *, 1 AS label FROM buys UNION ALL {_drawn('head', _ANY, 5, f'(SELECT * FROM buys WHERE {_COIN})')} UNION ALL {_drawn('tail', _ANY, 5, f'(SELECT * FROM buys WHERE NOT ({_COIN}))')}")
+def _(spark, sf):
+    buys = view(spark, sf, "buys")
+    return kgc.coin_negatives(buys, buys, buys.select("head").union(buys.select("tail")), 5)
+
+
 @query("split_coverage", f"SELECT COUNT(*) AS n, COUNT(*) FILTER (h AND t) AS covered, round(AVG(CASE WHEN h AND t THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT head IN (SELECT head FROM ({SPLIT}) WHERE split = 'train') AS h, tail IN (SELECT tail FROM ({SPLIT}) WHERE split = 'train') AS t FROM ({SPLIT}) WHERE split = 'test')")
 def _(spark, sf):
     s = split(spark, sf)

@@ -237,6 +237,29 @@ def test_negatives(spark):
         kgc.negative_samples(full, full).collect()
 
 
+def test_draws_from_the_complement(spark):
+    """A hot key, keys without known ones, an end that is known with all but one, and draws that are to differ."""
+    known = [(f"h{a:02}", "r", "hot") for a in range(40) if a != 7] + [(f"h{a:02}", "r", f"t{a % 5}") for a in range(40)]
+    pool = spark.createDataFrame([(f"h{a:02}",) for a in range(40)], "e string")
+    asked = spark.createDataFrame([("h03", "r", "hot"), ("h20", "r", "hot"), ("h01", "r", "t1"), ("h09", "q", "x")], S.TRIPLE)
+    stored = spark.createDataFrame(known, S.TRIPLE)
+    found = kgc.unknown_ends(asked, stored, "head", pool, draws=30).collect()
+    assert len(found) == 120
+    taken = {(h, r, t) for h, r, t in known}
+    for row in found:
+        assert (row["new"], row["relation"], row["tail"]) not in taken and row["new"] != row["head"]
+    assert {r["new"] for r in found if r["tail"] == "hot"} == {"h07"}
+    assert len({r["new"] for r in found if r["tail"] == "x"}) > 10  # spread over the free ones
+    apart = kgc.unknown_ends(asked.where("tail <> 'hot'"), stored, "head", pool, draws=32, again=False).collect()
+    for t, head in (("t1", "h01"), ("x", "h09")):
+        new = [r["new"] for r in apart if r["tail"] == t]
+        assert len(new) == len(set(new)) == 32 and all((n, "r", t) not in taken for n in new) and head not in new
+    with pytest.raises(Exception, match="no unknown corruption"):
+        kgc.unknown_ends(asked, stored, "head", pool, draws=2, again=False).collect()
+    coin = kgc.coin_negatives(stored, stored, pool, draws=1).where("label = 0")
+    assert coin.count() == stored.count() and coin.join(stored, ["head", "relation", "tail"], "left_semi").count() == 0
+
+
 def test_splits_disjoint(spark):
     t = spark.createDataFrame([(f"h{i}", "r", "t") for i in range(101)], S.TRIPLE)
     s = kgc.split_triples(t).cache()
@@ -352,7 +375,7 @@ def test_unknown_pairs_by_groups(spark):
 def test_negatives_of_a_dense_relation(spark):
     known = [(f"h{a}", "r", f"t{b}") for a in range(6) for b in range(6) if (a, b) not in ((0, 5), (5, 0))]
     positives = spark.createDataFrame([("h0", "r", "t0")] + [(f"h{a}", "q", f"t{a}") for a in range(6)], "head string, relation string, tail string")
-    out = kgc.negative_samples(positives, spark.createDataFrame(known, "head string, relation string, tail string"), draws=1, rounds=1)
+    out = kgc.negative_samples(positives, spark.createDataFrame(known, "head string, relation string, tail string"), draws=1)
     labels = rows(out, "relation", "head", "tail", "label")
     assert len(labels) == 3 * 7
     assert {x[:3] for x in labels if x[0] == "r" and x[3] == 0} == {("r", "h5", "t0"), ("r", "h0", "t5")}
