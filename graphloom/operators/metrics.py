@@ -8,10 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from graphloom.operators.skew import join_by_size
 from graphloom.sources.written import stash
 
 T = ["head", "relation", "tail"]
@@ -210,6 +212,65 @@ def filtered_rank(candidates: DataFrame, truth: DataFrame, known: DataFrame, que
     return truth.select(*query).join(beaten, query, "left").select(*query, (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 
 
+#: Entities of one group, about, and test triples of one list, in the product of both.
+RANK_GROUP = 2_000
+
+
+def _better(batches: Iterator[pa.RecordBatch], scorer: Callable[[pd.DataFrame], np.ndarray], end: str, other: str) -> Iterator[pa.RecordBatch]:
+    """For each row (relation, other, entities, known, tests of own score) the tests and how many unknown entities score more."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        fresh = [sorted(set(r["entities"]) - set(r["known"] or ())) for r in rows]
+        sizes = list(map(len, fresh))
+        frame = pd.DataFrame({end: [e for x in fresh for e in x], "relation": np.repeat([r["relation"] for r in rows], sizes), other: np.repeat([r[other] for r in rows], sizes)})
+        scores = np.asarray(scorer(frame[T]), float) if len(frame) else np.zeros(0)
+        out, at = {c: [] for c in (*T, "better")}, 0
+        for r, n in zip(rows, sizes):
+            own, tests = np.sort(scores[at : at + n]), r["tests"]
+            at += n
+            out[end] += [t[end] for t in tests]
+            out["relation"] += [r["relation"]] * len(tests)
+            out[other] += [r[other]] * len(tests)
+            out["better"] += (n - np.searchsorted(own, [t["own"] for t in tests], "right")).tolist()
+        yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.string()) for c in T}, "better": pa.array(out["better"], pa.int64())})
+
+
+def entity_ranks(test: DataFrame, entities: DataFrame, known: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], sides: tuple[str, ...] = ("head", "tail"), group: int = RANK_GROUP) -> DataFrame:
+    """(head, relation, tail, side, rank): 1 and the number of entities that score more in the place of a test triple's head
+    (or tail) and do not make a known triple there.
+
+    ``entities`` has one column; ``scorer`` gives the scores of a frame of triples. All test triples of one relation and
+    other end have the same rivals, so that these are scored once for a list of about ``group`` of them. A list meets a
+    group of about ``group`` entities, without those that are known, in the task that scores them: what is shuffled is
+    the number of test triples times that of groups, and the product is never rows of Spark's.
+    """
+    spark = test.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # a row holds a group's names
+    own = stash(score_pairs(test.select(*T).distinct(), scorer).withColumnRenamed("prob", "own"), "own")
+    stored = known.select(*T).unionByName(test.select(*T)).distinct()
+    pool = stash(entities.select(F.col(entities.columns[0]).alias("e")).where("e is not null").distinct(), "pool")
+    n_groups = max(1, -(-pool.count() // group))
+    grouped = pool.groupBy(F.pmod(F.xxhash64("e"), F.lit(n_groups)).alias("g")).agg(F.collect_list("e").alias("entities"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    out = None
+    for end in sides:
+        other = "tail" if end == "head" else "head"
+        key = ["relation", other]
+        sizes = own.groupBy(*key).agg(F.count("*").alias("size"))
+        dealt = join_by_size(own, stash(sizes, "sizes"), key, "size").withColumn("list", F.pmod(F.xxhash64(end), F.ceil(F.col("size") / group)))
+        tests = stash(dealt.groupBy(*key, "list").agg(F.collect_list(F.struct(end, "own")).alias("tests")), "tests")
+        met = stored.join(sizes.select(*key), key, "left_semi")
+        taken = met.groupBy(*key, F.pmod(F.xxhash64(end), F.lit(n_groups)).alias("g")).agg(F.collect_list(end).alias("known"))
+        # A cell is a group of lists and one of entities, so that a group of entities travels to each of few cells once.
+        n_cells = max(1, -(-tests.count() // group))
+        asking = tests.select("*", F.pmod(F.xxhash64(*key, "list"), F.lit(n_cells)).alias("c"), every(n_groups).alias("g")).join(taken, [*key, "g"], "left")
+        cells = asking.join(grouped.select("*", every(n_cells).alias("c")), ["g", "c"]).select("relation", other, "entities", "known", "tests")
+        better = cells.mapInArrow(lambda it, end=end, other=other: _better(it, scorer, end, other), "head string, relation string, tail string, better long")
+        ranked = better.groupBy(*T).agg((F.sum("better") + 1).alias("rank")).select(*T, F.lit(end).alias("side"), "rank")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 def rank_metrics(ranks: DataFrame, by: list[str], ks: list[int] = (1, 3, 5, 10)) -> DataFrame:
     """Mean rank, mean reciprocal rank and hits at ``ks`` of each group."""
     hits = (F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in ks)

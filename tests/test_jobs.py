@@ -260,6 +260,23 @@ def test_draws_from_the_complement(spark):
     assert coin.count() == stored.count() and coin.join(stored, ["head", "relation", "tail"], "left_semi").count() == 0
 
 
+def test_ranks_among_all_entities(spark):
+    """Many test triples of one relation and other end, small groups, ties, entities that only stand in one place."""
+    known = {(f"e{a}", "r", "e0") for a in range(1, 30, 2)} | {(f"e{a}", "q", f"e{a * a % 13}") for a in range(20)}
+    test = [x for x in sorted(known) if x[1] == "r"][:9] + [x for x in sorted(known) if x[1] == "q"][:5]
+    number = lambda h, r, t: (int(h[1:]) * 7 + int(t[1:]) * 3 + len(r)) % 11 / 11
+    scorer = lambda f: [number(*x) for x in f.itertuples(index=False)]
+    names = [f"e{a}" for a in range(40)]
+    want = set()
+    for h, r, t in test:
+        own = number(h, r, t)
+        want.add((h, r, t, "head", 1 + sum(number(e, r, t) > own for e in names if (e, r, t) not in known)))
+        want.add((h, r, t, "tail", 1 + sum(number(h, r, e) > own for e in names if (h, r, e) not in known)))
+    frames = spark.createDataFrame(test, S.TRIPLE), spark.createDataFrame([(e,) for e in [*names, names[0], None]], "e string"), spark.createDataFrame(sorted(known), S.TRIPLE)
+    for group in (3, 2_000):
+        assert set(rows(metrics.entity_ranks(*frames, scorer, group=group), "head", "relation", "tail", "side", "rank")) == want
+
+
 def test_splits_disjoint(spark):
     t = spark.createDataFrame([(f"h{i}", "r", "t") for i in range(101)], S.TRIPLE)
     s = kgc.split_triples(t).cache()
