@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from graphloom.operators.entities import new_rows
-from graphloom.sources.kg import EVIDENCE, TRIPLE, exists
-
-_SCHEMAS = {"kg": TRIPLE, "evidence": f"{EVIDENCE}, row_mark string"}
-
-
-def stored(spark: SparkSession, folder: str, name: str, before: int | None = None) -> DataFrame:
-    """``kg`` or ``evidence`` (with each row's mark) as the batches have written it, a sub-folder for each; of ``before``
-    only earlier ones."""
-    path = f"{folder}/{name}"
-    if not exists(spark, path):
-        return spark.createDataFrame([], _SCHEMAS[name])
-    rows = spark.read.schema(f"{_SCHEMAS[name]}, batch long").parquet(path)
-    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+from graphloom.operators.stores import TripleStore
 
 
 def append_stream(arriving: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append micro-batches of new evidence to the tables in ``folder``: a batch writes its new rows, and no others.
+    """Append micro-batches of new evidence to the store in ``folder``: a batch writes its new rows, and no others.
 
-    They go to a sub-folder named after the batch, which reads the earlier ones only: a batch that is run again
-    overwrites what it wrote, so that a restart adds nothing twice. Stored evidence is compared by its marks.
+    A batch is committed under its number: one that is run again, after a restart, adds nothing twice. Only the batch is
+    shuffled; stored rows are compared where they are.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        triples, fresh = new_rows(stored(spark, folder, "kg", number), stored(spark, folder, "evidence", number), batch)
-        triples.write.mode("overwrite").parquet(f"{folder}/kg/batch={number}")
-        fresh.write.mode("overwrite").parquet(f"{folder}/evidence/batch={number}")
+        TripleStore(batch.sparkSession, folder).append(f"{number:012}", batch)
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
