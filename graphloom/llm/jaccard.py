@@ -1,8 +1,9 @@
 """N-gram Jaccard join: candidates must pass the prefix filters of several global token orders before they are verified.
 
 A set of n shingles that links to another has one of the first n - ceil(t n) + 1 of them, in any one order of all
-shingles, in common with it. The first order is by rarity, and its prefixes are joined. The others are by hash: a pair's
-prefixes in each must have so much in common that the shingles behind them can make up the rest.
+shingles, in common with it. The first order is by rarity, and its prefixes are joined; what they pair must also agree in
+the parities of the sets' shingles (a short sketch that travels along). The other orders are by hash: a pair's prefixes in
+each must have so much in common that the shingles behind them can make up the rest.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ STEP_PAIRS = 1 << 16
 #: Rows of keys up to which a list is broadcast, so that texts need not be shuffled to meet it.
 SMALL_ROWS = 500_000
 
+#: Bits of a set's sketch: the parities of its shingles' numbers by hash. Sketches differ in no more bits than sets in shingles.
+SKETCH = 1024
+
 U = np.uint64
 
 
@@ -86,23 +90,35 @@ def hash_prefixes(grams: np.ndarray, counts: np.ndarray, percent: int, orders: i
     return [b"".join(x[2 * a : 2 * b] for x in raw) for a, b in zip(ends, ends[1:])]
 
 
+def parity_sketches(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits of each set, as rows of 64-bit numbers."""
+    at = np.repeat(np.arange(len(counts)), counts) * SKETCH + (mix(grams) % U(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(counts) * SKETCH) & 1).astype(bool)
+    return np.packbits(odd.reshape(-1, SKETCH), axis=1).view(U)
+
+
+def near_sketches(n: np.ndarray, m: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets of these sizes have sketches that differ in no more shingles than linked ones do."""
+    return np.bitwise_count(first ^ second).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, percent)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text with its set's size, key, number and hash prefixes; and (token, n) of shingles that several of a
+    """A row for each text with its set's size, key, id, sketch and hash prefixes; and (token, n) of shingles that several of a
     partition's sets hold."""
     held, n, done = [], 0, set()
-    names = ["doc_id", "n", "key", "id", "prefixes", "token", "times"]
+    names = ["doc_id", "n", "key", "id", "sketch", "prefixes", "token", "times"]
 
     def counted() -> pa.RecordBatch:
         token, times = np.unique(np.concatenate([np.zeros(0, U), *held]), return_counts=True)
         some = times > 1
         none = pa.nulls(int(some.sum()))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(token[some].view(np.int64)), pa.array(times[some])], names=names)
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(token[some].view(np.int64)), pa.array(times[some])], names=names)
 
     for batch in steps(batches):
         grams, counts = distinct_shingles(batch.column("text"), size)
         keys = set_keys(grams, counts)
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys[:, 0].view(np.int64)), pa.array(hash_prefixes(grams, counts, percent), pa.binary()), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys[:, 0].view(np.int64)), pa.array([x.tobytes() for x in parity_sketches(grams, counts)], pa.binary()), pa.array(hash_prefixes(grams, counts, percent), pa.binary()), none, none], names=names)
         new = _fresh(keys[:, 0], done)
         held.append(grams[np.repeat(new, counts)])
         n += len(held[-1])
@@ -171,13 +187,13 @@ def pass_orders(n: np.ndarray, m: np.ndarray, first: list[bytes], second: list[b
     return out
 
 
-def cross_pairs(token: np.ndarray, cell: np.ndarray, side: np.ndarray, group: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray, prefixes: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids of one token and cell, of different groups, that pass all filters.
+def cross_pairs(token: np.ndarray, cell: np.ndarray, side: np.ndarray, group: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of one token and cell, of different groups, that can link by sizes, places and sketches.
 
     Cells below zero pair all their rows, others those of different sides. Steps hold about ``STEP_PAIRS`` pairs.
     """
     order = np.lexsort((group, cell, token))
-    token, cell, side, group, ids, place = (x[order] for x in (token, cell, side, group, ids, place))
+    token, cell, side, group, ids, place, sketch = (x[order] for x in (token, cell, side, group, ids, place, sketch))
     n = n[order].astype(np.int64)
     if not len(token):
         return
@@ -194,14 +210,14 @@ def cross_pairs(token: np.ndarray, cell: np.ndarray, side: np.ndarray, group: np
         b = np.repeat(start[low:high] - np.cumsum(some) + some, some) + np.arange(len(a))
         low = high
         ok = (ids[a] != ids[b]) & ((side[a] != side[b]) | (cell[a] < 0)) & may_link(n[a], n[b], place[a], place[b], percent)
-        x, y = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
-        swap = ids[x] > ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        _, first = np.unique(np.stack([ids[x], ids[y]]), axis=1, return_index=True)
-        x, y = x[first], y[first]
-        near = pass_orders(n[x], n[y], [prefixes[k] for k in order[x]], [prefixes[k] for k in order[y]], percent)
-        if near.any():
-            yield ids[x[near]], ids[y[near]]
+        a, b = a[ok], b[ok]
+        ok = near_sketches(n[a], n[b], sketch[a], sketch[b], percent)
+        x, y = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
+        if len(x):
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            yield x[first], y[first]
 
 
 def may_link(n: np.ndarray, m: np.ndarray, place: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
@@ -220,19 +236,29 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     if not rows:
         return
     numbers = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in ("token", "cell", "side", "group", "id", "place", "n"))
-    prefixes = [x for r in rows for x in r.column("prefixes").to_pylist()]
-    for a, b in cross_pairs(*numbers, prefixes, percent):
+    sketch = np.concatenate([np.frombuffer(b"".join(r.column("sketch").to_pylist()), U).reshape(r.num_rows, -1) for r in rows])
+    for a, b in cross_pairs(*numbers, sketch, percent):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of a batch that pass all orders."""
+    """The pairs of a batch that pass all orders, and whose sketches are near."""
     for batch in batches:
         n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
         ok = pass_orders(n, m, batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist(), percent)
+        if batch.num_rows:
+            first, second = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
+            ok &= near_sketches(n, m, first, second, percent)
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _intersected(pairs: DataFrame, nodes: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs of ids that pass the filters of all orders, written."""
+    first, second = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefixes").alias(f"p_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b"))
+    both = pairs.join(first, "a").join(second, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return stash(both.select("a", "b", "n_a", "n_b", "p_a", "p_b", "s_a", "s_b").mapInArrow(lambda it: _near(it, percent), "a long, b long"), name)
+
+
 def _grams(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         grams, counts = distinct_shingles(batch.column("text"), size)
@@ -287,13 +313,11 @@ def _stars(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     chiefs = stash(ranked.groupBy("token").agg(F.max_by("id", F.struct("share", "id")).alias("b"), F.count("*").alias("sets")), "chiefs")
     votes = join_by_size(ranked.select("token", F.col("id").alias("a")), chiefs, ["token"], "sets").where("a <> b").groupBy("a", "b").count()
     chosen = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    first, second = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefixes").alias(f"p_{c}")) for c in ("a", "b"))
-    pairs = chosen.join(first, "a").join(second, "b").where("100 * least(n_a, n_b) >= " + f"{percent} * greatest(n_a, n_b)")
-    return stash(pairs.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(lambda it: _near(it, percent), "a long, b long").distinct(), "stars")
+    return _intersected(chosen, nodes, percent, "stars")
 
 
 def _across(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different groups that pass all filters.
+    """(a, b): all pairs of different groups that pass all filters, those of the other orders last.
 
     Most of a large shingle's sets are of one group as a rule: each of those stands in one cell, with all sets of other
     groups, and these are paired among themselves in blocks. Pairs within a group need no cell.
@@ -314,9 +338,10 @@ def _across(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     cells = F.when(F.col("sets") <= CELL_SETS, one).when(is_main, F.array(2 * F.pmod(hashed, main) + 1)).otherwise(F.concat(in_main, among))
     dealt = meeting.select("token", "id", "place", "n", "group", is_main.alias("is_main"), block.alias("block"), F.explode(cells).alias("cell"))
     side = F.when(F.pmod("cell", F.lit(2)) == 1, F.col("is_main").cast("long")).otherwise(F.col("block"))
-    rows = dealt.withColumn("side", side).drop("is_main", "block").join(nodes.select("id", "prefixes"), "id")
-    spread = rows.select("token", "cell", "side", "group", "id", "place", "n", "prefixes").repartition("token", "cell")
-    return stash(spread.mapInArrow(lambda it: _cross(it, percent), "a long, b long").distinct(), "apart")
+    rows = dealt.withColumn("side", side).drop("is_main", "block").join(nodes.select("id", "sketch"), "id")
+    spread = rows.select("token", "cell", "side", "group", "id", "place", "n", "sketch").repartition("token", "cell")
+    pairs = stash(spread.mapInArrow(lambda it: _cross(it, percent), "a long, b long").distinct(), "pairs")
+    return _intersected(pairs, nodes, percent, "apart")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,11 +356,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     spark = docs.sparkSession
     arrow_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, key binary, id long, prefixes binary, token long, times long"
+    schema = "doc_id long, n long, key binary, id long, sketch binary, prefixes binary, token long, times long"
     sets = stash(source.mapInArrow(lambda it: _sets(it, size, percent), schema), "sets")
     rows = sets.where("key is not null and n > 0")
     with scope(spark) as keep:
-        one = F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("id").alias("id"), F.first("prefixes").alias("prefixes")
+        one = F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("id").alias("id"), F.first("sketch").alias("sketch"), F.first("prefixes").alias("prefixes")
         nodes = stash(rows.groupBy("key").agg(*one), "nodes")
         frequent = sets.where("token is not null").groupBy("token").agg(F.sum("times").alias("n")).where(F.col("n") >= OFTEN)
         often = np.array([r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(OFTEN_MOST).select("token").collect()], np.int64).view(U)
@@ -345,7 +370,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         near = _linked(_stars(shared, nodes, percent), source, nodes, size, percent)
         groups = stash(connected_components(near), "groups")
         grouped = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.xxhash64(F.coalesce("component", "key")))
-        grouped = stash(grouped.select("id", "key", "least_id", "group", "prefixes"), "grouped")
+        grouped = stash(grouped.select("id", "key", "least_id", "n", "group", "sketch", "prefixes"), "grouped")
         far = _linked(_across(shared, grouped, percent), source, nodes, size, percent)
         links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
         rooted = nodes.select("key", "least_id", "rows").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

@@ -113,7 +113,9 @@ def new_rows(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFr
     full = evidence.select(*columns).limit(0).unionByName(full.select(*(c for c in full.columns if c in columns)), allowMissingColumns=True)
     marks = evidence.select((F.col("row_mark") if "row_mark" in evidence.columns else row_mark(columns)).alias("row_mark"))
     fresh = full.distinct().withColumn("row_mark", row_mark(columns)).join(marks, "row_mark", "left_anti").select(*columns, "row_mark")
-    triples = full.select("head", "relation", "tail").distinct().join(kg, ["head", "relation", "tail"], "left_anti")
+    known = kg.select(*(F.col(c).alias(f"own_{c}") for c in ("head", "relation", "tail")))
+    same = F.col("head").eqNullSafe(F.col("own_head")) & F.col("relation").eqNullSafe(F.col("own_relation")) & F.col("tail").eqNullSafe(F.col("own_tail"))
+    triples = full.select("head", "relation", "tail").distinct().join(known, same, "left_anti")
     return triples, fresh
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import chem, entities, external, publish, taxonomy
+from graphloom.operators.stores import EntityStore, TripleStore
 from graphloom.plans.demo import view
 from graphloom.plans.reports import _with_ids
 from graphloom.sources import kg as S
+from graphloom.sources.written import shared_folder, stash
 
 QUERIES: dict = {}
 
@@ -161,6 +165,60 @@ def _(spark, sf):
     return kg1.groupBy("head", "relation", "tail").agg(F.count("*").alias("n"))
 
 
+def _stored_triples(spark, sf):
+    """A store with two overlapping batches of evidence, the second of which is appended again."""
+    store = TripleStore(spark, f"{shared_folder(spark)}/graphloom/triples-{uuid.uuid4().hex}")
+    ev = view(spark, sf, "ev")
+    store.append("early", ev.where("line < 4"))
+    for _ in range(2):
+        store.append("late", ev.where("line > 2"))
+    return store
+
+
+@query("append_triples_stored", f"SELECT {_EV}, COUNT(*) AS n FROM (SELECT DISTINCT {_EV} FROM ev) GROUP BY ALL")
+def _(spark, sf):
+    store = _stored_triples(spark, sf)
+    out = stash(store.evidence().groupBy(*(c.strip() for c in _EV.split(","))).agg(F.count("*").alias("n")), "evidence")
+    store.store.drop()
+    return out
+
+
+@query("append_triples_stored_kg", "SELECT head, relation, tail, COUNT(*) AS n FROM kg GROUP BY ALL")
+def _(spark, sf):
+    store = _stored_triples(spark, sf)
+    out = stash(store.kg().groupBy("head", "relation", "tail").agg(F.count("*").alias("n")), "kg")
+    store.store.drop()
+    return out
+
+
+# Parts as chemicals that hang together in tens, by keys of which each is shared by two neighbours only.
+_CHAINS = "SELECT p_partkey AS k, 'a' || CAST(p_partkey // 2 AS STRING) AS key FROM part UNION ALL SELECT p_partkey, 'b' || CAST((p_partkey + 1) // 2 AS STRING) FROM part WHERE p_partkey % 10 <> 0"
+_REACH = f"WITH RECURSIVE link AS (SELECT DISTINCT x.k AS a, y.k AS b FROM ({_CHAINS}) AS x JOIN ({_CHAINS}) AS y ON x.key = y.key), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a) SELECT a AS k, MIN(b) AS component FROM reach GROUP BY a"
+
+
+def _chained(spark, sf):
+    half = lambda c: F.expr(f"cast({c} div 2 as string)")
+    keys = F.array_compact(F.array(F.concat(F.lit("a"), half("p_partkey")), F.when(F.col("p_partkey") % 10 != 0, F.concat(F.lit("b"), half("(p_partkey + 1)")))))
+    return view(spark, sf, "part").select("p_partkey", "p_name", keys.alias("keys"))
+
+
+@query("duplicate_components_linked", f"SELECT k AS row_id, component FROM ({_REACH})")
+def _(spark, sf):
+    return entities.duplicate_components(_chained(spark, sf).withColumnRenamed("p_partkey", "row_id"))
+
+
+@query("merge_entities_stored", f"SELECT string_agg(DISTINCT c.key, '|' ORDER BY c.key) AS compounds, COUNT(DISTINCT lower(p.p_name)) AS names FROM ({_REACH}) AS r JOIN ({_CHAINS}) AS c ON c.k = r.k JOIN part AS p ON p.p_partkey = r.k GROUP BY r.component")
+def _(spark, sf):
+    """Three batches, each of which joins entities that the ones before it have left apart."""
+    store = EntityStore(spark, f"{shared_folder(spark)}/graphloom/entities-{uuid.uuid4().hex}")
+    rows = _chained(spark, sf).select("p_partkey", F.lit("chemical").alias("type"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("synonyms"), F.create_map(F.lit("PubChem"), F.col("keys")).alias("other_db_ids"), F.lit(None).cast("string").alias("part_id"))
+    for k in (0, 1, 2):
+        store.append(f"batch {k}", rows.where(F.col("p_partkey") % 3 == k))
+    out = stash(store.entities().select(F.array_join(F.array_sort(F.col("other_db_ids")["PubChem"]), "|").alias("compounds"), F.size("synonyms").cast("long").alias("names")), "entities")
+    store.store.drop()
+    return out
+
+
 @query("add_relations", "SELECT relation_id, name FROM rel UNION ALL SELECT 'r' || CAST(3 + row_number() OVER (ORDER BY n_name) AS STRING), n_name FROM nation")
 def _(spark, sf):
     return entities.add_relations(view(spark, sf, "rel"), view(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit(None).cast("string").alias("translation"))).select("relation_id", "name")

@@ -93,17 +93,20 @@ class RunStore:
         return [self._opened(n, run) for n, run in self.listing.runs if n == name]
 
     def _newest(self, name: str, rows: DataFrame) -> DataFrame:
+        """Of rows that replace each other the latest. They are dealt by their key here: a union of runs has each key in
+        several partitions."""
         table = self.tables[name]
         if table.latest is None:
             return rows
-        return rows.groupBy(table.key).agg(F.max_by(F.struct(*rows.columns), table.latest).alias("r")).select("r.*")
+        dealt = rows.repartition(self.listing.buckets, table.key)
+        return dealt.groupBy(table.key).agg(F.max_by(F.struct(*rows.columns), table.latest).alias("r")).select("r.*")
 
     def read(self, name: str) -> DataFrame:
-        """The whole table; of rows that replace each other the latest."""
-        found = self.runs(name)
-        if not found:
+        """The whole table, by one scan of its runs' files; of rows that replace each other the latest."""
+        runs = [run for n, run in self.listing.runs if n == name]
+        if not runs:
             return self.spark.createDataFrame([], self.tables[name].schema)
-        return self._newest(name, reduce(DataFrame.unionByName, found)) if len(found) > 1 or self.tables[name].latest else found[0]
+        return self._newest(name, self.spark.read.schema(self.tables[name].schema).parquet(*(f"{self.folder}/runs/{run}" for run in runs)))
 
     def absent(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows`` whose key is in no run of a table, one row for each key. Only ``rows`` are shuffled, once."""

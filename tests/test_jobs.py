@@ -326,7 +326,8 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream_appends_once(spark, tmp_path):
-    from graphloom.streaming.appending import append_stream, stored
+    from graphloom.operators.stores import TripleStore
+    from graphloom.streaming.appending import append_stream
 
     data = [("e1", "r0", "e2", "7"), ("e1", "r0", "e2", "7"), ("e1", "r0", "e3", "8")]
     folder, source = str(tmp_path / "kg"), str(tmp_path / "in")
@@ -334,9 +335,91 @@ def test_stream_appends_once(spark, tmp_path):
         spark.createDataFrame(more or data, S.TRIPLE + ", pmid string").write.mode("append").parquet(source)
         arriving = spark.readStream.schema(S.TRIPLE + ", pmid string").parquet(source)
         append_stream(arriving, folder, str(tmp_path / "check")).awaitTermination(60)
-    assert rows(stored(spark, folder, "evidence"), "tail", "pmid") == [("e2", "7"), ("e3", "8"), ("e3", "9")]
-    assert stored(spark, folder, "kg").count() == 2
-    assert stored(spark, folder, "evidence", 1).count() == 2  # a batch wrote its own rows and no others
+    store = TripleStore(spark, folder)
+    assert rows(store.evidence(), "tail", "pmid") == [("e2", "7"), ("e3", "8"), ("e3", "9")]
+    assert store.kg().count() == 2
+    assert sorted(r.count() for r in store.store.runs("evidence")) == [1, 2]  # a batch wrote its own rows and no others
+
+
+def test_triple_store(spark, tmp_path):
+    """Two appends, a replay, one that fails after its first run, a store that is opened again, compaction, odd rows."""
+    from graphloom.operators.stores import TripleStore
+
+    schema = S.TRIPLE + ", pmid string, premise string, extra int"
+    first = spark.createDataFrame([("e1", "r0", "e2", None, "t", 1), ("e1", "r0", "e2", None, "t", 2), ("e1", "r0", "e2", "7", "t", 3), (None, "r0", None, None, None, 4)], schema)
+    second = spark.createDataFrame([("e1", "r0", "e2", "7", "t", 1), ("e3", "r0", "e2", "7", "t", 1), ("e1", "r0", "e2", "8", "t", 1), (None, "r0", None, None, None, 4)], schema)
+    store = TripleStore(spark, str(tmp_path / "kg"), buckets=3)
+    assert store.append("a", first) and not store.append("a", second)
+    write = store.store._publish
+    store.store._publish = lambda listing: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.append("b", second)
+    assert store.evidence().count() == 3 and len(store.store._children("runs")) == 4
+    store.store._publish = write
+    assert store.append("b", second)
+    again = TripleStore(spark, str(tmp_path / "kg"))
+    again.store.sweep()
+    assert len(again.store._children("runs")) == 4 and not again.append("b", first)
+    whole = entities.append_triples(*entities.append_triples(spark.createDataFrame([], S.TRIPLE), spark.createDataFrame([], S.EVIDENCE), first), second)
+    as_text = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert as_text(again.kg()) == as_text(whole[0]) and as_text(again.evidence()) == as_text(whole[1])
+    again.append("c", second.limit(0))
+    for table in ("kg", "evidence"):
+        again.store.compact(table)
+        assert len(again.store.runs(table)) == 1
+    assert as_text(TripleStore(spark, str(tmp_path / "kg")).evidence()) == as_text(whole[1])
+
+
+def test_stored_rows_are_not_shuffled(spark, tmp_path):
+    from graphloom.operators.stores import TripleStore
+
+    store = TripleStore(spark, str(tmp_path / "kg"), buckets=4)
+    for k in range(2):
+        store.append(str(k), spark.createDataFrame([(f"e{i}", "r0", f"e{i * k}") for i in range(50)], S.TRIPLE))
+    batch = spark.createDataFrame([("e1", "r0", "e9")], S.TRIPLE).withColumn("row_mark", F.md5("tail"))
+    for asked in (store.store.absent("evidence", batch), store.store.held("evidence", batch.select("row_mark"))):
+        asked.collect()
+        plan = asked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        stored = [line for line in plan.split("\n") if "Scan parquet" in line and "run_" in line]
+        assert len(stored) == 2 and all("SelectedBucketsCount: 4" in line or "Bucketed: true" in line for line in stored)
+        # The batch is hashed to the buckets; nothing but what a null mark needs stands between a stored scan and its join.
+        assert plan.count("Exchange hashpartitioning") == plan.count("hashpartitioning(row_mark") <= 2
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+CANDIDATES = "type string, name string, synonyms array<string>, other_db_ids map<string,array<string>>, part_id string"
+
+
+def test_entities_merged_batch_by_batch(spark, tmp_path):
+    """Each batch gives what a merge with the whole stored table gives, and only writes what its keys meet."""
+    import random
+
+    from graphloom.operators.stores import EntityStore
+
+    rng = random.Random(4)
+    store, stored, last = EntityStore(spark, str(tmp_path / "entities"), buckets=3), spark.createDataFrame([], ENT), 0
+    as_text = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for k in range(3):
+        data = [("chemical", f"c{k}-{i}", [f"s{rng.randrange(9)}"], {"PubChem": [str(rng.randrange(40)) for _ in range(rng.choice([1, 1, 2, 3]))], "MESH": [f"D{i}"]}, None) for i in range(12)]
+        data += [("chemical", f"m{i}", [], {"MESH": [f"D{rng.randrange(30)}"]}, None) for i in range(3)] + [("organism", f"o{k}", ["O"], {"NCBI_taxonomy": ["9"]}, "p0")] * 2
+        batch = spark.createDataFrame(data, CANDIDATES)
+        before = {r["entity_id"]: str(r) for r in store.entities().collect()}
+        assert store.append(str(k), batch) and not store.append(str(k), batch)
+        whole, retired, _ = entities.merge_entities(stored, batch, last)
+        assert as_text(store.entities()) == as_text(whole)
+        last = max([last, *(int(r[0][1:]) for r in whole.select("entity_id").collect())])
+        stored = spark.createDataFrame(whole.collect(), ENT)
+        written = {r["entity_id"] for r in store.store.runs("entities")[-1].collect()}
+        keys = {f"P:{c}" for x in data for c in x[3].get("PubChem", [])} | {f"M:{c}" for x in data if "PubChem" not in x[3] for c in x[3].get("MESH", [])} | {"O:9-p0"}
+        for r in store.entities().collect():
+            own = {f"P:{c}" for c in r["other_db_ids"].get("PubChem", [])} or {f"M:{c}" for c in r["other_db_ids"].get("MESH", [])} or {"O:9-p0"}
+            assert own & keys if r["entity_id"] in written else before[r["entity_id"]] == str(r)
+        assert {r["entity_id"] for r in retired.collect()} <= {r["entity_id"] for r in store.retired().collect()}
+    assert len(written) < store.entities().count()  # the last batch left some alone
+    again = EntityStore(spark, str(tmp_path / "entities"))
+    for table in ("keys", "entities"):
+        again.store.compact(table)
+    assert as_text(again.entities()) == as_text(stored)
 
 
 def test_equal_hits_stay_apart(spark):
