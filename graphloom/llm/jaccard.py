@@ -290,11 +290,10 @@ def _linked(pairs: DataFrame, source: DataFrame, nodes: DataFrame, size: int, pe
     """(a, b), keys, written: those of the pairs of ids that link."""
     keys = nodes.select("id", "key", "least_id")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(keys, "id")
-    needed = stash(needed.select("key", "least_id"), "needed")
-    ids = _small(needed.select(F.col("least_id").alias("doc_id")).distinct())
-    own = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    needed = _small(stash(needed.select("key", "least_id"), "needed"))
+    own = source.join(needed, source["doc_id"].eqNullSafe(needed["least_id"]), "left_semi")
     sets = own.select("text").mapInArrow(lambda it: _grams(it, size), "key binary, grams binary")
-    sets = stash(sets.join(_small(needed.select("key")), "key", "left_semi").dropDuplicates(["key"]), "grams")
+    sets = stash(sets.join(needed, "key", "left_semi").dropDuplicates(["key"]), "grams")
     first, second = (keys.select(F.col("id").alias(c), F.col("key").alias(f"k_{c}")) for c in ("a", "b"))
     both = pairs.join(first, "a").join(second, "b").select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
     first, second = (sets.select(F.col("key").alias(c), F.col("grams").alias(f"g_{c}")) for c in ("a", "b"))
