@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,14 +11,17 @@ from pyspark.sql.types import StringType
 
 # Words that title searches leave out.
 TITLE_STOP_WORDS = (
-    "a about again all almost also although always among an and another any are as at be because been before being "
-    "between both but by can could did do does done due during each either enough especially etc for found from "
-    "further had has have having here how however i if in into is it its itself just kg km made mainly make may mg "
-    "might ml mm most mostly must nearly neither no nor obtained of often on our overall perhaps pmid quite rather "
-    "really regarding seem seen several should show showed shown shows significantly since so some such than that the "
-    "their theirs them then there therefore these they this those through thus to upon various very was we were what "
-    "when which while with within without would"
-).split()
+    "a", "about", "again", "all", "almost", "also", "although", "always", "among", "an", "and", "another", "any",
+    "are", "as", "at", "be", "because", "been", "before", "being", "between", "both", "but", "by", "can", "could",
+    "did", "do", "does", "done", "due", "during", "each", "either", "enough", "especially", "etc", "for", "found",
+    "from", "further", "had", "has", "have", "having", "here", "how", "however", "i", "if", "in", "into", "is", "it",
+    "its", "itself", "just", "kg", "km", "made", "mainly", "make", "may", "mg", "might", "ml", "mm", "most", "mostly",
+    "must", "nearly", "neither", "no", "nor", "obtained", "of", "often", "on", "our", "overall", "perhaps", "pmid",
+    "quite", "rather", "really", "regarding", "seem", "seen", "several", "should", "show", "showed", "shown", "shows",
+    "significantly", "since", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "then", "there",
+    "therefore", "these", "they", "this", "those", "through", "thus", "to", "upon", "various", "very", "was", "we",
+    "were", "what", "when", "which", "while", "with", "within", "without", "would",
+)
 # Terms of scientific names.
 VARIANT_TERMS = ["sp.", "ssp.", "subsp.", "var.", "sp", "ssp", "subsp", "var"]
 CROSS_TERMS = ["x", "×"]
@@ -40,8 +43,8 @@ def clean_title(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), r"[!-/:-@\[-`{-~ –—]", "")
 
 
-def title_query(title: Column, stop_words: list[str] = TITLE_STOP_WORDS) -> Column:
-    kept = F.filter(F.split(title, " "), lambda w: ~w.isin(stop_words))
+def title_query(title: Column, stop_words: Sequence[str] = TITLE_STOP_WORDS) -> Column:
+    kept = F.filter(F.split(title, " "), lambda w: ~w.isin(list(stop_words)))
     return F.array_join(F.transform(kept, lambda w: F.concat(w, F.lit("[Title]"))), " AND ")
 
 

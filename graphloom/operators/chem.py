@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import compound_fields, merge_id_maps
@@ -44,6 +44,28 @@ def cas_to_compound(rows: DataFrame, compounds: DataFrame) -> DataFrame:
     return direct.select(*rows.columns, "compound").unionByName(late.select(*rows.columns, "compound"))
 
 
+def cas_to_compound_counted(rows: DataFrame, compounds: DataFrame, counts: Observation) -> DataFrame:
+    """The rows of ``cas_to_compound``; ``counts`` has, once they are computed, how many came, how many found a compound by id or
+    by CAS number, and how many were dropped: those without either number, and those whose numbers nobody has.
+
+    The counts are taken on the way, in the same pass; a dropped row is one that no compound was found for.
+    """
+    known = compounds.select(F.col("pubchem_id").alias("tail_pubchem"), F.col("pubchem_id").alias("own")).distinct()
+    by_cas = compounds.select(F.explode("cas").alias("tail_cas"), F.col("pubchem_id").alias("by_cas")).distinct().groupBy("tail_cas").agg(F.collect_list("by_cas").alias("by_cas"))
+    both = rows.join(known, "tail_pubchem", "left").join(by_cas, "tail_cas", "left")
+    found = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.col("by_cas"))
+    named = F.col("tail_pubchem").isNotNull() | F.col("tail_cas").isNotNull()
+    counted = both.withColumn("found", found).observe(
+        counts,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("own").isNotNull()).alias("by_id"),
+        F.count_if(F.col("own").isNull() & F.col("by_cas").isNotNull()).alias("by_cas"),
+        F.count_if(F.col("found").isNull() & ~named).alias("without_number"),
+        F.count_if(F.col("found").isNull() & named).alias("unknown_number"),
+    )
+    return counted.select(*rows.columns, F.explode("found").alias("compound"))
+
+
 def tree_lineage_pairs(ids: DataFrame, descriptors: DataFrame, supplements: DataFrame) -> DataFrame:
     """Distinct (child, parent) ids along every tree number of the given ids; supplements first step to their headings."""
     hops = ids.join(supplements.select(F.col("id").alias("mesh_id"), F.explode("heading_ids").alias("heading")), "mesh_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
+from graphloom.operators.phrases import phrases_in_tokens
 from graphloom.sources.written import stash
 
 _ENTITY = "struct<category:string,name:string,id:string>"
@@ -47,16 +48,18 @@ def names_both(annotations: Column) -> Column:
 def food_parts_in_text(premises: DataFrame, parts: DataFrame, text: str = "premise", phrases: bool = False) -> DataFrame:
     """``premises`` with ``food_parts``: ids of parts whose name or synonym is a token of the text.
 
-    With ``phrases`` names of several words match as consecutive tokens, too.
+    With ``phrases`` names of several words, of any number, match as consecutive tokens, too.
     """
     synonyms = F.coalesce(F.split("food_part_synonyms", ", "), F.array().cast("array<string>"))
     names = parts.select("part_id", F.explode(F.array_distinct(F.concat(F.array("food_part"), synonyms))).alias("n"))
     named = names.select("part_id", F.array_join(tokens(F.col("n")), " ").alias("part_name")).where("part_name <> ''").distinct()
     key = F.md5(F.coalesce(F.col(text), F.lit("")))
     words = premises.select(key.alias("__key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    most = 4 if phrases else 1
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, k), " "))))
-    held = words.select("__key", F.explode(F.array_distinct(grams)).alias("part_name")).join(named, "part_name")
+    if phrases:
+        each = words.select(F.col("__key").alias("key"), "tokens").dropDuplicates(["key"])
+        held = phrases_in_tokens(each, named.select("part_name")).select(F.col("key").alias("__key"), F.col("phrase").alias("part_name")).join(named, "part_name")
+    else:
+        held = words.select("__key", F.explode(F.array_distinct("tokens")).alias("part_name")).join(named, "part_name")
     # A row for each distinct text with a part: the premises are joined with it as they are, equal rows included.
     found = stash(held.groupBy("__key").agg(F.array_sort(F.collect_set("part_id")).alias("food_parts")), "parts")
     none = F.array().cast("array<string>")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from graphloom.operators.annotate import numbered, ranged
 from graphloom.operators.skew import join_by_size
-from graphloom.sources.written import stash
+from graphloom.sources.written import scope, stash
 
 T = ["head", "relation", "tail"]
 
@@ -319,24 +320,126 @@ def minmax_scale(fit: DataFrame, apply: DataFrame, score: str = "score") -> Data
     return apply.crossJoin(F.broadcast(bounds)).withColumn("scaled", F.try_divide(F.col(score) - F.col("lo"), F.col("hi") - F.col("lo"))).drop("lo", "hi")  # one row
 
 
-def isotonic_calibrate(fit: DataFrame, apply: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """``apply`` with ``prob``: isotonic regression of label on score, clipped to the fitted range."""
-    from pyspark.ml.regression import IsotonicRegression
+#: Blocks that one task pools at a time.
+POOLED = 1 << 18
 
-    points = fit.groupBy(F.col(score).cast("double").alias("score")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="w", predictionCol="prob").fit(points)
-    return model.transform(apply.withColumn("score", F.col(score).cast("double")))
+
+def pool_adjacent(lo: np.ndarray, hi: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring blocks (ranges of scores with their sums of labels and weights) pooled until their means do not fall."""
+    out: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), y.tolist(), w.tolist()):
+        now = list(block)
+        while out and out[-1][2] * now[3] >= now[2] * out[-1][3]:
+            last = out.pop()
+            now = [last[0], now[1], last[2] + now[2], last[3] + now[3]]
+        out.append(now)
+    return tuple(np.array(c, float) for c in zip(*out)) if out else (lo, hi, y, w)
+
+
+_BLOCK = "lo double, hi double, y double, w double"
+
+
+def isotonic_blocks(fit: DataFrame, label: str = "label", score: str = "score", most: int = POOLED) -> DataFrame:
+    """(lo, hi, y, w): ranges of scores with their sums of labels and weights, whose means do not fall; written.
+
+    Equal scores are one point first. Consecutive points, ``most`` to a task, are pooled; then the blocks that are left
+    are dealt anew, ``most`` to a task, from half a task on in every other round, until none of them is at or over its
+    right neighbour. Pooling may be done in any order, so that the result is that of one stack over all points. Where
+    many become few, so do the tasks; where they do not, there is nothing more to pool, or at the tasks' borders alone.
+    """
+    points = fit.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("lo")).agg(F.max(F.col(score).cast("double")).alias("hi"), F.sum(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+    blocks, half = points, 0
+    while True:
+        with scope(fit.sparkSession) as keep:
+            placed = numbered(blocks, [F.col("lo")], "at")
+            dealt = placed.withColumn("task", F.floor((F.col("at") + half) / most)).repartition("task").drop("at")
+            pooled = keep(stash(dealt.groupBy("task").applyInArrow(_pool_task, f"task long, {_BLOCK}"), "blocks"))
+        ends = pooled.groupBy("task").agg(F.min_by(F.struct("y", "w"), "lo").alias("first"), F.max_by(F.struct("y", "w"), "lo").alias("last"))
+        # A row for each task: a bounded window.
+        before = ends.select("first", F.lag("last").over(Window.orderBy("task")).alias("before")).where("before is not null and before.y * first.w >= first.y * before.w")
+        blocks, half = pooled.select("lo", "hi", "y", "w"), most // 2 - half
+        if before.isEmpty():
+            return blocks
+
+
+def _pool_task(table: pa.Table) -> pa.Table:
+    task = table.column("task")[0].as_py()
+    sorted_ = table.sort_by("lo")
+    pooled = pool_adjacent(*(sorted_.column(c).to_numpy() for c in ("lo", "hi", "y", "w")))
+    return pa.table({"task": pa.array(np.full(len(pooled[0]), task, np.int64)), **dict(zip(("lo", "hi", "y", "w"), map(pa.array, pooled)))})
+
+
+def isotonic_calibrate(fit: DataFrame, apply: DataFrame, label: str = "label", score: str = "score", most: int = POOLED) -> DataFrame:
+    """``apply`` with ``prob``: isotonic regression of label on score, clipped to the fitted range, in a line between ranges.
+
+    Blocks and rows are ordered together, by range, and each row takes the block before it and the next one, of its own
+    partition or, by way of a row for each partition, of another. A null score has a null probability.
+    """
+    blocks = isotonic_blocks(fit, label, score, most)
+    block = F.struct("lo", "hi", (F.col("y") / F.col("w")).alias("v")).alias("block")
+    row = F.struct(*apply.columns).alias("row")
+    events = blocks.select(F.col("lo").alias("x"), F.lit(0).alias("kind"), block).unionByName(apply.select(F.col(score).cast("double").alias("x"), F.lit(1).alias("kind"), row), allowMissingColumns=True)
+    placed, _ = ranged(events.where("x is not null"), [F.col("x"), F.col("kind")])
+    held = placed.where("kind = 0").groupBy("__p").agg(F.max_by("block", "__at").alias("last"), F.min_by("block", "__at").alias("first"))
+    parts = placed.select("__p").distinct().join(held, "__p", "left")
+    # A row for each partition: bounded windows, and broadcast.
+    across = parts.select("__p", F.last("last", True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("first", True).over(Window.orderBy("__p").rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+    local = Window.partitionBy("__p").orderBy("__at")
+    near = placed.withColumn("below", F.last("block", True).over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first("block", True).over(local.rowsBetween(0, Window.unboundedFollowing)))
+    both = near.where("kind = 1").join(F.broadcast(across), "__p").select("row", "x", F.coalesce("below", "left").alias("a"), F.coalesce("above", "right").alias("b"))
+    line = F.expr("a.v + (b.v - a.v) * (x - a.hi) / (b.lo - a.hi)")
+    prob = F.when(F.col("a").isNull(), F.col("b.v")).when((F.col("x") <= F.col("a.hi")) | F.col("b").isNull(), F.col("a.v")).otherwise(line)
+    found = both.select(*(F.col("row").getField(c).alias(c) for c in apply.columns), prob.alias("prob"))
+    return found.unionByName(apply.where(F.col(score).isNull()).withColumn("prob", F.lit(None).cast("double")))
+
+
+def platt_fit(fit: DataFrame, label: str = "label", score: str = "score", steps: int = 30, tol: float = 1e-10) -> tuple[float, float]:
+    """(slope, offset) of the sigmoid of the score with the largest likelihood of smoothed labels, by Newton's method.
+
+    A positive label counts as (n + 1) / (n + 2) of the n positive ones, a negative one as 1 / (n + 2) of its kind, so that
+    labels which a score parts entirely have a sigmoid, too. Equal scores are one point first; a step is one sum over the
+    points, halved where it would not gain.
+    """
+    positive, x = F.col(label).cast("double") > 0, F.col(score).cast("double")
+    points = fit.where(positive.isNotNull() & x.isNotNull()).groupBy(x.alias("x")).agg(F.count_if(positive).cast("double").alias("p"), F.count("*").cast("double").alias("w"))
+    with scope(fit.sparkSession):
+        points = stash(points, "points")
+        sizes = points.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+        yes, no = (sizes["p"] + 1) / (sizes["p"] + 2), 1 / (sizes["w"] - sizes["p"] + 2)
+        points = points.select("x", (F.col("p") * yes + (F.col("w") - F.col("p")) * no).alias("y"), "w")
+
+        def at(a: float, b: float) -> dict[str, float]:
+            z = F.lit(a) * F.col("x") + F.lit(b)
+            p, soft = 1 / (1 + F.exp(-z)), F.when(z > 0, z + F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)))
+            g, h = F.col("y") - F.col("w") * p, F.col("w") * p * (1 - p)
+            sums = {"gain": F.col("y") * z - F.col("w") * soft, "ga": g * F.col("x"), "gb": g, "haa": h * F.col("x") * F.col("x"), "hab": h * F.col("x"), "hbb": h}
+            return points.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in sums.items())).first().asDict()
+
+        a = b = 0.0
+        now = at(a, b)
+        for _ in range(steps):
+            det = now["haa"] * now["hbb"] - now["hab"] ** 2
+            if det <= 1e-12 * max(now["haa"] * now["hbb"], 1e-300):  # one score only, or all is certain
+                if now["hbb"] <= 0:
+                    break
+                da, db = 0.0, now["gb"] / now["hbb"]
+            else:
+                da, db = (now["hbb"] * now["ga"] - now["hab"] * now["gb"]) / det, (now["haa"] * now["gb"] - now["hab"] * now["ga"]) / det
+            part = 1.0
+            while part > 1e-6 and (new := at(a + part * da, b + part * db))["gain"] < now["gain"]:
+                part /= 2
+            if part <= 1e-6 or abs(new["gain"] - now["gain"]) <= tol:
+                if part > 1e-6:
+                    a, b = a + part * da, b + part * db
+                break
+            a, b, now = a + part * da, b + part * db, new
+        return a, b
 
 
 def platt_calibrate(fit: DataFrame, apply: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``apply`` with ``prob``: a sigmoid of the score."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    put = VectorAssembler(inputCols=[score], outputCol="__x")
-    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.0, probabilityCol="__p").fit(put.transform(fit.withColumn("__y", F.col(label).cast("double"))))
-    return model.transform(put.transform(apply)).withColumn("prob", F.get(vector_to_array("__p"), F.lit(1))).select(*apply.columns, "prob")
+    a, b = platt_fit(fit, label, score)
+    return apply.withColumn("prob", 1 / (1 + F.exp(-(F.lit(a) * F.col(score).cast("double") + F.lit(b)))))
 
 
 def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.phrases import phrases_in_text
+
 T = ["head", "relation", "tail"]
 QUALITIES = ["high", "medium", "low"]
 
@@ -202,6 +204,14 @@ def drop_phrases(rows: DataFrame, phrases: list[str], column: str = "hypothesis"
     return rows.where(~bad)
 
 
+def without_phrases(rows: DataFrame, phrases: DataFrame, column: str = "hypothesis") -> DataFrame:
+    """``rows`` without those whose text holds one of a table of phrases (its one column), whatever the case; nulls stay."""
+    key = F.md5(F.lower(column))
+    found = phrases_in_text(rows.where(F.col(column).isNotNull()).select(key.alias("key"), F.col(column).alias("text")).dropDuplicates(["key"]), phrases)
+    marked = rows.withColumn("__key", key)
+    return marked.join(found.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti").select(*rows.columns)
+
+
 def keep_last_by_prob(rows: DataFrame) -> DataFrame:
     """For each triple its row with the lowest probability."""
     rest = [c for c in rows.columns if c not in T]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import numeric_id, triple_key
 from graphloom.operators.entities import entity_keys, merge_entities, row_mark
+from graphloom.operators.kgc import assert_disjoint, exclude_taxa, split_triples
 from graphloom.sources.kg import ENTITIES, EVIDENCE, TRIPLE
 from graphloom.sources.runs import RunStore, Table
 from graphloom.sources.written import scope, stash
@@ -94,3 +95,86 @@ class EntityStore:
     def mapping(self) -> DataFrame:
         """(old_id, new_id) of all entities that became part of another; the other may have gone the same way later."""
         return self.store.read("mapping").select("old_id", "new_id")
+
+
+class SplitLedger:
+    """Which triples are for training, validation and test, for good: a triple that was dealt once stays where it is.
+
+    As the graph grows, only triples that the ledger does not hold are dealt; train is what is in neither hold-out.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.store = RunStore(spark, folder, {"dealt": Table(f"{TRIPLE}, split string, triple_mark string", "triple_mark")}, buckets)
+
+    def deal(self, batch: str, triples: DataFrame, train: float = 0.7, val: float = 0.15, seed: str = "42") -> bool:
+        """Deal the triples that are new, in pseudo-random order: whole parts of their count for train and val, the rest test.
+
+        A batch that was dealt before changes nothing.
+        """
+        if batch in self.store.listing.batches:
+            return False
+        with scope(self.store.spark):
+            marked = triples.select("head", "relation", "tail").withColumn("triple_mark", row_mark(["head", "relation", "tail"]))
+            fresh = stash(self.store.absent("dealt", marked), "fresh")
+            return self.store.commit(batch, {"dealt": split_triples(fresh, train, val, seed)})
+
+    def splits(self) -> DataFrame:
+        return self.store.read("dealt").drop("triple_mark")
+
+    def training_set(self, parts: DataFrame, others: DataFrame, taxa: DataFrame) -> DataFrame:
+        """Training triples: those dealt to train, part-level ones (``parts``) without the taxa of held-out heads, and all
+        ``others`` (of other relations). ``taxa`` has (entity_id, tax_id). It shares no triple with a hold-out, or this fails."""
+        triple = ["head", "relation", "tail"]
+        dealt = self.splits()
+        held = dealt.where("split <> 'train'").select(*triple)
+        train = dealt.where("split = 'train'").select(*triple).unionByName(exclude_taxa(parts, held, taxa).select(*triple)).unionByName(others.select(*triple)).distinct()
+        assert_disjoint(train, held)
+        return train
+
+
+class SourceSketches:
+    """Sketches of the sets of keys (triples, papers) of each source, kept up by batches alone.
+
+    A batch adds a sketch a source; sets are united, intersected and subtracted as sketches. Sets of up to
+    2 ** ``log_entries`` keys are exact; counts of larger ones are off by 1 / sqrt(2 ** ``log_entries``) of the union of
+    all that takes part, as a rule.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, log_entries: int = 14, buckets: int | None = None):
+        self.log_entries = log_entries
+        self.store = RunStore(spark, folder, {"sketches": Table("source string, sketch binary", "source")}, buckets)
+
+    def update(self, batch: str, rows: DataFrame, source: str = "source", key: list[str] = ("head", "relation", "tail")) -> bool:
+        """Add the keys of a batch's rows (those without a source or key do not count); once."""
+        whole = rows.where(" and ".join(f"{c} is not null" for c in (source, *key)))
+        mark = F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0]).cast("string")
+        return self.store.commit(batch, {"sketches": whole.groupBy(F.col(source).alias("source")).agg(F.theta_sketch_agg(mark, F.lit(self.log_entries)).alias("sketch"))})
+
+    def sources(self) -> DataFrame:
+        """(source, sketch): one for each source, of all batches."""
+        return self.store.read("sketches").groupBy("source").agg(F.theta_union_agg("sketch", F.lit(self.log_entries)).alias("sketch"))
+
+    def counts(self) -> DataFrame:
+        """(source, n): the distinct keys of each source, about."""
+        return self.sources().select("source", F.theta_sketch_estimate("sketch").alias("n"))
+
+    def regions(self, names: list[str]) -> DataFrame:
+        """(mask, n): how many keys are in exactly these of the named sources, about; bit k stands for the k-th.
+
+        A chain of intersections and differences of sketches for each of the 2 ** names - 1 masks; a source without a
+        sketch is empty.
+        """
+        own = self.sources().where(F.col("source").isin(names))
+        empty = own.agg(*(F.max(F.when(F.col("source") == n, F.col("sketch"))).alias(f"s{k}") for k, n in enumerate(names)))
+        out = []
+        for mask in range(1, 1 << len(names)):
+            chain, absent = None, F.lit(False)
+            for k in range(len(names)):
+                if mask >> k & 1:
+                    absent = absent | F.col(f"s{k}").isNull()
+                    chain = F.col(f"s{k}") if chain is None else F.theta_intersection(chain, F.col(f"s{k}"))
+            for k in range(len(names)):
+                if not mask >> k & 1:
+                    chain = F.when(F.col(f"s{k}").isNull(), chain).otherwise(F.theta_difference(chain, F.col(f"s{k}")))
+            out.append(F.struct(F.lit(mask).alias("mask"), F.when(absent, F.lit(0)).otherwise(F.theta_sketch_estimate(chain)).cast("long").alias("n")))
+        return empty.select(F.explode(F.array(*out)).alias("r")).select("r.mask", "r.n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.operators import kgc, metrics
+from graphloom.operators import kgc, metrics, stores
 from graphloom.plans.demo import view
+from graphloom.sources.written import shared_folder
 
 QUERIES: dict = {}
 
@@ -36,6 +39,40 @@ def _(spark, sf):
     return split(spark, sf)
 
 
+# The graph in two states: what half of the heads have, then all. Parts are the heads, so that some are in no hold-out.
+_TURNED = "SELECT tail AS head, relation, head AS tail FROM kg WHERE relation = '{relation}'"
+
+
+def _dealt_sql(condition: str) -> str:
+    rows = f"({_TURNED.format(relation='r0')}) AS t"
+    return f"SELECT head, relation, tail, CASE WHEN place < floor(n * 0.7) THEN 'train' WHEN place < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_ORDER} AS place, COUNT(*) OVER () AS n FROM {rows} WHERE {condition})"
+
+
+_EVEN = "CAST(substr(tail, 2) AS BIGINT) % 2 = 0"
+_DEALT = f"{_dealt_sql(_EVEN)} UNION ALL {_dealt_sql(f'NOT ({_EVEN})')}"
+
+
+def _ledger(spark, sf):
+    turned = view(spark, sf, "kg").where("relation = 'r0'").select(F.col("tail").alias("head"), "relation", F.col("head").alias("tail"))
+    ledger = stores.SplitLedger(spark, f"{shared_folder(spark)}/graphloom/splits-{uuid.uuid4().hex}")
+    ledger.deal("first", turned.where("cast(substring(tail, 2) as bigint) % 2 = 0"))
+    ledger.deal("grown", turned)
+    return ledger
+
+
+@query("split_ledger", _DEALT)
+def _(spark, sf):
+    return _ledger(spark, sf).splits()
+
+
+@query("training_set", f"SELECT head, relation, tail FROM ({_DEALT}) WHERE split = 'train' UNION SELECT * FROM ({_TURNED.format(relation='r1')}) WHERE head NOT IN (SELECT head FROM ({_DEALT}) WHERE split <> 'train') UNION SELECT * FROM kg WHERE relation = 'r1'")
+def _(spark, sf):
+    """Every part is a taxon of its own; the other relation is there both ways, part-level and not."""
+    other = view(spark, sf, "kg").where("relation = 'r1'")
+    taxa = view(spark, sf, "ent").where("type = 'chemical'").select("entity_id", F.concat(F.lit("x"), "entity_id").alias("tax_id"))
+    return _ledger(spark, sf).training_set(other.select(F.col("tail").alias("head"), "relation", F.col("head").alias("tail")), other, taxa)
+
+
 @query("train_minus_holdout", f"SELECT head, relation, tail FROM ({SPLIT}) WHERE split = 'train'")
 def _(spark, sf):
     s = split(spark, sf)
@@ -78,18 +115,17 @@ def _(spark, sf):
 
 # Customers and the parts they buy: sparse enough that every triple has an unknown corruption, as the operator demands (a
 # supplier of the smallest tables is known with nearly all parts).
-def _free(end: str, pool: str) -> str:
-    """The free entities of each relation and other end, numbered from 0, and how many."""
-    other = "tail" if end == "head" else "head"
-    return f"""SELECT k.relation, k.{other}, p.new, row_number() OVER (PARTITION BY k.relation, k.{other} ORDER BY p.new) - 1 AS r, COUNT(*) OVER (PARTITION BY k.relation, k.{other}) AS free
-        FROM (SELECT DISTINCT relation, {other} FROM buys) AS k CROSS JOIN ({pool}) AS p LEFT JOIN buys AS b ON b.relation = k.relation AND b.{other} = k.{other} AND b.{end} = p.new WHERE b.head IS NULL"""
-
-
 def _drawn(end: str, pool: str, draws: int, rows: str = "buys") -> str:
+    """Draws by their place among the free entities: as many known ones stand before it as have no more free ones before them."""
     other = "tail" if end == "head" else "head"
-    new = {"head": "f.new AS head, b.relation, b.tail", "tail": "b.head, b.relation, f.new AS tail"}[end]
-    number = f"CAST('0x' || substr(md5('42{end}|' || b.head || '|' || b.relation || '|' || b.tail || '|' || d.draw), 1, 15) AS BIGINT)"
-    return f"SELECT {new}, 0 AS label FROM {rows} AS b CROSS JOIN (SELECT unnest(range({draws})) AS draw) AS d JOIN ({_free(end, pool)}) AS f ON f.relation = b.relation AND f.{other} = b.{other} AND f.r = {number} % f.free"
+    new = {"head": "p.new AS head, d.relation, d.tail", "tail": "d.head, d.relation, p.new AS tail"}[end]
+    number = f"CAST('0x' || substr(md5('42{end}|' || b.head || '|' || b.relation || '|' || b.tail || '|' || k.draw), 1, 15) AS BIGINT)"
+    placed = f"(SELECT new, row_number() OVER (ORDER BY new) - 1 AS pos FROM ({pool}))"
+    gaps = f"(SELECT b.relation, b.{other}, p.pos - row_number() OVER (PARTITION BY b.relation, b.{other} ORDER BY p.pos) + 1 AS gap FROM buys AS b JOIN {placed} AS p ON b.{end} = p.new)"
+    sizes = f"(SELECT relation, {other}, COUNT(*) AS taken FROM buys GROUP BY relation, {other})"
+    asked = f"(SELECT b.head, b.relation, b.tail, k.draw, {number} % ((SELECT COUNT(*) FROM ({pool})) - s.taken) AS r FROM {rows} AS b JOIN {sizes} AS s ON s.relation = b.relation AND s.{other} = b.{other} CROSS JOIN (SELECT unnest(range({draws})) AS draw) AS k)"
+    skipped = f"(SELECT a.head, a.relation, a.tail, a.draw, a.r + COUNT(*) FILTER (g.gap <= a.r) AS pos FROM {asked} AS a JOIN {gaps} AS g ON g.relation = a.relation AND g.{other} = a.{other} GROUP BY a.head, a.relation, a.tail, a.draw, a.r)"
+    return f"SELECT {new}, 0 AS label FROM {skipped} AS d JOIN {placed} AS p ON p.pos = d.pos"
 
 
 @query("negative_samples", f"SELECT *, 1 AS label FROM buys UNION ALL {_drawn('head', 'SELECT DISTINCT head AS new FROM buys', 1)} UNION ALL {_drawn('tail', 'SELECT DISTINCT tail AS new FROM buys', 1)}")
@@ -367,7 +403,15 @@ def _(spark, sf):
     return metrics.isotonic_calibrate(s.where("run = 1").select("label", "score"), s.where("run = 2").select("doc_id", "score")).select("doc_id", "score", r("prob"))
 
 
-@query("platt_calibrate")
+# Newton's method in SQL: twelve full steps from zero, which is more than enough on overlapping scores.
+_NEWTON = """SELECT step, a, b FROM (WITH RECURSIVE pts AS (SELECT CAST(score AS DOUBLE) AS x, SUM(CASE WHEN label = 1 THEN (n1 + 1.0) / (n1 + 2.0) ELSE 1.0 / (n0 + 2.0) END)::DOUBLE AS y, CAST(COUNT(*) AS DOUBLE) AS w FROM scored CROSS JOIN (SELECT COUNT(*) FILTER (label = 1)::DOUBLE AS n1, COUNT(*) FILTER (label <> 1)::DOUBLE AS n0 FROM scored WHERE run = 1) WHERE run = 1 GROUP BY score), lists AS (SELECT list(x) AS xs, list(y) AS ys, list(w) AS ws FROM pts),
+    newton AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+        SELECT step + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+            SELECT step, a, b, list_sum(list_transform(t, lambda r: r.g * r.x)) AS ga, list_sum(list_transform(t, lambda r: r.g)) AS gb, list_sum(list_transform(t, lambda r: r.h * r.x * r.x)) AS haa, list_sum(list_transform(t, lambda r: r.h * r.x)) AS hab, list_sum(list_transform(t, lambda r: r.h)) AS hbb FROM (
+                SELECT step, a, b, list_transform(list_zip(xs, ys, ws), lambda q: {'x': q[1], 'g': q[2] - q[3] / (1 + exp(-(a * q[1] + b))), 'h': q[3] / (1 + exp(-(a * q[1] + b))) * (1 - 1 / (1 + exp(-(a * q[1] + b))))}) AS t FROM newton CROSS JOIN lists WHERE step < 12))) SELECT * FROM newton) WHERE step = 12"""
+
+
+@query("platt_calibrate", f"SELECT s.doc_id, s.score, round(1 / (1 + exp(-(n.a * s.score + n.b))), 4) AS prob FROM scored AS s CROSS JOIN ({_NEWTON}) AS n WHERE s.run = 2")
 def _(spark, sf):
     s = view(spark, sf, "scored")
     return metrics.platt_calibrate(s.where("run = 1").select("label", "score"), s.where("run = 2").select("doc_id", "score")).select("doc_id", "score", r("prob", 4))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import annotate, literature
+from graphloom.operators import annotate, literature, report
+from graphloom.operators import phrases as phrase
 from graphloom.plans.demo import view
 from graphloom.sources import kg as S
 from graphloom.sources.written import shared_folder
@@ -79,6 +80,25 @@ def _(spark, sf):
     return literature.food_parts_in_text(docs, _parts(spark)).select("doc_id", F.array_join("food_parts", "|").alias("food_parts"))
 
 
+# A phrase of one to seven words from each document, sought in all of them.
+_WORDS = f"list_filter({_TOKENS}, lambda x: x <> '')"
+_PHRASES = f"SELECT DISTINCT array_to_string(t[3 : 3 + doc_id % 7], ' ') AS phrase FROM (SELECT doc_id, {_WORDS} AS t FROM documents) WHERE len(t) > 2"
+
+
+@query("phrases_in_tokens", f"SELECT d.doc_id, COUNT(*) AS phrases, MIN(p.phrase) AS first FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS t FROM documents) AS d JOIN ({_PHRASES}) AS p ON contains(d.t, ' ' || p.phrase || ' ') GROUP BY d.doc_id")
+def _(spark, sf):
+    docs = view(spark, sf, "documents").select(F.col("doc_id").alias("key"), X.tokens(F.col("text")).alias("tokens"))
+    phrases = docs.where("size(tokens) > 2").select(F.array_join(F.slice("tokens", F.lit(3), (F.col("key") % 7 + 1).cast("int")), " "))
+    found = phrase.phrases_in_tokens(docs, phrases)
+    return found.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("phrases"), F.min("phrase").alias("first"))
+
+
+@query("without_phrases", "SELECT head, tail, hypothesis FROM ev AS e WHERE NOT EXISTS (SELECT 1 FROM part AS p WHERE p.p_partkey % 3 = 0 AND contains(lower(e.hypothesis), 'h' || CAST(10 + p.p_partkey % 29 AS STRING)))")
+def _(spark, sf):
+    phrases = view(spark, sf, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("H"), (F.col("p_partkey") % 29 + 10).cast("string")))
+    return report.without_phrases(view(spark, sf, "ev"), phrases).select("head", "tail", "hypothesis")
+
+
 @query("dedupe_hits", "SELECT event_type, user_id, MIN(event_id) AS event_id FROM events GROUP BY event_type, user_id")
 def _(spark, sf):
     return literature.dedupe_hits(view(spark, sf, "events").select("event_type", "user_id", "event_id"), ["event_type", "user_id"], ["event_id"])

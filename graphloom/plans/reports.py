@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, report
+from graphloom.operators import graph, report, stores
 from graphloom.plans.demo import view
+from graphloom.sources import gml
+from graphloom.sources.written import shared_folder
 
 QUERIES: dict = {}
 
@@ -267,6 +271,45 @@ def _(spark, sf):
     return gml_lines(graph_nodes(kg, ent), graph_edges(kg, ent, view(spark, sf, "rel")))
 
 
+@query("export_gml_file", """SELECT 'node' AS kind, CAST(substr(e.entity_id, 2) AS BIGINT) AS id, CAST(NULL AS BIGINT) AS target, e.name AS label FROM ent AS e WHERE e.entity_id IN (SELECT head FROM kg UNION SELECT tail FROM kg)
+    UNION ALL SELECT 'edge', CAST(substr(k.head, 2) AS BIGINT), CAST(substr(k.tail, 2) AS BIGINT), r.name FROM kg AS k JOIN rel AS r ON k.relation = r.relation_id""")
+def _(spark, sf):
+    """One file, read back by its own reader."""
+    from graphloom.sources.kg import graph_edges, graph_nodes
+
+    kg, ent = view(spark, sf, "kg"), view(spark, sf, "ent")
+    path = f"{shared_folder(spark)}/graphloom/graph-{uuid.uuid4().hex}.gml"
+    gml.write_gml(graph_nodes(kg, ent), graph_edges(kg, ent, view(spark, sf, "rel")), path)
+    nodes, edges = gml.read_gml(spark, path)
+    return nodes.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("long").alias("target"), "label").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target", "label"))
+
+
+def _sketched(spark, sf, key):
+    """Sketches of two batches of evidence, the second of which comes twice."""
+    ev = view(spark, sf, "ev")
+    store = stores.SourceSketches(spark, f"{shared_folder(spark)}/graphloom/sketches-{uuid.uuid4().hex}", log_entries=17)
+    store.update("early", ev.where("line < 4"), key=key)
+    for _ in range(2):
+        store.update("late", ev.where("line > 2"), key=key)
+    return store
+
+
+# Sets of up to 2 ** 17 keys are exact.
+@query("venn_regions_sketched", "SELECT mask, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT CAST(unnest(range(1, 8)) AS INT) AS mask) LEFT JOIN (SELECT mask, COUNT(*) AS n FROM (SELECT head, tail, CAST(bit_or(CASE source WHEN 'annotation' THEN 1 WHEN 'prediction:entailment' THEN 2 ELSE 4 END) AS INT) AS mask FROM ev GROUP BY head, tail) GROUP BY mask) USING (mask)")
+def _(spark, sf):
+    return _sketched(spark, sf, ["head", "tail"]).regions(["annotation", "prediction:entailment", "external:db"])
+
+
+@query("literature_counts_sketched", "SELECT source, COUNT(DISTINCT pmid) AS n FROM ev GROUP BY source")
+def _(spark, sf):
+    return _sketched(spark, sf, ["pmid"]).counts()
+
+
+@query("closeness_sketched")
+def _(spark, sf):
+    return graph.closeness_sketched(_both_ways(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+
+
 def _both_ways(spark, sf):
     """The whole graph with each edge in both directions, so that every entity can be reached."""
     kg = view(spark, sf, "kg").select("head", "tail")

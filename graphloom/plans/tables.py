@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
@@ -279,6 +280,19 @@ def _(spark, sf):
     return chem.cas_to_compound(rows, _compounds(spark, sf)).select("k", "compound")
 
 
+@query("cas_to_compound_dropped", """SELECT COUNT(*) AS rows, COUNT(*) FILTER (by_id) AS by_id, COUNT(*) FILTER (NOT by_id AND by_cas) AS by_cas, COUNT(*) FILTER (NOT by_id AND NOT by_cas AND pub IS NULL AND cas IS NULL) AS without_number, COUNT(*) FILTER (NOT by_id AND NOT by_cas AND NOT (pub IS NULL AND cas IS NULL)) AS unknown_number
+    FROM (SELECT *, pub IS NOT NULL AND pub IN (SELECT pubchem_id FROM compounds) AS by_id, cas IS NOT NULL AND cas IN (SELECT cas FROM compounds) AS by_cas
+        FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS STRING) WHEN p_partkey % 7 <> 0 THEN 'zz' END AS pub, CASE WHEN p_partkey % 5 < 3 THEN CAST(p_size AS STRING) || '-' || p_brand WHEN p_partkey % 5 = 3 THEN 'none' END AS cas FROM part))""")
+def _(spark, sf):
+    """What became of the rows, counted while they are written."""
+    p = view(spark, sf, "part")
+    pub = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 7 != 0, "zz")
+    cas = F.when(F.col("p_partkey") % 5 < 3, F.concat(F.col("p_size").cast("string"), F.lit("-"), "p_brand")).when(F.col("p_partkey") % 5 == 3, "none")
+    counts = Observation("compounds")
+    stash(chem.cas_to_compound_counted(p.select("p_partkey", pub.alias("tail_pubchem"), cas.alias("tail_cas")), _compounds(spark, sf), counts), "compounds")
+    return spark.createDataFrame([counts.get], "rows long, by_id long, by_cas long, without_number long, unknown_number long")
+
+
 @query("tree_lineage_pairs", f"""SELECT DISTINCT c.id AS child_id, p.id AS parent_id FROM ({_NUMBERS}) AS own JOIN ({_NUMBERS}) AS c ON c.n = own.n JOIN ({_NUMBERS}) AS p ON p.n = split_part(c.n, '.', 1) AND contains(c.n, '.') WHERE own.id NOT LIKE 'D0%' UNION SELECT 'C' || CAST(n_nationkey AS STRING), 'D' || CAST(n_nationkey + 1 AS STRING) FROM nation""")
 def _(spark, sf):
     desc, supp = _mesh(spark, sf)

@@ -6,11 +6,12 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The tables written in each open ``scope``, and their folders.
-_scopes: list[list[tuple[DataFrame, str]]] = []
+#: The tables written in each open ``scope``, and their folders; a thread has scopes of its own.
+_scopes: ContextVar[tuple[list[tuple[DataFrame, str]], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +32,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].append((out, path))
+    if _scopes.get():
+        _scopes.get()[-1].append((out, path))
     return out
 
 
@@ -42,19 +43,21 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
     What is read from them lazily must be written, and handed on, before the end.
     """
-    _scopes.append([])
+    own: list[tuple[DataFrame, str]] = []
+    outer = _scopes.set((*_scopes.get(), own))
     handed: list[tuple[DataFrame, str]] = []
 
     def keep(table: DataFrame) -> DataFrame:
-        handed.extend(entry for entry in _scopes[-1] if entry[0] is table)
+        handed.extend(entry for entry in own if entry[0] is table)
         return table
 
     try:
         yield keep
     finally:
-        for table, path in _scopes.pop():
+        _scopes.reset(outer)
+        for table, path in own:
             if not any(table is t for t, _ in handed):
                 p = spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        if _scopes:
-            _scopes[-1].extend(handed)
+        if _scopes.get():
+            _scopes.get()[-1].extend(handed)

@@ -277,6 +277,158 @@ def test_ranks_among_all_entities(spark):
         assert set(rows(metrics.entity_ranks(*frames, scorer, group=group), "head", "relation", "tail", "side", "rank")) == want
 
 
+def test_phrases_of_any_length(spark):
+    from graphloom.operators import phrases
+
+    texts = [(1, "the young leaves of the old olive tree are bitter"), (2, "olive leaves"), (3, ""), (4, None), (5, "leaves of the old olive tree of the"), (6, "a a a b")]
+    asked = ["leaves", "leaves of the old olive tree", "young leaves of the old olive tree are", "old olive", "olive old", "the", "a a b", "a b a", "", None, "leaves"]
+    t = spark.createDataFrame(texts, "key long, text string")
+    p = spark.createDataFrame([(x,) for x in asked], "p string")
+    spaced = lambda x: f" {x} "
+    want = {(k, x) for k, s in texts for x in asked if s and x and spaced(x) in spaced(s)}
+    tokens = t.select("key", F.coalesce(F.filter(F.split("text", " "), lambda x: x != ""), F.array().cast("array<string>")).alias("tokens"))
+    assert set(rows(phrases.phrases_in_tokens(tokens, p), "key", "phrase")) == want
+    parts = ["OLIVE T", "ea", "s", "xyz", "a a ", "leaves of the old olive tree of the", "", None, "bitter!"]
+    got = set(rows(phrases.phrases_in_text(t, spark.createDataFrame([(x,) for x in parts], "p string")), "key", "phrase"))
+    assert got == {(k, x.lower()) for k, s in texts for x in parts if s and x and x.lower() in s}
+    kept = report.without_phrases(t.withColumn("n", F.lit(1)), spark.createDataFrame([("TREE",), ("a b",)], "p string"), "text")
+    assert sorted(r["key"] for r in kept.collect()) == [2, 3, 4]
+    premises = spark.createDataFrame([("eat the young leaves of the tree now",)], "premise string")
+    names = spark.createDataFrame([("p1", "young leaves of the tree", ""), ("p2", "old leaves", None)], "part_id string, food_part string, food_part_synonyms string")
+    assert literature.food_parts_in_text(premises, names, phrases=True).first()["food_parts"] == ["p1"]
+
+
+def test_closeness_by_sketches(spark):
+    """Chains, a hub, two parts that do not meet, a loop: near the search, and exact where the graph is small."""
+    data = [(f"a{k}", f"a{k + 1}") for k in range(8)] + [(f"h{k}", "a0") for k in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), ("a3", "a1")]
+    kg = spark.createDataFrame(data, "head string, tail string")
+    exact, near = (dict(rows(f(kg))) for f in (graph.closeness_centrality, graph.closeness_sketched))
+    assert exact.keys() == near.keys()
+    for node, value in exact.items():
+        assert near[node] == pytest.approx(value, rel=0.05, abs=1e-9), node
+    with pytest.raises(ValueError):
+        graph.closeness_sketched(kg, max_rounds=3)
+
+
+@pytest.mark.parametrize("most", [4, 1 << 18])
+def test_isotonic_blocks_over_tasks(spark, most):
+    """Rising, falling and noisy labels, ties, scores between and beyond the fitted ones, nulls."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(most)
+    for shape in ("rising", "falling", "noisy"):
+        points = [(round(rng.random(), 2), {"rising": lambda s: s, "falling": lambda s: 1 - s, "noisy": lambda s: float(rng.random() < s)}[shape]) for _ in range(60)]
+        points = [(s, f(s)) for s, f in points]
+        fit = spark.createDataFrame([(y, s) for s, y in points] + [(None, 0.5), (1.0, None)], "label double, score double")
+        blocks = sorted(tuple(r) for r in metrics.isotonic_blocks(fit, most=most).select("lo", "hi", "y", "w").collect())
+        xs = sorted({s for s, _ in points})
+        y, w = (np.array([f([v for s, v in points if s == x]) for x in xs], float) for f in (sum, len))
+        want = [tuple(map(float, b)) for b in zip(*metrics.pool_adjacent(np.array(xs), np.array(xs), y, w))]
+        assert [b[:2] for b in blocks] == [b[:2] for b in want] and [b[2] / b[3] for b in blocks] == pytest.approx([b[2] / b[3] for b in want])
+        means = [b[2] / b[3] for b in blocks]
+        asked = [-1.0, 2.0, None, *xs, *(x + 0.003 for x in xs)]
+        got = {r["k"]: r["prob"] for r in metrics.isotonic_calibrate(fit, spark.createDataFrame(list(enumerate(asked)), "k long, score double"), most=most).collect()}
+        ends = [e for b in blocks for e in b[:2]]
+        for k, x in enumerate(asked):
+            assert got[k] is None if x is None else got[k] == pytest.approx(float(np.interp(x, ends, np.repeat(means, 2))), abs=1e-9), (shape, x)
+    none = metrics.isotonic_calibrate(fit.limit(0), spark.createDataFrame([(1, 0.5)], "k long, score double"))
+    assert none.first()["prob"] is None
+
+
+def test_splits_that_outlive_a_run(spark, tmp_path):
+    from graphloom.operators.stores import SplitLedger
+
+    t = spark.createDataFrame([(f"h{i}", "r", f"t{i % 9}") for i in range(100)], S.TRIPLE)
+    more = t.unionByName(spark.createDataFrame([(f"h{i}", "r", "new") for i in range(41)], S.TRIPLE))
+    ledger = SplitLedger(spark, str(tmp_path / "splits"), buckets=2)
+    assert ledger.deal("a", t) and not ledger.deal("a", more)
+    first = set(rows(ledger.splits(), "head", "relation", "tail", "split"))
+    assert len(first) == 100 and sum(x[3] == "train" for x in first) == 70
+    again = SplitLedger(spark, str(tmp_path / "splits"))
+    assert again.deal("b", more)
+    second = set(rows(again.splits(), "head", "relation", "tail", "split"))
+    assert first <= second and len(second) == 141 and sum(x[3] == "val" for x in second - first) == 6
+    held = {x[0] for x in second if x[3] != "train"}
+    taxa = spark.createDataFrame([(f"h{i}", str(i)) for i in range(100)] + [(f"p{i}", str(i)) for i in range(100)], "entity_id string, tax_id string")
+    parts = spark.createDataFrame([(f"p{i}", "r", "t0") for i in range(100)], S.TRIPLE)
+    others = spark.createDataFrame([("a", "isA", "b")], S.TRIPLE)
+    train = set(rows(again.training_set(parts, others, taxa)))
+    assert {x[0] for x in train if x[0][0] == "p"} == {f"p{i}" for i in range(100) if f"h{i}" not in held}
+    assert ("a", "isA", "b") in train and not train & {x[:3] for x in second if x[3] != "train"}
+    with pytest.raises(ValueError):
+        again.training_set(parts, spark.createDataFrame([x[:3] for x in second if x[3] == "test"][:1], S.TRIPLE), taxa)
+
+
+def test_source_sketches(spark, tmp_path):
+    from graphloom.operators.stores import SourceSketches
+
+    sets = {"a": set(range(3000)), "b": set(range(2000, 6000)), "c": set(range(2500, 2600)) | set(range(9000, 9100))}
+    ev = spark.createDataFrame([(s, str(k)) for s, ks in sets.items() for k in ks] + [("a", None), (None, "1")], "source string, pmid string")
+    want = {m: len({k for k in range(9100) if all((k in sets[n]) == bool(m >> i & 1) for i, n in enumerate("abc"))}) for m in range(1, 8)}
+    for log_entries, error in ((14, 0.0), (9, 3 / 2**4.5)):
+        store = SourceSketches(spark, str(tmp_path / f"s{log_entries}"), log_entries, buckets=2)
+        for name, part in (("x", "cast(pmid as int) % 2 = 0 or pmid is null"), ("y", "cast(pmid as int) % 3 < 2"), ("z", "true"), ("z", "true")):
+            store.update(name, ev.where(part), key=["pmid"])
+        got = dict(rows(store.regions(["a", "b", "c"])))
+        assert got.keys() == want.keys() and all(abs(got[m] - want[m]) <= error * 6200 for m in want)
+        assert all(abs(n - len(sets[s])) <= error * len(sets[s]) for s, n in rows(store.counts()))
+        assert dict(rows(store.regions(["a", "none"]))) == {1: dict(rows(store.counts()))["a"], 2: 0, 3: 0}
+
+
+def test_gml_file(spark, tmp_path):
+    from graphloom.sources import gml
+
+    nodes = spark.createDataFrame([("e1", 'a "b"\nc', "chemical"), ("e20", None, "organism")], "Id string, Label string, Type string")
+    edges = spark.createDataFrame([("e1", "e20", "contains"), ("e20", "e1", "isA")], "Source string, Target string, Label string")
+    path = tmp_path / "graph.gml"
+    for _ in range(2):  # the second takes the first one's place
+        gml.write_gml(nodes.repartition(3), edges.repartition(2), str(path))
+    text = path.read_text()
+    assert text.startswith("graph [\n  directed 1\n  node [") and text.endswith("]\n") and text.index("edge [") > text.rindex("node [")
+    assert text.count("[") == text.count("]") and not [p for p in tmp_path.iterdir() if p.name not in ("graph.gml", ".graph.gml.crc")]
+    got = gml.read_gml(spark, str(path))
+    assert rows(got[0]) == [(1, "a 'b' c", "chemical"), (20, "", "organism")] and rows(got[1]) == [(1, 20, "contains"), (20, 1, "isA")]
+
+
+def test_dropped_rows_are_counted(spark):
+    from pyspark.sql import Observation
+
+    compounds = spark.createDataFrame([("1", ["x"]), ("2", ["x", "y"]), ("3", [])], "pubchem_id string, cas array<string>")
+    data = [("1", "y"), ("9", "x"), (None, "y"), ("9", "z"), (None, None), ("9", None), ("1", "y")]
+    asked = spark.createDataFrame(data, "tail_pubchem string, tail_cas string")
+    counts = Observation("c")
+    got = chem.cas_to_compound_counted(asked, compounds, counts)
+    assert rows(got.fillna("")) == rows(chem.cas_to_compound(asked, compounds).fillna(""))
+    assert counts.get == {"rows": 7, "by_id": 2, "by_cas": 2, "without_number": 1, "unknown_number": 2}
+
+
+def test_scopes_of_threads(spark):
+    """A scope that ends removes its own tables, not those that another thread writes meanwhile."""
+    import threading
+
+    from graphloom.sources.written import scope, stash
+
+    held, inside, done = [], threading.Event(), threading.Event()
+
+    def other():
+        inside.wait(60)
+        held.append(stash(spark.range(3), "other"))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scope(spark) as keep:
+        gone, kept = stash(spark.range(5), "gone"), keep(stash(spark.range(4), "kept"))
+        inside.set()
+        done.wait(60)
+    thread.join()
+    assert held[0].count() == 3 and kept.count() == 4
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_splits_disjoint(spark):
     t = spark.createDataFrame([(f"h{i}", "r", "t") for i in range(101)], S.TRIPLE)
     s = kgc.split_triples(t).cache()
