@@ -38,7 +38,8 @@ def relation_quality_counts(evidence: DataFrame) -> DataFrame:
 def source_quality_counts(evidence: DataFrame) -> DataFrame:
     """Distinct triples by family of source and quality, with totals of both."""
     family = F.split_part("source", F.lit(":"), F.lit(1))
-    one = evidence.select(family.alias("family"), "quality", *T)
+    # Triples are distinct by family and quality before the totals multiply them.
+    one = evidence.select(family.alias("family"), "quality", *T).distinct()
     return one.cube("family", "quality").agg(F.count_distinct(*T).alias("n"))
 
 
@@ -112,6 +113,13 @@ def weighted_triples(evidence: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("triples"), F.sum("w").alias("weight")).crossJoin(articles).withColumn("per_article", F.try_divide("weight", "articles"))
 
 
+def scaled_estimates(evidence: DataFrame, collections: DataFrame) -> DataFrame:
+    """(collection, articles, estimate): how many true triples a collection of so many articles would hold at the rate of the
+    evidence's own articles. ``collections`` has (collection, articles)."""
+    rate = weighted_triples(evidence).select("per_article")
+    return collections.crossJoin(F.broadcast(rate)).select("collection", "articles", (F.col("per_article") * F.col("articles")).alias("estimate"))  # one row
+
+
 def literature_counts(evidence: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     return evidence.groupBy("source").agg(distinct(F.col("pmid")).alias("pmids"), distinct(F.struct(*T)).alias("triples"))

@@ -248,14 +248,25 @@ def _(spark, sf):
 _T = "SELECT round, AVG(f1) FILTER (strategy = 'random') AS a, AVG(f1) FILTER (strategy = 'uncertain') AS b, var_samp(f1) FILTER (strategy = 'random') AS va, var_samp(f1) FILTER (strategy = 'uncertain') AS vb, COUNT(f1) FILTER (strategy = 'random') AS na, COUNT(f1) FILTER (strategy = 'uncertain') AS nb FROM rounds GROUP BY round"
 
 
-@query("two_sample_t", f"SELECT round, round((a - b) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS t, CAST(na + nb - 2 AS DOUBLE) AS df FROM ({_T})")
+def _p_sql(inner: str) -> str:
+    """``inner`` (round, t, df) with the two-sided p-value: one less Simpson's sum of Student's density from -t to t."""
+    density = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * power(1 + power(abs(t) * i / 2000, 2) / df, -(df + 1) / 2)"
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"SELECT round, t, df, CASE WHEN t IS NULL OR df IS NULL THEN NULL ELSE greatest(1 - 2 * SUM({weight} * {density}) * abs(t) / 2000 / 3, 0) END AS p_value FROM ({inner}) CROSS JOIN (SELECT unnest(range(2001)) AS i) GROUP BY round, t, df"
+
+
+_STUDENT = f"SELECT round, (a - b) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) AS t, CAST(na + nb - 2 AS DOUBLE) AS df FROM ({_T})"
+_WELCH = f"SELECT round, (a - b) / sqrt(va / na + vb / nb) AS t, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS df FROM ({_T})"
+
+
+@query("two_sample_t", f"SELECT round, round(t, 6) AS t, df, round(p_value, 6) AS p_value FROM ({_p_sql(_STUDENT)})")
 def _(spark, sf):
-    return metrics.two_sample_t(view(spark, sf, "rounds"), ["round"], "strategy", "random", "uncertain", "f1").select("round", r("t"), "df")
+    return metrics.two_sample_t(view(spark, sf, "rounds"), ["round"], "strategy", "random", "uncertain", "f1").select("round", r("t"), "df", r("p_value"))
 
 
-@query("welch_t", f"SELECT round, round((a - b) / sqrt(va / na + vb / nb), 6) AS t, round(power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)), 4) AS df FROM ({_T})")
+@query("welch_t", f"SELECT round, round(t, 6) AS t, round(df, 4) AS df, round(p_value, 6) AS p_value FROM ({_p_sql(_WELCH)})")
 def _(spark, sf):
-    return metrics.two_sample_t(view(spark, sf, "rounds"), ["round"], "strategy", "random", "uncertain", "f1", equal_var=False).select("round", r("t"), r("df", 4))
+    return metrics.two_sample_t(view(spark, sf, "rounds"), ["round"], "strategy", "random", "uncertain", "f1", equal_var=False).select("round", r("t"), r("df", 4), r("p_value"))
 
 
 @query("fdr_adjust", "SELECT g, k, p_value, round(least(MIN(p_value * n / i) OVER (PARTITION BY g ORDER BY i DESC), 1.0), 9) AS p_adjusted FROM (SELECT k % 50 AS g, k, prob AS p_value, row_number() OVER (PARTITION BY k % 50 ORDER BY prob, k) AS i, COUNT(*) OVER (PARTITION BY k % 50) AS n FROM pool)")

@@ -136,6 +136,12 @@ def _(spark, sf):
     return report.weighted_triples(view(spark, sf, "ev")).select("triples", _R6("weight"), "articles", _R6("per_article"))
 
 
+@query("scaled_estimates", "SELECT c.collection, c.articles, round(w.weight / w.pmids * c.articles, 3) AS estimate FROM (SELECT o_orderpriority AS collection, COUNT(*) AS articles FROM orders GROUP BY o_orderpriority) AS c CROSS JOIN (SELECT (SELECT SUM(w) FROM (SELECT MAX(CASE WHEN quality = 'high' THEN 1.0 ELSE prob_mean END) AS w FROM ev GROUP BY head, relation, tail)) AS weight, (SELECT COUNT(DISTINCT pmid) FROM ev) AS pmids) AS w")
+def _(spark, sf):
+    collections = view(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("collection")).agg(F.count("*").alias("articles"))
+    return report.scaled_estimates(view(spark, sf, "ev"), collections).withColumn("estimate", F.round("estimate", 3))
+
+
 @query("literature_counts", "SELECT source, COUNT(DISTINCT pmid) AS pmids, COUNT(DISTINCT head || relation || tail) AS triples FROM ev GROUP BY source")
 def _(spark, sf):
     return report.literature_counts(view(spark, sf, "ev"))

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from graphloom.functions.text import numeric_id
 from graphloom.operators.annotate import sample_fraction
@@ -59,22 +53,23 @@ def read_legacy_tsv(spark: SparkSession, path: str) -> DataFrame:
     return blank_to_null(spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path))
 
 
-def _literals(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in cells:
-        yield s.map(lambda x: None if x is None or x == "" else json.dumps(ast.literal_eval(x)))
+#: What the JSON reader must allow to read Python's texts: single quotes, and a backslash before any character.
+_LITERAL = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
-def literal_to_json(cell: Column) -> Column:
-    """Python literals (lists, maps) as JSON; nothing is evaluated."""
-    return F.pandas_udf(_literals, StringType())(cell)
+def _escapes(cell: Column) -> Column:
+    """A literal with its two-digit escapes as JSON has them; blank cells are null."""
+    return F.nullif(F.regexp_replace(cell, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2"), F.lit(""))
 
 
 def decode_list(cell: Column, legacy: bool = False) -> Column:
-    return F.from_json(literal_to_json(cell) if legacy else cell, "array<string>")
+    """A list of texts from JSON, or (``legacy``) from a Python literal of texts; nothing is evaluated."""
+    return F.from_json(_escapes(cell), "array<string>", _LITERAL) if legacy else F.from_json(cell, "array<string>")
 
 
 def decode_ids(cell: Column, legacy: bool = False) -> Column:
-    return F.from_json(literal_to_json(cell) if legacy else cell, "map<string,array<string>>")
+    """A map of lists of texts, likewise."""
+    return F.from_json(_escapes(cell), "map<string,array<string>>", _LITERAL) if legacy else F.from_json(cell, "map<string,array<string>>")
 
 
 def literal_text(column: Column) -> Column:

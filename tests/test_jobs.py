@@ -429,6 +429,14 @@ def test_scopes_of_threads(spark):
         gone.count()
 
 
+def test_literals_of_the_older_text_form(spark):
+    lists = [[], ["a"], ["it's", 'say "x"', "back\\slash", "a\xa0b", "\\x41", "tab\t", "é, [b]", "{'k': 1}"], ["'"], ['"', "'\""]]
+    cells = spark.createDataFrame([(i, repr(x), repr({"k": x, "it's": ["1"]})) for i, x in enumerate(lists)] + [(9, "", None)], "i int, l string, m string")
+    got = {r["i"]: r for r in cells.select("i", S.decode_list(F.col("l"), True).alias("l"), S.decode_ids(F.col("m"), True).alias("m")).collect()}
+    assert [got[i]["l"] for i in range(len(lists))] == lists and got[9]["l"] is None and got[9]["m"] is None
+    assert [got[i]["m"] for i in range(len(lists))] == [{"k": x, "it's": ["1"]} for x in lists]
+
+
 def test_splits_disjoint(spark):
     t = spark.createDataFrame([(f"h{i}", "r", "t") for i in range(101)], S.TRIPLE)
     s = kgc.split_triples(t).cache()
