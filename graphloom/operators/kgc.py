@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import pseudo_random
 from graphloom.operators.annotate import numbered, ranged, running_offsets
 from graphloom.operators.skew import join_by_size
-from graphloom.sources.written import stash
+from graphloom.sources.written import stash, tidy
 
 T = ["head", "relation", "tail"]
 
@@ -85,6 +85,7 @@ def candidate_hypotheses(kg: DataFrame, relation: str, head_filter: DataFrame |
     return asking.join(grouped, ["g", "h"]).select("head", F.lit(relation).alias("relation"), F.explode(unknown).alias("tail"))
 
 
+@tidy("unknown")
 def unknown_ends(rows: DataFrame, known: DataFrame, end: str, pool: DataFrame, draws: int = 1, seed: str = "42", again: bool = True) -> DataFrame:
     """``rows`` (triples) ``draws`` times each, numbered in ``draw`` from 0, with ``new``: an entity of ``pool`` (one column) that
     makes the triple unknown in the place of its ``end``.

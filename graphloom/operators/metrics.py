@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from graphloom.operators.annotate import numbered, ranged
 from graphloom.operators.skew import join_by_size
-from graphloom.sources.written import scope, stash
+from graphloom.sources.written import scope, stash, tidy
 
 T = ["head", "relation", "tail"]
 
@@ -236,6 +236,7 @@ def _better(batches: Iterator[pa.RecordBatch], scorer: Callable[[pd.DataFrame],
         yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.string()) for c in T}, "better": pa.array(out["better"], pa.int64())})
 
 
+@tidy("ranks")
 def entity_ranks(test: DataFrame, entities: DataFrame, known: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], sides: tuple[str, ...] = ("head", "tail"), group: int = RANK_GROUP) -> DataFrame:
     """(head, relation, tail, side, rank): 1 and the number of entities that score more in the place of a test triple's head
     (or tail) and do not make a known triple there.
@@ -369,6 +370,7 @@ def _pool_task(table: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array(np.full(len(pooled[0]), task, np.int64)), **dict(zip(("lo", "hi", "y", "w"), map(pa.array, pooled)))})
 
 
+@tidy("calibrated")
 def isotonic_calibrate(fit: DataFrame, apply: DataFrame, label: str = "label", score: str = "score", most: int = POOLED) -> DataFrame:
     """``apply`` with ``prob``: isotonic regression of label on score, clipped to the fitted range, in a line between ranges.
 

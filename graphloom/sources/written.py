@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,3 +62,18 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         if _scopes.get():
             _scopes.get()[-1].extend(handed)
+
+
+def tidy(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For functions of DataFrames: the result is written, and what they wrote on the way is removed."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            spark = next(a.sparkSession for a in (*args, *kwargs.values()) if isinstance(a, DataFrame))
+            with scope(spark) as keep:
+                return keep(stash(f(*args, **kwargs), name))
+
+        return run
+
+    return wrap
