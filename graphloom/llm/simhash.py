@@ -344,23 +344,6 @@ def cross_pairs(token: np.ndarray, cell: np.ndarray, block: np.ndarray, group: n
             yield x[first], y[first]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's rows whose token has several ids, each (token, id) once."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    token, ids, place, n = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in ("token", "id", "place", "n"))
-    del rows
-    order = np.lexsort((ids, token))
-    token, ids, place, n = (x[order] for x in (token, ids, place, n))
-    first = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
-    token, ids, place, n = (x[first] for x in (token, ids, place, n))
-    same = token[1:] == token[:-1]
-    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    for at in range(0, int(some.sum()), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[some][at : at + (1 << 16)]) for x in (token, ids, place, n)], names=["token", "id", "place", "n"])
-
-
 def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     rows = [b for b in batches if b.num_rows]
     if not rows:
@@ -383,22 +366,38 @@ def rest_pairs(texts: DataFrame, nodes: DataFrame, least: float, size: int) -> D
     found = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(OFTEN_MOST).select("token").collect()
     often = np.array([r["token"] for r in found], np.int64).view(np.uint64)
     schema = "token long, id long, place int, n int"
-    tokens = texts.select("id", "text").mapInArrow(lambda it: _rare(it, size, least, often), schema)
-    shared = stash(tokens.repartition("token").mapInArrow(_shared, schema), "shared")
+    tokens = stash(texts.select("id", "text").mapInArrow(lambda it: _rare(it, size, least, often), schema), "tokens")
+    # Counted before anything is dealt by a token, so that a hot one's rows stay spread.
+    met = tokens.groupBy("token").agg(F.count("*").alias("texts"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = join_by_size(tokens, stash(met.select("token", "texts"), "met"), ["token"], "texts").select("token", "id", "place", "n").distinct()
     placed = stash(shared.join(nodes.select("id", "group"), "id"), "placed")
-    several = placed.groupBy("token").agg(F.count("*").alias("texts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    per_group = placed.groupBy("token", "group").count()
+    several = per_group.groupBy("token").agg(F.sum("count").alias("texts"), F.max_by("group", "count").alias("main"), F.max("count").alias("most")).where("most < texts")
+    meeting = stash(join_by_size(placed, stash(several, "several"), ["token"], "texts"), "meeting")
+    dealt = deal_cells(meeting, CELL_TEXTS)
     # Only what is in tokens of several groups takes its sketch along.
-    blocks = F.ceil(F.col("texts") / CELL_TEXTS).cast("long")
-    meeting = stash(join_by_size(placed, stash(several.select("token", "texts"), "several"), ["token"], "texts").withColumn("blocks", blocks), "meeting")
-    sketched = meeting.join(nodes.select("id", "sketch"), "id")
-    # A cell for each pair of blocks; -1 - block for a block with itself.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = sketched.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", other)
-    cell = F.when(F.col("block") == F.col("other"), -1 - F.col("block")).otherwise(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    cells = dealt.select("token", cell.alias("cell"), "block", "group", "id", "place", "n", "sketch").repartition("token", "cell")
+    cells = dealt.join(nodes.select("id", "sketch"), "id").select("token", "cell", "block", "group", "id", "place", "n", "sketch").repartition("token", "cell")
     return stash(cells.mapInArrow(lambda it: _cross(it, least), "a long, b long").distinct(), "apart")
 
 
+def deal_cells(meeting: DataFrame, most: int) -> DataFrame:
+    """Rows (token, id, group, texts, main, most...) with the cells, and the block in each, in which their pairs are made.
+
+    A token of up to ``most`` texts is one cell (-1). Of a larger one, most texts are of one group as a rule: each of
+    those is in one cell, with all texts of other groups; and these are paired among themselves, in blocks. So pairs of the
+    main group's own need no cell, and one text beside a million near copies costs a row for each ``most`` of them.
+    """
+    blocks = lambda c: F.ceil(c / most).cast("long")
+    hashed = F.xxhash64("id")
+    main, other = blocks(F.col("most")), blocks(F.col("texts") - F.col("most"))
+    own, is_main = F.pmod(hashed, other), F.col("group") == F.col("main")
+    in_main = F.transform(F.sequence(F.lit(0).cast("long"), main - 1), lambda k: 2 * k + 1)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda k: F.when(k == own, -2 - k).otherwise(2 * (F.least(k, own) * other + F.greatest(k, own))))
+    cell = F.when(F.col("texts") <= most, F.array(F.lit(-1).cast("long"))).when(is_main, F.array(2 * F.pmod(hashed, main) + 1)).otherwise(F.concat(in_main, among))
+    dealt = meeting.select("token", "id", "place", "n", "group", is_main.cast("long").alias("is_main"), own.alias("own"), F.explode(cell).alias("cell"))
+    return dealt.withColumn("block", F.when(F.pmod("cell", F.lit(2)) == 1, F.col("is_main")).otherwise(F.col("own"))).drop("is_main", "own")
+
+
 def _similar(pairs: DataFrame, source: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
     """The pairs of keys (a, b) whose texts have a similarity of ``least`` or more."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "least_id"), "key")
