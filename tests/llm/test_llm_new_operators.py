@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import alignment, jaccard, whitening
+from graphloom.llm import alignment, decontamination, jaccard, simhash, whitening, windows
 from graphloom.llm.tokens import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,3 +278,83 @@ def test_step_rows_of_arrow(both):
 def test_extra_columns_do_not_clash(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "k", 1, "g", 2, "p")], DOCS)
     assert jaccard.jaccard_components(docs.withColumn("token", F.lit(1))).first()["component_id"] == 1
+
+
+def test_one_text_beside_many_near_copies(spark):
+    """The rows that are dealt for a shingle grow with its texts, not with their square."""
+    n, most = 20_000, 100
+    made = spark.range(n + 1).select(F.lit(7).cast("long").alias("token"), F.col("id"), F.lit(0).alias("place"), F.lit(50).alias("n"), F.when(F.col("id") == n, 2).otherwise(1).cast("long").alias("group"))
+    meeting = made.withColumns({"texts": F.lit(n + 1).cast("long"), "main": F.lit(1).cast("long"), "most": F.lit(n).cast("long")})
+    dealt = simhash.deal_cells(meeting, most)
+    assert dealt.count() == n + n // most + 1
+    # Each of the many meets the one, in one cell.
+    one = dealt.where("id = 20000 and cell > 0").select("cell", F.col("block").alias("other"))
+    assert dealt.where("id < 20000").join(one, "cell").where("block <> other").select("id").distinct().count() == n
+
+
+def test_blocks_of_items_are_one_benchmark(spark, monkeypatch):
+    """Items of one block or of several, equal ones and those without an id or text: the same findings."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([20, 40, 60])))) for i in range(25)]
+    items += [(3, items[3][1]), (None, items[4][1]), (None, None), (30, ""), (31, None)]
+    docs = [(150 if i is None else 100 + i, f"{' '.join(rng.choices(words, k=80))} {t} {' '.join(rng.choices(words, k=50))}") for i, t in items if t]
+    docs += [(200 + k, " ".join(rng.choices(words, k=150))) for k in range(40)] + [(300, None), (301, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    found = []
+    for size in (4_096, 7):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", size)
+        found.append({(r["doc_id"], r["item_id"], round(r["lcs_share"], 6)) for r in decontamination.contaminated(frame, benchmark, exact=True).collect()})
+        gated = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame, benchmark).collect()}
+        assert gated == {x[:2] for x in found[-1]}
+        kept = {r["doc_id"] for r in decontamination.without_contaminated(frame, benchmark).collect()}
+        assert kept == {i for i, _ in docs} - {x[0] for x in gated}
+    assert found[0] == found[1] and {(100 + i, i) for i, t in items if t and i is not None} <= {x[:2] for x in found[0]}
+
+
+def without_windows(batch, history, size):
+    """(doc_id, words, removed, digest) of a batch, by looking at every window of it and of all before it."""
+    words = [(i, WORD.findall(t or "")) for i, t in batch]
+    seen = collections.Counter(tuple(w[k : k + size]) for _, w in words for k in range(len(w) - size + 1))
+    old = {tuple(w[k : k + size]) for _, t in history for w in [WORD.findall(t or "")] for k in range(len(w) - size + 1)}
+    out = collections.Counter()
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - size + 1):
+            window = tuple(w[k : k + size])
+            if seen[window] > 1 or window in old:
+                gone |= set(range(k, k + size))
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out[i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()] += 1
+    return out
+
+
+def test_batches_against_an_index_without_their_history(spark, tmp_path):
+    rng = random.Random(6)
+    make = lambda n: " ".join(rng.choices([f"w{k}" for k in range(500)], k=n))
+    passage, first = make(20), make(80)
+    batches = [
+        [(1, first), (2, f"{make(30)} {passage} {make(9)}"), (3, None), (4, ""), (5, make(11)), (6, "a b " * 40)],
+        [(11, first), (12, f"{make(5)}\n{passage}\t{make(50)}"), (13, make(12)), (13, make(40)), (None, first), (14, "x " * 12), (15, "a b " * 9)],
+        [(21, f"{passage} {make(3)}"), (22, make(60))],
+        [],
+    ]
+    index, history = windows.WindowIndex(spark, str(tmp_path / "index"), window=12, buckets=3), []
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    seen = lambda df: collections.Counter(tuple(r[c] for c in names) for r in df.collect())
+    for k, batch in enumerate(batches):
+        frame = spark.createDataFrame([(i, t, 1, 2) for i, t in batch], "doc_id long, text string, key int, w int")
+        want = without_windows(batch, history, 12)
+        assert seen(index.add(f"b{k}", frame)) == want
+        rows = index.store.read("windows").count()
+        again = windows.WindowIndex(spark, str(tmp_path / "index"), window=12)  # a later session; and a replay
+        assert seen(again.add(f"b{k}", frame)) == want and again.store.read("windows").count() == rows
+        history += batch
+        index = again
+    assert len(index.store.runs("windows")) == 4
+    index.store.compact("windows")
+    replay = spark.createDataFrame(batches[1], "doc_id long, text string")
+    assert seen(index.add("b1", replay)) == without_windows(batches[1], batches[0], 12)
+    late = index.add("b9", spark.createDataFrame([(99, first)], "doc_id long, text string")).first()
+    assert late["n_words"] == late["n_removed"] == 80
