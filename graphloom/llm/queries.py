@@ -22,6 +22,16 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
+    "op11_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        grams AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 3], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        sizes AS (SELECT doc_id, COUNT(*) AS n FROM grams GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS x FROM grams AS a JOIN grams AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT h.a, h.b FROM shared AS h JOIN sizes AS m ON m.doc_id = h.a JOIN sizes AS n ON n.doc_id = h.b WHERE 100 * h.x >= 85 * (m.n + n.n - h.x)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+        least AS (SELECT a, MIN(b) AS c FROM reach GROUP BY a)
+        SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.c, w.doc_id) AS component_id FROM w LEFT JOIN sizes AS s ON s.doc_id = w.doc_id LEFT JOIN least AS l ON l.a = w.doc_id
+    """,
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
