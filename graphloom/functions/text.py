@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -181,11 +181,19 @@ _TOP = f"struct<TOCHeading:string,Section:array<{_MIDDLE}>>"
 COMPOUND = f"struct<Record:struct<RecordTitle:string,Section:array<{_TOP}>,Reference:array<struct<ReferenceNumber:int,SourceName:string,URL:string>>>>"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _only(sections: Column, heading: str) -> Column:
     """The section of a heading; null if there is none, an error if there are several."""
-    found = F.filter(sections, lambda s: s.getField("TOCHeading") == heading)
-    checked = F.when(F.size(found) > 1, F.raise_error(F.lit(f"several sections: {heading}")).cast("boolean")).otherwise(F.lit(True))
-    return F.when(checked, F.get(found, F.lit(0)))
+
+    def checked(found: Column) -> Column:
+        single = F.when(F.size(found) > 1, F.raise_error(F.lit(f"several sections: {heading}")).cast("boolean")).otherwise(F.lit(True))
+        return F.when(single, F.get(found, F.lit(0)))
+
+    return _let(F.filter(sections, lambda s: s.getField("TOCHeading") == heading), checked)
 
 
 def _strings(section: Column) -> Column:
@@ -200,25 +208,33 @@ def compound_fields(json: Column, top_n: int | None = None) -> dict[str, Column]
     A heading that stands twice where one is expected fails. Synonyms are the first ``top_n`` that depositors gave, then
     the MeSH terms that differ from them by more than case.
     """
-    record = F.from_json(json, COMPOUND).getField("Record")
-    names = _only(record.getField("Section"), "Names and Identifiers")
-    sub = lambda heading: _only(names.getField("Section"), heading)
-    leaf = lambda middle, heading: _only(sub(middle).getField("Section"), heading)
-    numbers = F.coalesce(F.transform(leaf("Synonyms", "MeSH Entry Terms").getField("Information"), lambda i: i.getField("ReferenceNumber")), F.array().cast("array<int>"))
-    pages = F.filter(record.getField("Reference"), lambda r: (r.getField("SourceName") == "Medical Subject Headings (MeSH)") & F.array_contains(numbers, r.getField("ReferenceNumber")))
-    given = _strings(leaf("Synonyms", "Depositor-Supplied Synonyms"))
-    given = F.slice(given, 1, top_n) if top_n else given
-    lows = F.transform(given, F.lower)
-    terms = F.filter(_strings(leaf("Synonyms", "MeSH Entry Terms")), lambda t: ~F.array_contains(lows, F.lower(t)))
+    none = F.array().cast("array<string>")
+
+    def pages(record: Column, own: Column) -> Column:
+        numbers = F.coalesce(F.transform(own.getField("Information"), lambda i: i.getField("ReferenceNumber")), F.array().cast("array<int>"))
+        cited = lambda known: F.filter(record.getField("Reference"), lambda r: (r.getField("SourceName") == "Medical Subject Headings (MeSH)") & F.array_contains(known, r.getField("ReferenceNumber")))
+        return F.coalesce(F.transform(_let(numbers, cited), lambda r: r.getField("URL")), none)
+
+    def synonyms(section: Column) -> Column:
+        given = _strings(_only(section.getField("Section"), "Depositor-Supplied Synonyms"))
+        own = _strings(_only(section.getField("Section"), "MeSH Entry Terms"))
+        new = lambda g: _let(F.transform(g, F.lower), lambda lows: F.filter(own, lambda t: ~F.array_contains(lows, F.lower(t))))
+        return _let(F.slice(given, 1, top_n) if top_n else given, lambda g: F.concat(g, new(g)))
+
+    # Each field parses the record once, and each step within is bound before the next reads it.
+    record = lambda f: _let(F.from_json(json, COMPOUND).getField("Record"), f)
+    sub = lambda r, heading: _only(_only(r.getField("Section"), "Names and Identifiers").getField("Section"), heading)
+    leaf = lambda r, middle, heading: _only(sub(r, middle).getField("Section"), heading)
+    strings = lambda middle, heading: record(lambda r: _strings(leaf(r, middle, heading)))
     return {
-        "name": record.getField("RecordTitle"),
-        "cas": _strings(leaf("Other Identifiers", "CAS")),
-        "inchi": _strings(leaf("Computed Descriptors", "InChI")),
-        "inchikey": _strings(leaf("Computed Descriptors", "InChIKey")),
-        "smiles": _strings(leaf("Computed Descriptors", "Canonical SMILES")),
-        "mesh_urls": F.coalesce(F.transform(pages, lambda r: r.getField("URL")), F.array().cast("array<string>")),
-        "synonyms": F.concat(given, terms),
-        "descriptions": _strings(sub("Record Description")),
+        "name": F.from_json(json, COMPOUND).getField("Record").getField("RecordTitle"),
+        "cas": strings("Other Identifiers", "CAS"),
+        "inchi": strings("Computed Descriptors", "InChI"),
+        "inchikey": strings("Computed Descriptors", "InChIKey"),
+        "smiles": strings("Computed Descriptors", "Canonical SMILES"),
+        "mesh_urls": record(lambda r: pages(r, leaf(r, "Synonyms", "MeSH Entry Terms"))),
+        "synonyms": record(lambda r: _let(sub(r, "Synonyms"), synonyms)),
+        "descriptions": record(lambda r: _strings(sub(r, "Record Description"))),
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import annotate, literature, report
 from graphloom.operators import phrases as phrase
+from graphloom.operators.skew import spread
 from graphloom.plans.demo import view
 from graphloom.sources import kg as S
 from graphloom.sources.written import shared_folder
@@ -318,7 +319,7 @@ def _(spark, sf):
         + section("Depositor-Supplied Synonyms", value("s%s")) + "," + section("MeSH Entry Terms", '{"StringWithMarkup":[{"String":"S%s"},{"String":"%s"}]}', 4) + ']}]}],"Reference":[{"ReferenceNumber":4,"SourceName":"Medical Subject Headings (MeSH)","URL":"http://mesh/%s"},{"ReferenceNumber":5,"SourceName":"Medical Subject Headings (MeSH)","URL":"no"}]}}')
     size = F.col("p_size").cast("string")
     fields = X.compound_fields(F.format_string(json, "p_name", "p_brand", size, size, "p_type", size))
-    return view(spark, sf, "part").select("p_partkey", fields["name"].alias("name"), *(F.array_join(fields[k], "|").alias(k) for k in ("cas", "synonyms", "mesh_urls")))
+    return spread(view(spark, sf, "part")).select("p_partkey", fields["name"].alias("name"), *(F.array_join(fields[k], "|").alias(k) for k in ("cas", "synonyms", "mesh_urls")))
 
 
 # Sources that parse text.
