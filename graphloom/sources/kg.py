@@ -146,8 +146,9 @@ def read_search_json(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_search_json(files: DataFrame) -> DataFrame:
     """One row a hit of files that hold a query line and a line with a JSON array."""
-    term = F.split_part("value", F.lit("\n"), F.lit(1))
-    return files.select(term.alias("search_term"), F.explode(F.from_json(F.split_part("value", F.lit("\n"), F.lit(2)), HITS)).alias("h")).select("search_term", "h.*")
+    lines = files.select(F.split_part("value", F.lit("\n"), F.lit(1)).alias("search_term"), F.split_part("value", F.lit("\n"), F.lit(2)).alias("hits"))
+    # The query line is cut off once a file: beside the hits, it would be cut from the whole text for each of them.
+    return lines.select("search_term", F.explode(F.from_json("hits", HITS)).alias("h")).select("search_term", "h.*")
 
 
 def parse_cid_names(lines: DataFrame) -> DataFrame:
