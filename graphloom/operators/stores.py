@@ -135,28 +135,31 @@ class SplitLedger:
 class SourceSketches:
     """Sketches of the sets of keys (triples, papers) of each source, kept up by batches alone.
 
-    A batch adds a sketch a source; sets are united, intersected and subtracted as sketches. Sets of up to
-    2 ** ``log_entries`` keys are exact; counts of larger ones are off by 1 / sqrt(2 ** ``log_entries``) of the union of
-    all that takes part, as a rule.
+    A batch adds a sketch for each source and part; keys are dealt to ``parts`` by hash, which are settled by the first batch.
+    Sets are united, intersected and subtracted as sketches, part by part, and counts added up. Sets of up to
+    2 ** ``log_entries`` keys a part are exact; counts of larger ones are off by 1 / sqrt(2 ** ``log_entries``) of the
+    union of all that takes part, as a rule, and by less with more parts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, log_entries: int = 14, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, log_entries: int = 14, buckets: int | None = None, parts: int = 1):
         self.log_entries = log_entries
-        self.store = RunStore(spark, folder, {"sketches": Table("source string, sketch binary", "source")}, buckets)
+        self.store = RunStore(spark, folder, {"sketches": Table("source string, part long, sketch binary", "source")}, buckets)
+        self.parts = self.store.listing.numbers.get("parts", max(1, parts))
 
     def update(self, batch: str, rows: DataFrame, source: str = "source", key: list[str] = ("head", "relation", "tail")) -> bool:
         """Add the keys of a batch's rows (those without a source or key do not count); once."""
         whole = rows.where(" and ".join(f"{c} is not null" for c in (source, *key)))
         mark = F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0]).cast("string")
-        return self.store.commit(batch, {"sketches": whole.groupBy(F.col(source).alias("source")).agg(F.theta_sketch_agg(mark, F.lit(self.log_entries)).alias("sketch"))})
+        dealt = whole.select(F.col(source).alias("source"), mark.alias("mark")).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(self.parts)))
+        return self.store.commit(batch, {"sketches": dealt.groupBy("source", "part").agg(F.theta_sketch_agg("mark", F.lit(self.log_entries)).alias("sketch"))}, {"parts": self.parts})
 
     def sources(self) -> DataFrame:
-        """(source, sketch): one for each source, of all batches."""
-        return self.store.read("sketches").groupBy("source").agg(F.theta_union_agg("sketch", F.lit(self.log_entries)).alias("sketch"))
+        """(source, part, sketch): one for each source and part, of all batches."""
+        return self.store.read("sketches").groupBy("source", "part").agg(F.theta_union_agg("sketch", F.lit(self.log_entries)).alias("sketch"))
 
     def counts(self) -> DataFrame:
         """(source, n): the distinct keys of each source, about."""
-        return self.sources().select("source", F.theta_sketch_estimate("sketch").alias("n"))
+        return self.sources().groupBy("source").agg(F.sum(F.theta_sketch_estimate("sketch")).alias("n"))
 
     def regions(self, names: list[str]) -> DataFrame:
         """(mask, n): how many keys are in exactly these of the named sources, about; bit k stands for the k-th.
@@ -165,7 +168,9 @@ class SourceSketches:
         sketch is empty.
         """
         own = self.sources().where(F.col("source").isin(names))
-        empty = own.agg(*(F.max(F.when(F.col("source") == n, F.col("sketch"))).alias(f"s{k}") for k, n in enumerate(names)))
+        # A part of zeros, so that each mask has a row where no source has any.
+        blank = self.store.spark.range(1).select(F.lit("").alias("source"), F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("sketch"))
+        empty = own.unionByName(blank).groupBy("part").agg(*(F.max(F.when(F.col("source") == n, F.col("sketch"))).alias(f"s{k}") for k, n in enumerate(names)))
         out = []
         for mask in range(1, 1 << len(names)):
             chain, absent = None, F.lit(False)
@@ -177,4 +182,4 @@ class SourceSketches:
                 if not mask >> k & 1:
                     chain = F.when(F.col(f"s{k}").isNull(), chain).otherwise(F.theta_difference(chain, F.col(f"s{k}")))
             out.append(F.struct(F.lit(mask).alias("mask"), F.when(absent, F.lit(0)).otherwise(F.theta_sketch_estimate(chain)).cast("long").alias("n")))
-        return empty.select(F.explode(F.array(*out)).alias("r")).select("r.mask", "r.n")
+        return empty.select(F.explode(F.array(*out)).alias("r")).groupBy("r.mask").agg(F.sum("r.n").alias("n"))
