@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import compound_fields, merge_id_maps
-from graphloom.operators.skew import spread
+from graphloom.operators.skew import product_by_key, spread
+from graphloom.sources.written import stash
 
 
 def mesh_id_to_name(ids: DataFrame, descriptors: DataFrame, supplements: DataFrame, column: str = "mesh_id") -> DataFrame:
@@ -37,34 +38,48 @@ def enrich_chemical(rows: DataFrame, compounds: DataFrame, predicted: bool = Fal
 
 def cas_to_compound(rows: DataFrame, compounds: DataFrame) -> DataFrame:
     """Rows (``tail_pubchem``, ``tail_cas``) with ``compound``: the PubChem id if known, else each of the CAS number's."""
-    known = compounds.select(F.col("pubchem_id").alias("tail_pubchem"), F.col("pubchem_id").alias("own")).distinct()
-    by_cas = compounds.select(F.explode("cas").alias("tail_cas"), F.col("pubchem_id").alias("by_cas")).distinct()
-    first = rows.join(known, "tail_pubchem", "left")
-    direct = first.where("own is not null").withColumn("compound", F.col("own"))
-    late = first.where("own is null").join(by_cas, "tail_cas").withColumn("compound", F.col("by_cas"))
-    return direct.select(*rows.columns, "compound").unionByName(late.select(*rows.columns, "compound"))
+    return _with_compounds(rows, cas_marked(rows, compounds), compounds)
 
 
-def cas_to_compound_counted(rows: DataFrame, compounds: DataFrame, counts: Observation) -> DataFrame:
-    """The rows of ``cas_to_compound``; ``counts`` has, once they are computed, how many came, how many found a compound by id or
-    by CAS number, and how many were dropped: those without either number, and those whose numbers nobody has.
+def cas_marked(rows: DataFrame, compounds: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """``rows``, each once, with ``own`` (its PubChem id if known) and ``has_cas`` (true if its CAS number is known, else null).
 
-    The counts are taken on the way, in the same pass; a dropped row is one that no compound was found for.
+    ``counts`` has, once they are computed, how many came, how many found a compound by id or by CAS number, and how many
+    are to be dropped: those without either number, and those whose numbers nobody has.
     """
     known = compounds.select(F.col("pubchem_id").alias("tail_pubchem"), F.col("pubchem_id").alias("own")).distinct()
-    by_cas = compounds.select(F.explode("cas").alias("tail_cas"), F.col("pubchem_id").alias("by_cas")).distinct().groupBy("tail_cas").agg(F.collect_list("by_cas").alias("by_cas"))
-    both = rows.join(known, "tail_pubchem", "left").join(by_cas, "tail_cas", "left")
-    found = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.col("by_cas"))
+    listed = compounds.select(F.explode("cas").alias("tail_cas")).distinct().withColumn("has_cas", F.lit(True))
+    marked = rows.join(known, "tail_pubchem", "left").join(listed, "tail_cas", "left").select(*rows.columns, "own", "has_cas")
+    if counts is None:
+        return marked
     named = F.col("tail_pubchem").isNotNull() | F.col("tail_cas").isNotNull()
-    counted = both.withColumn("found", found).observe(
+    lost = F.col("own").isNull() & F.col("has_cas").isNull()
+    return marked.observe(
         counts,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("own").isNotNull()).alias("by_id"),
-        F.count_if(F.col("own").isNull() & F.col("by_cas").isNotNull()).alias("by_cas"),
-        F.count_if(F.col("found").isNull() & ~named).alias("without_number"),
-        F.count_if(F.col("found").isNull() & named).alias("unknown_number"),
+        F.count_if(F.col("own").isNull() & F.col("has_cas").isNotNull()).alias("by_cas"),
+        F.count_if(lost & ~named).alias("without_number"),
+        F.count_if(lost & named).alias("unknown_number"),
     )
-    return counted.select(*rows.columns, F.explode("found").alias("compound"))
+
+
+def _with_compounds(rows: DataFrame, marked: DataFrame, compounds: DataFrame) -> DataFrame:
+    """Marked rows with each ``compound`` of theirs. A CAS number may have many rows and many compounds."""
+    marked = stash(marked, "marked")
+    by_cas = compounds.select(F.explode("cas").alias("tail_cas"), F.col("pubchem_id").alias("compound")).distinct()
+    direct = marked.where("own is not null").select(*rows.columns, F.col("own").alias("compound"))
+    return direct.unionByName(product_by_key(marked.where("own is null and has_cas").select(*rows.columns), by_cas, "tail_cas", "compound"))
+
+
+def cas_to_compound_counted(rows: DataFrame, compounds: DataFrame, counts: Observation) -> DataFrame:
+    """The rows of ``cas_to_compound``; ``counts`` has, once they are computed, how many came, how many found a compound by id or
+    by CAS number, and how many were dropped: those without either number, and those whose numbers nobody has.
+
+    The counts are taken where rows are marked, before they meet compounds; a dropped row is one that no compound was
+    found for.
+    """
+    return _with_compounds(rows, cas_marked(rows, compounds, counts), compounds)
 
 
 def tree_lineage_pairs(ids: DataFrame, descriptors: DataFrame, supplements: DataFrame) -> DataFrame:
