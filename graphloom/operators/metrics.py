@@ -194,9 +194,10 @@ def grid_search_summary(rows: DataFrame, params: list[str], metrics: list[str])
 
 def best_model(rows: DataFrame, dataset: str, model: str, metric: str) -> DataFrame:
     """The model with the best mean of each dataset; the first by name on ties."""
-    means = rows.groupBy(dataset, model).agg(F.avg(metric).alias("mean"))
-    top = means.groupBy(dataset).agg(F.max("mean").alias("mean"))
-    return means.join(top, [dataset, "mean"]).groupBy(dataset).agg(F.min(model).alias(model), F.first("mean").alias("mean"))
+    # One pass: a mean that is computed twice may differ in its last digit, and be found nowhere.
+    means = rows.groupBy(dataset, model).agg(F.avg(metric).alias("mean")).where("mean is not null")
+    best = means.groupBy(dataset).agg(F.min_by(F.struct(model, "mean"), F.struct(-F.round("mean", 12), model)).alias("r"))
+    return best.select(dataset, f"r.{model}", "r.mean")
 
 
 def metric_report(rows: DataFrame, by: list[str], metrics: list[str], scale: float = 100.0) -> DataFrame:
