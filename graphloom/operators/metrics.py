@@ -388,7 +388,9 @@ def isotonic_calibrate(fit: DataFrame, apply: DataFrame, label: str = "label", s
     # A row for each partition: bounded windows, and broadcast.
     across = parts.select("__p", F.last("last", True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("first", True).over(Window.orderBy("__p").rowsBetween(1, Window.unboundedFollowing)).alias("right"))
     local = Window.partitionBy("__p").orderBy("__at")
-    near = placed.withColumn("below", F.last("block", True).over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first("block", True).over(local.rowsBetween(0, Window.unboundedFollowing)))
+    # Both frames grow: one that shrinks from the front would be read anew for each row.
+    back = Window.partitionBy("__p").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.withColumn("below", F.last("block", True).over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.last("block", True).over(back))
     both = near.where("kind = 1").join(F.broadcast(across), "__p").select("row", "x", F.coalesce("below", "left").alias("a"), F.coalesce("above", "right").alias("b"))
     line = F.expr("a.v + (b.v - a.v) * (x - a.hi) / (b.lo - a.hi)")
     prob = F.when(F.col("a").isNull(), F.col("b.v")).when((F.col("x") <= F.col("a.hi")) | F.col("b").isNull(), F.col("a.v")).otherwise(line)
