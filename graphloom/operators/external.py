@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_title, keep_id_keys, merge_id_maps, scientific_name_query
 from graphloom.sources.kg import ID_KEYS
+from graphloom.sources.written import stash
+
+#: References that are sent to the citing rows, at most; more are joined by a shuffle.
+SENT = 1 << 18
 
 
 def valid_external_rows(rows: DataFrame) -> DataFrame:
@@ -75,10 +79,17 @@ def is_indexed(references: DataFrame, journals: DataFrame) -> DataFrame:
     return keyed.join(issns, "__i", "left").join(titles, "__t", "left").select(*references.columns, F.coalesce("by_issn", "by_title", F.lit(False)).alias("indexed"))
 
 
+def _known(references: DataFrame, most: int = SENT) -> DataFrame:
+    """Distinct references, broadcast where a count shows them to be few: a row's citations are then put together again in the
+    task that has parted them, and one row an association is shuffled."""
+    refs = stash(references.distinct(), "references")
+    return F.broadcast(refs) if refs.count() <= most else refs
+
+
 def association_funnel(rows: DataFrame, references: DataFrame, known_foods: DataFrame, known_chemicals: DataFrame) -> DataFrame:
     """Counts: associations, with a reference, with an indexed one, and of these with known food and chemical."""
     cited = rows.select("association_id", "food_id", "chemical_id", F.explode_outer(F.split("reference_ids", ",")).alias("ref"))
-    refs = references.select(F.col("reference_id").cast("string").alias("ref"), F.col("indexed"), F.lit(True).alias("found"))
+    refs = _known(references.select(F.col("reference_id").cast("string").alias("ref"), F.col("indexed"), F.lit(True).alias("found")))
     joined = cited.withColumn("ref", F.trim("ref")).join(refs, "ref", "left").groupBy("association_id", "food_id", "chemical_id").agg(F.max(F.coalesce("found", F.lit(False))).alias("found"), F.max(F.coalesce("indexed", F.lit(False))).alias("indexed"))
     known = joined.join(known_foods.select("food_id", F.lit(True).alias("f")).distinct(), "food_id", "left").join(known_chemicals.select("chemical_id", F.lit(True).alias("c")).distinct(), "chemical_id", "left")
     return known.agg(F.count("*").alias("associations"), F.count_if("found").alias("with_reference"), F.count_if("indexed").alias("with_indexed"), F.count_if(F.col("indexed") & F.col("f").isNotNull() & F.col("c").isNotNull()).alias("with_indexed_known"))
@@ -88,7 +99,7 @@ def associations_by(rows: DataFrame, references: DataFrame, by: list[str]) -> Da
     """(by, associations, with_reference): a composition table's associations by food or compound, and those with a
     reference that is known."""
     cited = rows.select("association_id", *by, F.explode_outer(F.split("reference_ids", ",")).alias("ref"))
-    refs = references.select(F.col("reference_id").cast("string").alias("ref"), F.lit(True).alias("found")).distinct()
+    refs = _known(references.select(F.col("reference_id").cast("string").alias("ref"), F.lit(True).alias("found")))
     one = cited.withColumn("ref", F.trim("ref")).join(refs, "ref", "left").groupBy("association_id", *by).agg(F.max(F.coalesce("found", F.lit(False))).alias("found"))
     return one.groupBy(*by).agg(F.count("*").alias("associations"), F.count_if("found").alias("with_reference"))
 
