@@ -34,10 +34,12 @@ class TripleStore:
         keyed = new.withColumn("triple", triple_key(F.col("head"), F.col("relation"), F.col("tail")))
         full = self.spark.createDataFrame([], EVIDENCE).unionByName(keyed.select(*(c for c in keyed.columns if c in columns)), allowMissingColumns=True)
         with scope(self.spark):
-            full = stash(full.withColumn("row_mark", row_mark(columns)).withColumn("triple_mark", row_mark(["head", "relation", "tail"])), "batch")
-            fresh = self.store.absent("evidence", full)
-            triples = self.store.absent("kg", full.select("head", "relation", "tail", "triple_mark"))
-            return self.store.commit(batch, {"kg": triples, "evidence": fresh})
+            full = stash(full, "batch")
+            self.store.fit(full.count())
+            fresh = self.store.absent("evidence", full.withColumn("row_mark", row_mark(columns)))
+            # Made distinct before they are marked: most of a batch's evidence is of triples that it has already.
+            triples = full.select("head", "relation", "tail").distinct().withColumn("triple_mark", row_mark(["head", "relation", "tail"]))
+            return self.store.commit(batch, {"kg": self.store.absent("kg", triples), "evidence": fresh})
 
     def kg(self) -> DataFrame:
         return self.store.read("kg").drop("triple_mark")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Runs of a table beyond which they are merged to one.
 RUNS = 8
+#: Rows of a bucket, about, where the first batch settles how many there are.
+BUCKET = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -46,8 +48,15 @@ class RunStore:
 
     def __init__(self, spark: SparkSession, folder: str, tables: dict[str, Table], buckets: int | None = None, most_runs: int = RUNS):
         self.spark, self.folder, self.tables, self.most_runs = spark, folder.rstrip("/"), tables, most_runs
+        self.fixed = buckets is not None
         self.listing = self._latest() or Listing(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def fit(self, rows: int) -> None:
+        """More buckets for a large first batch, unless their number was given: a task sorts and merges a bucket. Once there
+        is a batch, they stay."""
+        if not self.listing.batches and not self.fixed:
+            self.listing.buckets = max(self.listing.buckets, -(-rows // BUCKET))
+
     def _path(self, part: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
