@@ -132,8 +132,9 @@ def _(spark, sf):
 @query("question_text", "SELECT k.head, k.tail, 'Does ' || h.name || ' contain ' || t.name || '? Answer Yes or No.' AS question FROM kg AS k JOIN ent AS h ON k.head = h.entity_id JOIN ent AS t ON k.tail = t.entity_id WHERE k.relation = 'r0'")
 def _(spark, sf):
     from graphloom.operators.report import decorate_triples
+    from graphloom.plans.reports import _with_ids
 
-    out = decorate_triples(view(spark, sf, "kg").where("relation = 'r0'"), view(spark, sf, "ent"), view(spark, sf, "rel"))
+    out = decorate_triples(view(spark, sf, "kg").where("relation = 'r0'"), _with_ids(view(spark, sf, "ent")), view(spark, sf, "rel"))
     return out.select("head", "tail", literature.question_text(F.col("head_name"), F.col("tail_name")).alias("question"))
 
 
