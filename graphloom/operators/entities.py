@@ -111,8 +111,12 @@ def new_rows(kg: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFr
     columns = [c for c in evidence.columns if c != "row_mark"]
     full = new.withColumn("triple", triple_key(F.col("head"), F.col("relation"), F.col("tail")))
     full = evidence.select(*columns).limit(0).unionByName(full.select(*(c for c in full.columns if c in columns)), allowMissingColumns=True)
-    marks = evidence.select((F.col("row_mark") if "row_mark" in evidence.columns else row_mark(columns)).alias("row_mark"))
-    fresh = full.distinct().withColumn("row_mark", row_mark(columns)).join(marks, "row_mark", "left_anti").select(*columns, "row_mark")
+    # Rows are dealt by their marks once, and made distinct and compared there; the key, which the ends tell, is left behind.
+    whole = full.withColumns({c: F.col(c) + F.lit(0.0) for c, t in full.dtypes if t == "double"})  # as equal rows, -0.0 is 0.0
+    dealt = whole.withColumn("__mark", F.unhex(row_mark(columns))).drop("triple").repartition("__mark").distinct()
+    marks = evidence.select(F.unhex(F.col("row_mark") if "row_mark" in evidence.columns else row_mark(columns)).alias("__mark"))
+    keyed = dealt.join(marks, "__mark", "left_anti").withColumn("triple", triple_key(F.col("head"), F.col("relation"), F.col("tail")))
+    fresh = keyed.select(*columns, F.lower(F.hex("__mark")).alias("row_mark"))
     known = kg.select(*(F.col(c).alias(f"own_{c}") for c in ("head", "relation", "tail")))
     same = F.col("head").eqNullSafe(F.col("own_head")) & F.col("relation").eqNullSafe(F.col("own_relation")) & F.col("tail").eqNullSafe(F.col("own_tail"))
     triples = full.select("head", "relation", "tail").distinct().join(known, same, "left_anti")
